@@ -32,7 +32,7 @@ def chronological(seq: Sequence, share: float = 0.8, pos: str = "pos", mark: str
     """
     out = seq.number(pos, total="_total")
     out = out.with_columns({mark: F.col(pos) < F.floor(F.col("_total") * F.lit(share))})
-    return Sequence(out.df.drop("_total"), out.by, out.order, out.split)
+    return out.without("_total")
 
 
 def mode_model(train: DataFrame, features: Seq[str], label: str) -> DataFrame:

@@ -83,6 +83,7 @@ class Sequence:
     by: tuple[str, ...]
     order: tuple[str, ...]
     split: bool = False
+    fresh: bool = True  # a scan or a stored table: cheap to read several times
 
     # ---- plain DataFrame steps; they keep the cut -------------------------
 
@@ -92,6 +93,9 @@ class Sequence:
     def with_columns(self, columns: dict[str, Column]) -> "Sequence":
         return replace(self, df=self.df.withColumns(columns))
 
+    def without(self, *names: str) -> "Sequence":
+        return replace(self, df=self.df.drop(*names))
+
     def select(self, *names: str) -> "Sequence":
         """Keep the named columns, the key, the order and the cut."""
         keep = list(dict.fromkeys([*self.by, *self.order, *names, *([SEG] if self.split else [])]))
@@ -99,7 +103,11 @@ class Sequence:
 
     def store(self) -> "Sequence":
         """Write once before several uses; a sequence that fits one task is left lazy."""
-        return replace(self, df=stored(self.df)) if self.split else self
+        return replace(self, df=stored(self.df), fresh=True) if self.split else self
+
+    def _reusable(self) -> "Sequence":
+        """A cut sequence is read more than once per operator, so window results are stored first."""
+        return self if self.fresh else self.store()
 
     def frame(self) -> DataFrame:
         return self.df.drop(SEG)
@@ -166,10 +174,11 @@ class Sequence:
                 df = df.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*self.by)))
             for stage in stages:
                 df = df.withColumns(stage(w))
-            return replace(self, df=df)
-        df = self.df.withColumn(OWN, F.lit(True))
+            return replace(self, df=df, fresh=False)
+        base = self._reusable()
+        df = base.df.withColumn(OWN, F.lit(True))
         if back or fwd:
-            df = df.unionByName(self._halo(back, fwd))
+            df = df.unionByName(base._halo(back, fwd))
         if pos:
             own = F.col(OWN).cast("bigint")
             df = df.withColumn(pos, F.sum(own).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
@@ -180,42 +189,50 @@ class Sequence:
             own_rows = F.count(F.lit(1)).over(Window.partitionBy(*self.by, SEG)) if total else None
             if total:
                 df = df.withColumn("_rows", own_rows)
-            df = lookup(df, self._segments().drop("_n"), [*self.by, SEG])
+            df = lookup(df, base._segments().drop("_n"), [*self.by, SEG])
             if pos:
                 df = df.withColumn(pos, F.col(pos) + F.coalesce("_start", F.lit(0)))
             if total:
                 df = df.withColumn(total, F.coalesce("_total", "_rows")).drop("_rows")
             df = df.drop("_start", "_total")
-        return replace(self, df=df)
+        return replace(self, df=df, fresh=False)
 
     def number(self, pos: str, total: str | None = None) -> "Sequence":
         """Add the 0-based position of each row within its key."""
         return self.derive(pos=pos, total=total)
 
-    def running(self, columns: dict[str, tuple[Column, str]], reverse: bool = False) -> "Sequence":
+    def running(self, columns: dict[str, tuple]) -> "Sequence":
         """Add running ``sum``, ``max`` or ``min`` from the start of the key up to each row.
 
-        With ``reverse`` from the end of the key back to each row.
+        A column is (value, how) or (value, how, True); the latter runs from the
+        end of the key back to each row.
         """
-        w = self.window(descending=reverse).rowsBetween(Window.unboundedPreceding, 0)
-        local = self.df.withColumns({n: _FOLD[how](v).over(w) for n, (v, how) in columns.items()})
+        plan = {n: (c[0], c[1], len(c) > 2 and c[2]) for n, c in columns.items()}
+        back_to_start = Window.unboundedPreceding
+
+        def over(reverse: bool) -> WindowSpec:
+            return self.window(descending=reverse).rowsBetween(back_to_start, 0)
+        local = {n: _FOLD[how](v).over(over(rev)) for n, (v, how, rev) in plan.items()}
         if not self.split:
-            return replace(self, df=local)
-        step = F.col(SEG).desc() if reverse else F.col(SEG).asc()
-        before = Window.partitionBy(*self.by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-        carry = (self.df.where(F.col(SEG) >= 0).groupBy(*self.by, SEG)
-                 .agg(*[_FOLD[how](v).alias(f"_t_{n}") for n, (v, how) in columns.items()])
-                 .select(*self.by, SEG, *[_FOLD[how](f"_t_{n}").over(before).alias(f"_c_{n}")
-                                          for n, (_, how) in columns.items()]))
-        out = lookup(local, carry, [*self.by, SEG])
+            return replace(self, df=self.df.withColumns(local), fresh=False)
+        base = self._reusable()
+        totals = (base.df.where(F.col(SEG) >= 0).groupBy(*self.by, SEG)
+                  .agg(*[_FOLD[how](v).alias(f"_t_{n}") for n, (v, how, _) in plan.items()]))
+
+        def before(reverse: bool) -> WindowSpec:
+            step = F.col(SEG).desc() if reverse else F.col(SEG).asc()
+            return Window.partitionBy(*self.by).orderBy(step).rowsBetween(back_to_start, -1)
+        carry = totals.select(*self.by, SEG, *[_FOLD[how](f"_t_{n}").over(before(rev)).alias(f"_c_{n}")
+                                               for n, (_, how, rev) in plan.items()])
+        out = lookup(base.df.withColumns(local), carry, [*self.by, SEG])
         merged = {}
-        for n, (_, how) in columns.items():
+        for n, (_, how, _) in plan.items():
             here, prior = F.col(n), F.col(f"_c_{n}")
             if how == "sum":
                 merged[n] = F.coalesce(here + prior, here, prior)
             else:
                 merged[n] = (F.greatest if how == "max" else F.least)(here, prior)
-        return replace(self, df=out.withColumns(merged).drop(*[f"_c_{n}" for n in columns]))
+        return replace(self, df=out.withColumns(merged).drop(*[f"_c_{n}" for n in plan]), fresh=False)
 
     def runs(self, value: str, pos: str, start: str = "run_start", length: str = "run_length",
              size: str | None = None) -> "Sequence":
@@ -224,14 +241,16 @@ class Sequence:
         ``pos`` must hold the position within the key.  A run may span segments.
         """
         v = F.col(value)
-        flagged = self.derive(
-            lambda w: {"_opens": (F.col(pos) == 0) | ~v.eqNullSafe(F.lag(v).over(w)),
-                       "_closes": F.lead(F.lit(1)).over(w).isNull() | ~v.eqNullSafe(F.lead(v).over(w))},
-            back=1, fwd=1)
-        out = flagged.running({start: (F.when(F.col("_opens"), F.col(pos)), "max")})
+        opens = lambda w: {"_opens": F.when((F.col(pos) == 0) | ~v.eqNullSafe(F.lag(v).over(w)), F.col(pos))}
+        closes = lambda w: {"_closes": F.when(F.lead(F.lit(1)).over(w).isNull() | ~v.eqNullSafe(F.lead(v).over(w)),
+                                              F.col(pos))}
+        flagged = self.derive(opens, *([closes] if size else []), back=1, fwd=1 if size else 0)
+        wanted = {start: (F.col("_opens"), "max")}
+        if size:
+            wanted["_end"] = (F.col("_closes"), "min", True)
+        out = flagged.running(wanted)
         out = out.with_columns({length: F.col(pos) - F.col(start) + 1})
         if size:
-            out = out.running({"_end": (F.when(F.col("_closes"), F.col(pos)), "min")}, reverse=True)
             out = out.with_columns({size: F.col("_end") - F.col(start) + 1})
         return replace(out, df=out.df.drop("_opens", "_closes", "_end"))
 

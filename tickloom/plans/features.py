@@ -91,7 +91,7 @@ def v1(seq: Sequence) -> Sequence:
         even_counts_before,
         back=max(*PARITY_WINDOWS, *LAGS.values()) + 1, fwd=1)
     out = out.with_columns({f"even_percentage_{n}": F.col(f"even_count_{n}") / n * 100 for n in PARITY_WINDOWS})
-    return Sequence(out.df.drop("_even_run", "_odd_run"), out.by, out.order, out.split)
+    return out.without("_even_run", "_odd_run")
 
 
 def packed_windows(w: WindowSpec) -> dict[str, Column]:
@@ -114,18 +114,24 @@ def v2(seq: Sequence) -> Sequence:
                                                       F.col(f"digit_{start}_count_{n}"))
                             for n in DIGIT_WINDOWS for start, name in enumerate(("even", "odd"))})
     out = out.with_columns({f"even_percentage_{n}": F.col(f"even_count_{n}") / n * 100 for n in DIGIT_WINDOWS})
+    out = out.without(*[f"_packed_{n}" for n in DIGIT_WINDOWS])
     out = out.runs("digit", "pos", "_digit_start", "digit_streak").runs("parity", "pos", "_parity_start", "parity_streak")
-    drop = ["_digit_start", "_parity_start", *[f"_packed_{n}" for n in DIGIT_WINDOWS]]
-    return Sequence(out.df.drop(*drop), out.by, out.order, out.split)
+    return out.without("_digit_start", "_parity_start")
 
 
-def digit_statistics(seq: Sequence, pos: str | None = None) -> Sequence:
-    """Most and least common digit, concentration, entropy and shift over the last 10 (and 25) rows."""
+DIGIT_STATISTICS = ("digit_concentration_10", "digit_entropy_10", "digit_entropy_25", "distribution_shift_10")
+
+
+def digit_statistics(seq: Sequence, *more, back: int = 0, fwd: int = 0, pos: str | None = None) -> Sequence:
+    """Most and least common digit, concentration, entropy and shift over the last 10 (and 25) rows.
+
+    ``more`` are further stages for the same pass over the rows.
+    """
     packed = R.packed_digits(F.col("digit"))
     out = seq.derive(
         packed_windows,
         lambda w: {"_newer": R.packed_counts(packed, w, 5), "_older": R.packed_counts(packed, w, 5, offset=5)},
-        back=max(DIGIT_WINDOWS), pos=pos)
+        *more, back=max(*DIGIT_WINDOWS, back), fwd=fwd, pos=pos)
     out = out.with_columns({
         "most_common_digit_10": R.most_common(F.col("_packed_10")),
         "least_common_digit_10": R.least_common(F.col("_packed_10")),
@@ -133,25 +139,29 @@ def digit_statistics(seq: Sequence, pos: str | None = None) -> Sequence:
         "digit_entropy_10": R.entropy(F.col("_packed_10"), 10),
         "digit_entropy_25": R.entropy(F.col("_packed_25"), 25),
         "distribution_shift_10": R.distribution_shift(F.col("_newer"), F.col("_older"), 5)})
-    drop = ["_newer", "_older", *[f"_packed_{n}" for n in DIGIT_WINDOWS]]
-    return Sequence(out.df.drop(*drop), out.by, out.order, out.split)
+    return out.without("_newer", "_older", *[f"_packed_{n}" for n in DIGIT_WINDOWS])
+
+
+def even_flag(w: WindowSpec) -> dict[str, Column]:
+    return {"even": P.flag(P.parity(F.col("digit")) == 0)}
+
+
+def even_share(w: WindowSpec) -> dict[str, Column]:
+    """Share of even digits over the last 10 and 25 rows, this row included."""
+    return {f"even_percentage_{n}": R.count_in_last(F.col("_even_run"), w, n) / n for n in DIGIT_WINDOWS}
 
 
 def v3(seq: Sequence) -> Sequence:
     d = F.col("digit")
-    out = digit_statistics(seq, pos="pos")
-    out = out.with_columns({"even": P.flag(P.parity(d) == 0)})
-    out = out.derive(
+    out = digit_statistics(
+        seq, even_flag,
         lambda w: {"previous_digit": F.lag("digit").over(w), **next_digit(w),
                    "_even_run": R.running_count(F.col("even") == 1, w)},
-        lambda w: {f"even_percentage_{n}": R.count_in_last(F.col("_even_run"), w, n) / n for n in DIGIT_WINDOWS},
-        back=max(DIGIT_WINDOWS) + 1, fwd=1)
+        even_share, back=max(DIGIT_WINDOWS) + 1, fwd=1, pos="pos")
     out = out.with_columns({"digit_change": F.abs(d - F.col("previous_digit")),
-                            "digit_repeated": P.flag(d == F.col("previous_digit"))})
-    out = out.runs("digit", "pos", "_start", "repeat_streak")
-    clean = {c: P.finite(F.col(c)) for c in ("digit_concentration_10", "digit_entropy_10", "digit_entropy_25",
-                                             "distribution_shift_10", "even_percentage_10", "even_percentage_25")}
-    return Sequence(out.df.withColumns(clean).drop("_start", "_even_run"), out.by, out.order, out.split)
+                            "digit_repeated": P.flag(d == F.col("previous_digit")),
+                            **{c: P.finite(F.col(c)) for c in DIGIT_STATISTICS}})
+    return out.without("_even_run").runs("digit", "pos", "_start", "repeat_streak").without("_start")
 
 
 V4_FEATURES = ("previous_price", "delta", "absolute_delta", "vol5", "vol10", "round_distance", "half_distance",

@@ -24,13 +24,16 @@ TARGET = 3
 HIT = F.col("next_digit") == TARGET
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, nullable: tuple[str, ...] | list[str] = ()) -> Callable[[Query], Query]:
+    """Register a query; whole-number columns that may be null are compared as doubles."""
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(fn(spark, sf_dir))
+            df = fn(spark, sf_dir)
+            return rounded(df.withColumns({c: F.col(c).cast("double") for c in nullable}) if nullable else df)
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = sql
+            cast = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in nullable)
+            ORACLE[name] = f"SELECT * REPLACE ({cast}) FROM ({sql})" if nullable else sql
         return fn
     return add
 

@@ -6,8 +6,7 @@ from tickloom.functions import price as P
 from tickloom.plans import features as X
 from tickloom.sources import sinks, ticks as src
 from tickloom.storage import new_path
-from workload.base import (EVENT_SIGNAL, TICK_SQL, ORACLE, HIT, inputs, ordered, part, query, r6, signal_cte, signals, table,
-                           tick_cte, ticks, usable_cte)
+from workload.base import HIT, TICK_SQL, ordered, query, r6, signal_cte, signals, table, tick_cte, ticks
 
 WITH_T = f"WITH {TICK_SQL}"
 
@@ -181,7 +180,7 @@ def _(spark, d):
     return X.v4(ordered(spark, d)).frame().select("symbol", "tie", "absolute_delta")
 
 
-@query("p12_digit_distance", tick_cte() + " SELECT symbol, tie, abs(previous_digit - 3) AS digit_distance FROM f")
+@query("p12_digit_distance", tick_cte() + " SELECT symbol, tie, abs(previous_digit - 3) AS digit_distance FROM f", ["digit_distance"])
 def _(spark, d):
     seq = ordered(spark, d).derive(X.lags, back=10)
     return seq.frame().select("symbol", "tie", P.digit_distance(F.col("previous_digit"), 3).alias("digit_distance"))
