@@ -112,7 +112,7 @@ def signal_cte(by: str | None = "symbol", condition: str = SIGNAL_SQL) -> str:
 def p_greater(k: str, n: str, p: float) -> str:
     mass = (f"exp(lgamma({n} + 1.0) - lgamma(i + 1.0) - lgamma({n} - i + 1.0) "
             f"+ i * ln({p}) + ({n} - i) * ln(1 - {p}))")
-    return f"(CASE WHEN {k} <= 0 THEN 1.0 ELSE (SELECT sum({mass}) FROM range({k}, {n} + 1) r(i)) END)"
+    return f"(CASE WHEN {k} <= 0 THEN 1.0 ELSE (SELECT sum({mass}) FROM range(CAST({k} AS BIGINT), CAST({n} AS BIGINT) + 1) r(i)) END)"
 
 
 def score_sql(source: str, keys: str, p0: float = P0, empty: str = "zero", cte: str = "", more: str = "",
