@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from workload import conditions, learning, rates, scans, windows  # noqa: F401
+from workload import conditions, learning, rates, scans, streams, windows  # noqa: F401
 from workload.base import ORACLE, QUERIES  # noqa: F401
