@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.stats import chi_square_p_value
 from tickloom.operators.hits import value_counts
 from tickloom.operators.sequence import Sequence, sequence
+from tickloom.storage import stored
 
 LAGS = (1, 2, 3, 5, 10)
 
@@ -91,6 +92,8 @@ def permutation_scores(train: DataFrame, test: DataFrame, features: Seq[str], la
 
     ``perm`` -1 is the unshuffled model.
     """
+    # Both are read several times.
+    train, test = stored(train.select(pos, *features, label)), stored(test.select(*features, label))
     real = (train.groupBy(*features, label).agg(F.count(F.lit(1)).alias("n"))
             .select(F.lit(-1).alias("perm"), *features, label, "n"))
     learned = real.unionByName(shuffled_labels(train, features, label, pos, times))

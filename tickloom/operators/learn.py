@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence as Seq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.hits import union_rows
 from tickloom.operators.sequence import Sequence
 
 # The features and combinations that are compared.
@@ -50,26 +49,28 @@ def predicted(test: DataFrame, model: DataFrame, features: Seq[str]) -> DataFram
     return test.join(model, list(features), "left")
 
 
-def mode_score(df: DataFrame, features: Seq[str], label: str, mark: str = "is_train") -> DataFrame:
-    """Accuracy on the test rows of the mode learned on the training rows.
+def mode_scores(df: DataFrame, sets: Seq[Seq[str]], label: str, mark: str = "is_train") -> DataFrame:
+    """Accuracy on the test rows of the mode learned on the training rows, for each set of features.
 
-    Training and test rows are counted together once per feature values and
-    label, so no row is joined and a frequent value is no bottleneck.
+    All sets are counted in one pass, training and test rows together per
+    feature values and label, so no row is joined and a frequent value is no
+    bottleneck.
     """
-    counts = df.na.drop(subset=[*features, label]).groupBy(*features, label).agg(
+    width = max(len(s) for s in sets)
+    keys = [f"_k{i}" for i in range(width)]
+
+    def entry(features: Seq[str]) -> Column:
+        values = [F.col(f).cast("double") for f in features] + [F.lit(0.0)] * (width - len(features))
+        return F.struct(F.lit(" + ".join(features)).alias("features"), *[v.alias(k) for v, k in zip(values, keys)])
+    rows = (df.where(F.col(label).isNotNull()).select(label, mark, F.explode(F.array(*[entry(s) for s in sets])).alias("e"))
+            .select(label, mark, "e.*").na.drop(subset=keys))
+    counts = rows.groupBy("features", *keys, label).agg(
         F.count_if(mark).alias("_train"), F.count_if(~F.col(mark)).alias("_test"))
-    order = F.struct(F.col("_train"), -F.col(label))
-    per = counts.groupBy(*features).agg(
-        F.max_by("_test", order).alias("_hits"), F.sum("_test").alias("_rows"), F.max("_train").alias("_seen"))
-    total = per.where(F.col("_seen") > 0).agg(
-        F.coalesce(F.sum("_rows"), F.lit(0).cast("bigint")).alias("n"),
-        F.coalesce(F.sum("_hits"), F.lit(0).cast("bigint")).alias("correct"))
-    return total.select(F.lit(" + ".join(features)).alias("features"), "n", "correct",
-                        F.when(F.col("n") > 0, F.col("correct") / F.col("n")).alias("accuracy"))
-
-
-def mode_scores(df: DataFrame, sets: Seq[Seq[str]], label: str, mark: str = "is_train") -> DataFrame:
-    return union_rows([mode_score(df, s, label, mark) for s in sets])
+    per = counts.groupBy("features", *keys).agg(
+        F.max_by("_test", F.struct(F.col("_train"), -F.col(label))).alias("_hits"), F.sum("_test").alias("n"),
+        F.max("_train").alias("_seen"))
+    total = per.where(F.col("_seen") > 0).groupBy("features").agg(F.sum("n").alias("n"), F.sum("_hits").alias("correct"))
+    return total.withColumn("accuracy", F.when(F.col("n") > 0, F.col("correct") / F.col("n")))
 
 
 def in_sample_accuracy(df: DataFrame, feature: str, label: str) -> DataFrame:
