@@ -21,7 +21,11 @@ ORACLE: dict[str, str] = {}
 EVENT_SIGNAL = Drop(delta=-10.0, volatility=60.0)
 P0 = 0.1
 TARGET = 3
-HIT = F.col("next_digit") == TARGET
+
+
+def hit() -> Column:
+    """Outcome of the standard signal: the next digit is the target."""
+    return F.col("next_digit") == TARGET
 
 
 def query(name: str, sql: str | None = None, nullable: tuple[str, ...] | list[str] = ()) -> Callable[[Query], Query]:

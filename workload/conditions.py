@@ -6,7 +6,7 @@ from tickloom.operators import conditions as C
 from tickloom.operators import hits as H
 from tickloom.operators.learn import chronological
 from tickloom.plans import features as X
-from workload.base import (EVENT_SIGNAL, HIT, P0, SIGNAL_SQL, TARGET, inputs, ordered, part, query, r6, score_sql, signal_cte,
+from workload.base import (EVENT_SIGNAL, hit, P0, SIGNAL_SQL, TARGET, inputs, ordered, part, query, r6, score_sql, signal_cte,
                            signals, tick_cte, usable_cte)
 
 FRAC = "(price - floor(price))"
@@ -131,7 +131,7 @@ GRID_SQL = ("SELECT gd AS delta_threshold, gv AS volatility_threshold, count(u.t
 
 
 def grid(spark, d):
-    return C.threshold_grid(inputs(spark, d).frame(), HIT, P0, GRID_D, GRID_V)
+    return C.threshold_grid(inputs(spark, d).frame(), hit(), P0, GRID_D, GRID_V)
 
 
 @query("c08_threshold_grid", score_sql(GRID_SQL, "delta_threshold, volatility_threshold", cte=usable_cte()))
@@ -146,7 +146,7 @@ BANDS_SQL = "(VALUES ('0-2', 0, 2), ('3-6', 3, 6), ('7-9', 7, 9), ('8-9', 8, 9))
     f"SELECT band, count(s.tie) AS observations, sum(hit) AS correct FROM {BANDS_SQL} JOIN s ON previous_digit BETWEEN lo AND hi GROUP BY band",
     "band", cte=signal_cte()))
 def _(spark, d):
-    counts = H.counted(signals(spark, d).frame(), HIT, ["previous_digit"])
+    counts = H.counted(signals(spark, d).frame(), hit(), ["previous_digit"])
     return H.scored(H.in_bands(counts, H.between_bands("previous_digit", H.DIGIT_BANDS)), P0)
 
 
@@ -155,4 +155,4 @@ def _(spark, d):
     "JOIN s ON abs(previous_digit - 3) BETWEEN lo AND hi GROUP BY band", "band", cte=signal_cte()))
 def _(spark, d):
     df = signals(spark, d).frame().withColumn("distance", F.abs(F.col("previous_digit") - TARGET))
-    return H.scored(H.in_bands(H.counted(df, HIT, ["distance"]), H.between_bands("distance", H.DISTANCE_BANDS)), P0)
+    return H.scored(H.in_bands(H.counted(df, hit(), ["distance"]), H.between_bands("distance", H.DISTANCE_BANDS)), P0)

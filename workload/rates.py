@@ -10,7 +10,7 @@ from tickloom.operators import dependence as D
 from tickloom.operators import hits as H
 from tickloom.operators import learn as L
 from tickloom.plans import features as X
-from workload.base import (EVENT_SIGNAL, HIT, P0, SIGNAL_SQL, TICK_SQL, inputs, ordered, part, query, r6, score_sql,
+from workload.base import (EVENT_SIGNAL, hit, P0, SIGNAL_SQL, TICK_SQL, inputs, ordered, part, query, r6, score_sql,
                            signal_cte, signals, table, tick_cte, ticks, usable_cte)
 from workload.conditions import BANDS_SQL, GRID_SQL, grid
 from workload.windows import RUNS, signal_runs
@@ -26,32 +26,32 @@ def grouped(key: str, where: str = "true", source: str = "s") -> str:
 
 @query("a01_hit_test", score_sql(grouped("symbol"), "symbol", cte=signal_cte()))
 def _(spark, d):
-    return H.hit_test(signals(spark, d).frame(), HIT, P0, ["symbol"])
+    return H.hit_test(signals(spark, d).frame(), hit(), P0, ["symbol"])
 
 
 @query("a01_empty_group", score_sql(grouped("", "delta > 10"), "", empty="null", cte=signal_cte()))
 def _(spark, d):
-    return H.hit_test(signals(spark, d).where(F.col("delta") > 10).frame(), HIT, P0, empty="null")
+    return H.hit_test(signals(spark, d).where(F.col("delta") > 10).frame(), hit(), P0, empty="null")
 
 
 @query("a02_by_previous_digit", score_sql(
     "SELECT CAST(g.g AS INTEGER) AS previous_digit, count(s.tie) AS observations, coalesce(sum(hit), 0) AS correct "
     "FROM range(10) g(g) LEFT JOIN s ON previous_digit = g.g GROUP BY ALL", "previous_digit", cte=signal_cte()))
 def _(spark, d):
-    counts = H.counted(signals(spark, d).frame(), HIT, ["previous_digit"])
+    counts = H.counted(signals(spark, d).frame(), hit(), ["previous_digit"])
     return H.scored(H.fill_groups(counts, "previous_digit", range(10)), P0)
 
 
 @query("a03_by_digit_distance", score_sql(grouped("abs(previous_digit - 3) AS digit_distance"), "digit_distance", cte=signal_cte()))
 def _(spark, d):
     df = signals(spark, d).frame().withColumn("digit_distance", P.digit_distance(F.col("previous_digit"), 3))
-    return H.hit_test(df, HIT, P0, ["digit_distance"])
+    return H.hit_test(df, hit(), P0, ["digit_distance"])
 
 
 @query("a04_by_hour", score_sql(grouped("CAST(hour(time + INTERVAL 3 HOUR) AS INTEGER) AS hour"), "hour", cte=signal_cte()))
 def _(spark, d):
     df = signals(spark, d).frame().withColumn("hour", P.hour_of(F.col("epoch"), "Africa/Nairobi"))
-    return H.hit_test(df, HIT, P0, ["hour"])
+    return H.hit_test(df, hit(), P0, ["hour"])
 
 
 @query("a04_over_2_by_utc_hour", score_sql(
@@ -68,7 +68,7 @@ POSITIONED = RUNS + ", i AS (SELECT *, row_number() OVER (PARTITION BY symbol, r
 
 @query("a05_by_run_position", score_sql(grouped("run_position", source="i"), "run_position", cte=POSITIONED))
 def _(spark, d):
-    return H.hit_test(signal_runs(spark, d).frame(), HIT, P0, ["run_position"])
+    return H.hit_test(signal_runs(spark, d).frame(), hit(), P0, ["run_position"])
 
 
 @query("a06_value_counts", signal_cte() + f""" SELECT CAST(g.g AS INTEGER) AS next_digit, count(s.tie) AS n,
@@ -177,7 +177,7 @@ def _(spark, d):
 @query("a15_best_row", score_sql(grouped("previous_digit"), "previous_digit", cte=signal_cte())
        + " ORDER BY correct / observations DESC, previous_digit LIMIT 1")
 def _(spark, d):
-    return H.best_row(H.hit_test(signals(spark, d).frame(), HIT, P0, ["previous_digit"]), "probability", "previous_digit")
+    return H.best_row(H.hit_test(signals(spark, d).frame(), hit(), P0, ["previous_digit"]), "probability", "previous_digit")
 
 
 def tested_cte(cte, source, keys, name="tst", p0=P0):
@@ -206,7 +206,7 @@ BLOCK_KEYS = "symbol, block, start_time, end_time"
 
 
 def blocks(spark, d, symbol="event_type"):
-    return B.signal_blocks(signals(spark, d, symbol), HIT, BLOCK, P0)
+    return B.signal_blocks(signals(spark, d, symbol), hit(), BLOCK, P0)
 
 
 @query("a17_combined_total", score_sql(f"SELECT sum(observations) AS observations, sum(correct) AS correct FROM ({BLOCK_SOURCE})", "",
@@ -253,7 +253,7 @@ def _(spark, d):
     f"UNION ALL SELECT band, count(s.tie), sum(hit) FROM {BANDS_SQL} JOIN s ON previous_digit BETWEEN lo AND hi GROUP BY band",
     "grp", cte=signal_cte()))
 def _(spark, d):
-    counts = H.counted(signals(spark, d).frame(), HIT, ["previous_digit"])
+    counts = H.counted(signals(spark, d).frame(), hit(), ["previous_digit"])
     return H.scored(H.union_rows([
         H.labelled(H.summed(counts), "grp", "all"),
         H.labelled(counts, "grp", F.col("previous_digit")),
@@ -263,7 +263,7 @@ def _(spark, d):
 @query("j05_sort_and_head", score_sql(grouped("previous_digit"), "previous_digit", cte=signal_cte())
        + " ORDER BY correct / observations DESC, previous_digit LIMIT 5")
 def _(spark, d):
-    tested = H.hit_test(signals(spark, d).frame(), HIT, P0, ["previous_digit"])
+    tested = H.hit_test(signals(spark, d).frame(), hit(), P0, ["previous_digit"])
     return tested.orderBy(F.col("probability").desc(), "previous_digit").limit(5)
 
 
@@ -280,7 +280,7 @@ def two_sided(k, n, p):
                                           cte=POSITIONED, p_value=two_sided("correct", "observations", P0)))
 def _(spark, d):
     df = signal_runs(spark, d).frame().withColumn("kind", F.when(F.col("run_size") > 1, "Clustered").otherwise("Isolated"))
-    return H.hit_test(df, HIT, P0, ["kind"], side="two-sided")
+    return H.hit_test(df, hit(), P0, ["kind"], side="two-sided")
 
 
 @query("j07_split_80", train_cte("symbol") + " SELECT symbol, tie, pos, is_train FROM x")
@@ -308,7 +308,7 @@ ROW_BLOCKS = """SELECT pos // 500 + 1 AS block, min(pos) AS start_row, max(pos)
 @query("b02_row_blocks", score_sql(ROW_BLOCKS, "block, start_row, end_row", empty="null_p", cte=usable_cte(None, forward=True)))
 def _(spark, d):
     rows = inputs(spark, d, symbol=None, forward=True)
-    return B.row_blocks(rows, EVENT_SIGNAL.holds(), HIT, 500, P0)
+    return B.row_blocks(rows, EVENT_SIGNAL.holds(), hit(), 500, P0)
 
 
 TIME_WINDOWS = """SELECT (epoch - (SELECT min(epoch) FROM u)) // 7200 AS "window", min(epoch) AS start_time, max(epoch) AS end_time,
@@ -317,7 +317,7 @@ TIME_WINDOWS = """SELECT (epoch - (SELECT min(epoch) FROM u)) // 7200 AS "window
 
 
 def time_windows(spark, d):
-    return B.time_windows(inputs(spark, d).store().frame(), EVENT_SIGNAL.holds(), HIT, 7200, P0)
+    return B.time_windows(inputs(spark, d).store().frame(), EVENT_SIGNAL.holds(), hit(), 7200, P0)
 
 
 @query("b03_time_windows", score_sql(TIME_WINDOWS, '"window", start_time, end_time', empty="skip", cte=usable_cte()))
@@ -337,12 +337,12 @@ def forward_sql(train, test, expanding):
 
 @query("b04_walk_forward", forward_sql(400, 100, True))
 def _(spark, d):
-    return B.walk_forward(signals(spark, d, None), HIT, 400, 100, P0)
+    return B.walk_forward(signals(spark, d, None), hit(), 400, 100, P0)
 
 
 @query("b05_frozen_training", forward_sql(400, 100, False))
 def _(spark, d):
-    return B.walk_forward(signals(spark, d, None), HIT, 400, 100, P0, expanding=False)
+    return B.walk_forward(signals(spark, d, None), hit(), 400, 100, P0, expanding=False)
 
 
 @query("b06_checkpoints", score_sql(
@@ -350,7 +350,7 @@ def _(spark, d):
     "CASE WHEN c <= (SELECT count(*) FROM s) THEN (SELECT sum(hit) FROM s WHERE k < c) ELSE 0 END AS correct "
     "FROM (VALUES (CAST(500 AS BIGINT)), (1000), (1500), (2000), (2500), (3000)) v(c)", "checkpoint, reached", empty="null", cte=signal_cte(None)))
 def _(spark, d):
-    return B.checkpoints(signals(spark, d, None), HIT, P0)
+    return B.checkpoints(signals(spark, d, None), hit(), P0)
 
 
 @query("b07_progress", signal_cte(None) + f""" SELECT count(*) AS observed, CAST(3000 AS BIGINT) AS target,
@@ -375,7 +375,7 @@ def _(spark, d):
     B.ROW_BLOCK_RULES, "above_and_significant"))
 def _(spark, d):
     rows = inputs(spark, d, symbol=None, forward=True)
-    tested = B.row_blocks(rows, EVENT_SIGNAL.holds(), HIT, 500, P0).where(F.col("observations") > 0)
+    tested = B.row_blocks(rows, EVENT_SIGNAL.holds(), hit(), 500, P0).where(F.col("observations") > 0)
     return B.verdict(H.significance_counts(tested, P0), B.ROW_BLOCK_RULES, P0, significant_column="above_and_significant")
 
 
@@ -395,7 +395,7 @@ def _(spark, d):
 @query("b10_test_verdict", tested_cte(signal_cte(), grouped("symbol"), "symbol") + """ SELECT symbol, observations, correct,
   CASE WHEN probability > 0.1 AND p_value < 0.05 THEN 'confirmed' WHEN probability > 0.1 THEN 'above baseline' ELSE 'not confirmed' END AS verdict FROM tst""")
 def _(spark, d):
-    tested = H.hit_test(signals(spark, d).frame(), HIT, P0, ["symbol"])
+    tested = H.hit_test(signals(spark, d).frame(), hit(), P0, ["symbol"])
     return B.test_verdict(tested, P0).select("symbol", "observations", "correct", "verdict")
 
 
@@ -404,7 +404,7 @@ def _(spark, d):
 @query("t01_binomial_greater", score_sql(grouped("previous_digit, symbol").replace("GROUP BY previous_digit, symbol", "GROUP BY ALL"),
                                          "previous_digit, symbol", cte=signal_cte()))
 def _(spark, d):
-    return H.hit_test(signals(spark, d).frame(), HIT, P0, ["previous_digit", "symbol"])
+    return H.hit_test(signals(spark, d).frame(), hit(), P0, ["previous_digit", "symbol"])
 
 
 @query("t01_over_2", score_sql("SELECT symbol, count(*) AS observations, sum(CAST(next_digit > 2 AS INTEGER)) AS correct FROM u GROUP BY 1",
@@ -416,7 +416,7 @@ def _(spark, d):
 @query("t02_binomial_two_sided", score_sql(grouped("previous_digit"), "previous_digit", cte=signal_cte(),
                                            p_value=two_sided("correct", "observations", P0)))
 def _(spark, d):
-    return H.hit_test(signals(spark, d).frame(), HIT, P0, ["previous_digit"], side="two-sided")
+    return H.hit_test(signals(spark, d).frame(), hit(), P0, ["previous_digit"], side="two-sided")
 
 
 def tail_at(k, n, p):
@@ -430,14 +430,14 @@ b AS (SELECT symbol, n, k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM
   CASE WHEN {tail_at('k', 'n', '((lo + hi) / 2)')} < 0.05 THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM b WHERE step < 40)
 SELECT symbol, n AS observations, k AS correct, {r6('(lo + hi) / 2', 'low')}, 1.0::DOUBLE AS high FROM b WHERE step = 40""")
 def _(spark, d):
-    counts = H.counted(signals(spark, d).frame(), HIT, ["symbol"])
+    counts = H.counted(signals(spark, d).frame(), hit(), ["symbol"])
     ci = S.binom_interval(F.col("correct"), F.col("observations"))
     return counts.withColumn("ci", ci).select("symbol", "observations", "correct", "ci.low", "ci.high")
 
 
 @query("t03_two_sided_interval")
 def _(spark, d):
-    counts = H.counted(signals(spark, d).frame(), HIT, ["symbol"])
+    counts = H.counted(signals(spark, d).frame(), hit(), ["symbol"])
     ci = S.binom_interval(F.col("correct"), F.col("observations"), side="two-sided")
     return counts.withColumn("ci", ci).select("symbol", "observations", "correct", "ci.low", "ci.high")
 
@@ -510,5 +510,5 @@ def _(spark, d):
 @query("t08_expected_hits", signal_cte() + f""", c AS ({grouped('symbol')}) SELECT symbol, observations, CAST(correct AS BIGINT) AS correct,
   {r6('observations * 0.1', 'expected')}, {r6('correct - observations * 0.1', 'excess')}, {r6('correct / observations - 0.1', 'difference')} FROM c""")
 def _(spark, d):
-    return H.with_expected(H.hit_test(signals(spark, d).frame(), HIT, P0, ["symbol"]), P0).select(
+    return H.with_expected(H.hit_test(signals(spark, d).frame(), hit(), P0, ["symbol"]), P0).select(
         "symbol", "observations", "correct", "expected", "excess", "difference")

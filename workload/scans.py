@@ -6,7 +6,7 @@ from tickloom.functions import price as P
 from tickloom.plans import features as X
 from tickloom.sources import sinks, ticks as src
 from tickloom.storage import new_path
-from workload.base import HIT, TICK_SQL, ordered, query, r6, signal_cte, signals, table, tick_cte, ticks
+from workload.base import hit, TICK_SQL, ordered, query, r6, signal_cte, signals, table, tick_cte, ticks
 
 WITH_T = f"WITH {TICK_SQL}"
 
@@ -105,7 +105,7 @@ def _(spark, d):
 
 @query("s13_prediction_stats", signal_cte() + " SELECT count(hit) AS predictions, CAST(coalesce(sum(hit), 0) AS BIGINT) AS correct FROM s")
 def _(spark, d):
-    return src.prediction_stats(signals(spark, d).frame().select(P.flag(HIT).alias("correct")))
+    return src.prediction_stats(signals(spark, d).frame().select(P.flag(hit()).alias("correct")))
 
 
 @query("p01_numeric_coercion", """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) + 0.0 AS k,
@@ -153,17 +153,16 @@ def _(spark, d):
 def column_query(name, columns, sql):
     @query(name, f"{WITH_T} SELECT tie, {sql} FROM t")
     def _(spark, d):
-        return ticks(spark, d).select("tie", *[c.alias(n) for n, c in columns.items()])
+        return ticks(spark, d).select("tie", *[c.alias(n) for n, c in columns().items()])
 
 
-price, digit, epoch = F.col("price"), F.col("digit"), F.col("epoch")
 FRAC = "(price - floor(price))"
-column_query("p06_last_digit", {"digit": P.last_digit(price)}, "digit")
-column_query("p07_parity", {"parity": P.parity(digit), "parity_name": P.parity_name(digit)},
+column_query("p06_last_digit", lambda: {"digit": P.last_digit(F.col("price"))}, "digit")
+column_query("p07_parity", lambda: {"parity": P.parity(F.col("digit")), "parity_name": P.parity_name(F.col("digit"))},
              "digit % 2 AS parity, CASE WHEN digit % 2 = 0 THEN 'Even' ELSE 'Odd' END AS parity_name")
-column_query("p10_round_distance", {"round_distance": P.round_distance(price)}, r6(f"least({FRAC}, 1 - {FRAC})", "round_distance"))
-column_query("p11_half_distance", {"half_distance": P.half_distance(price)}, r6(f"abs({FRAC} - 0.5)", "half_distance"))
-column_query("p13_zoned_hour", {"hour_utc": P.hour_of(epoch), "hour_nairobi": P.hour_of(epoch, "Africa/Nairobi")},
+column_query("p10_round_distance", lambda: {"round_distance": P.round_distance(F.col("price"))}, r6(f"least({FRAC}, 1 - {FRAC})", "round_distance"))
+column_query("p11_half_distance", lambda: {"half_distance": P.half_distance(F.col("price"))}, r6(f"abs({FRAC} - 0.5)", "half_distance"))
+column_query("p13_zoned_hour", lambda: {"hour_utc": P.hour_of(F.col("epoch")), "hour_nairobi": P.hour_of(F.col("epoch"), "Africa/Nairobi")},
              "CAST(hour(time) AS INTEGER) AS hour_utc, CAST(hour(time + INTERVAL 3 HOUR) AS INTEGER) AS hour_nairobi")
 
 

@@ -7,7 +7,7 @@ from tickloom.functions import rolling as R
 from tickloom.operators import blocks as B
 from tickloom.operators.sequence import Sequence
 from tickloom.plans import features as X
-from workload.base import HIT, TICK_SQL, ordered, query, r6, signal_cte, signals, tick_cte
+from workload.base import hit, TICK_SQL, ordered, query, r6, signal_cte, signals, tick_cte
 
 WITH_T = f"WITH {TICK_SQL}"
 W = "(PARTITION BY symbol ORDER BY time, tie)"
@@ -221,7 +221,7 @@ l AS (SELECT symbol, run, hit, count(*) AS len FROM r GROUP BY ALL)
 SELECT symbol, coalesce(max(CASE WHEN hit = 1 THEN len END), 0) AS longest_win, coalesce(max(CASE WHEN hit = 0 THEN len END), 0) AS longest_loss
 FROM l GROUP BY symbol""")
 def _(spark, d):
-    seq = signals(spark, d).with_columns({"hit": P.flag(HIT)}).number("k").store().runs("hit", "k")
+    seq = signals(spark, d).with_columns({"hit": P.flag(hit())}).number("k").store().runs("hit", "k")
     longest = lambda v: F.coalesce(F.max(F.when(F.col("hit") == v, F.col("run_length"))), F.lit(0).cast("bigint"))
     return seq.frame().groupBy("symbol").agg(longest(1).alias("longest_win"), longest(0).alias("longest_loss"))
 
@@ -230,7 +230,7 @@ def _(spark, d):
   CAST(sum(hit) OVER (ORDER BY k) AS BIGINT) AS correct_so_far FROM s)
 SELECT signals_so_far, correct_so_far, {r6('correct_so_far / signals_so_far', 'accuracy')} FROM c WHERE signals_so_far % 500 = 0""")
 def _(spark, d):
-    return B.every_nth(signals(spark, d, symbol=None), HIT, 500)
+    return B.every_nth(signals(spark, d, symbol=None), hit(), 500)
 
 
 @query("features_v4", tick_cte(windows=(5, 10)) + f""" SELECT symbol, tie, {r6('previous_price', 'previous_price')}, {r6('delta', 'delta')},
