@@ -127,7 +127,7 @@ class Sequence:
         w = Window.partitionBy(*self.by).orderBy(SEG)
         before = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))
         total = F.sum("_n").over(Window.partitionBy(*self.by))
-        return per.withColumns({"_start": F.coalesce(before, F.lit(0)), "_total": total})
+        return per.withColumns({"_seg_start": F.coalesce(before, F.lit(0)), "_seg_total": total})
 
     def _halo(self, back: int, fwd: int) -> DataFrame:
         """Copies of the rows next to a segment, marked with that segment."""
@@ -138,8 +138,8 @@ class Sequence:
         if back:
             # A segment may be shorter than the frame, so a row can serve several.
             reach = segments.select(
-                *self.by, SEG, (F.col("_start") + F.col("_n")).alias("_end"),
-                F.collect_list(F.struct(F.col(SEG).alias("to"), F.col("_start").alias("at")))
+                *self.by, SEG, (F.col("_seg_start") + F.col("_n")).alias("_end"),
+                F.collect_list(F.struct(F.col(SEG).alias("to"), F.col("_seg_start").alias("at")))
                 .over(w.rowsBetween(1, back)).alias("_reach"))
             edge = (cut.withColumn("_r", F.row_number().over(self.window(descending=True)))
                     .where(F.col("_r") <= back))
@@ -147,8 +147,8 @@ class Sequence:
                 "_to", F.explode(F.filter("_reach", lambda t: F.col("_r") + t["at"] - F.col("_end") <= back))))
         if fwd:
             reach = segments.select(
-                *self.by, SEG, F.col("_start").alias("_end"),
-                F.collect_list(F.struct(F.col(SEG).alias("to"), (F.col("_start") + F.col("_n")).alias("at")))
+                *self.by, SEG, F.col("_seg_start").alias("_end"),
+                F.collect_list(F.struct(F.col(SEG).alias("to"), (F.col("_seg_start") + F.col("_n")).alias("at")))
                 .over(w.rowsBetween(-fwd, -1)).alias("_reach"))
             edge = cut.withColumn("_r", F.row_number().over(self.window())).where(F.col("_r") <= fwd)
             parts.append(lookup(edge, reach, [*self.by, SEG]).withColumn(
@@ -191,10 +191,10 @@ class Sequence:
                 df = df.withColumn("_rows", own_rows)
             df = lookup(df, base._segments().drop("_n"), [*self.by, SEG])
             if pos:
-                df = df.withColumn(pos, F.col(pos) + F.coalesce("_start", F.lit(0)))
+                df = df.withColumn(pos, F.col(pos) + F.coalesce("_seg_start", F.lit(0)))
             if total:
-                df = df.withColumn(total, F.coalesce("_total", "_rows")).drop("_rows")
-            df = df.drop("_start", "_total")
+                df = df.withColumn(total, F.coalesce("_seg_total", "_rows")).drop("_rows")
+            df = df.drop("_seg_start", "_seg_total")
         return replace(self, df=df, fresh=False)
 
     def number(self, pos: str, total: str | None = None) -> "Sequence":

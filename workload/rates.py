@@ -209,7 +209,7 @@ def blocks(spark, d, symbol="event_type"):
     return B.signal_blocks(signals(spark, d, symbol), hit(), BLOCK, P0)
 
 
-@query("a17_combined_total", score_sql(f"SELECT sum(observations) AS observations, sum(correct) AS correct FROM ({BLOCK_SOURCE})", "",
+@query("a17_combined_total", score_sql(f"SELECT coalesce(sum(observations), 0) AS observations, coalesce(sum(correct), 0) AS correct FROM ({BLOCK_SOURCE})", "",
                                        empty="null", cte=signal_cte()))
 def _(spark, d):
     return B.pooled(blocks(spark, d), P0)
