@@ -52,6 +52,14 @@ def test_walk_forward_against_loops(spark, rows_per_segment):
             assert r["correct"] == sum(hits[start:start + 100])
 
 
+@pytest.mark.parametrize("rows_per_segment", [None, 40])
+def test_chronological_split(spark, rows_per_segment):
+    df = spark.createDataFrame([("hot", i) for i in range(333)] + [("b", i) for i in range(7)], "symbol string, time bigint")
+    seq = sequence(df, ["time"], ["symbol"], rows_per_segment=rows_per_segment)
+    train = L.chronological(seq, 0.8).frame().where("is_train").groupBy("symbol").agg(F.count("*").alias("n"), F.max("time").alias("t"))
+    assert {r["symbol"]: (r["n"], r["t"]) for r in train.collect()} == {"hot": (266, 265), "b": (5, 4)}
+
+
 def test_too_few_signals_give_no_blocks(spark):
     seq, _ = signals(spark, 120)
     assert B.walk_forward(seq, HIT, 300, 100, 0.1, False).count() == 0
@@ -136,7 +144,8 @@ def test_permutations_keep_the_labels(spark):
     for _, part in counts.groupby("perm"):
         assert part.groupby("label")["n"].sum().tolist() == labels.tolist()
         assert part.groupby("f")["n"].sum().tolist() == features.tolist()
-    assert counts.groupby("perm").apply(lambda p: tuple(p.sort_values(["f", "label"])["n"])).nunique() > 1
+    cells = counts.sort_values(["f", "label"]).groupby("perm")["n"].apply(tuple)
+    assert cells.nunique() > 1
 
 
 def test_mode_scores_against_loops(spark):
