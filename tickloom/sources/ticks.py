@@ -84,11 +84,13 @@ def as_ticks(df: DataFrame, time: str, price: str, tie: str, symbol: str | None
         epoch = F.unix_seconds(F.col(time))
     else:
         epoch = F.col(time).cast("bigint")
-    out = df.select(
+    value = F.col(price).cast("double")
+    # Plain null checks reach the file scan.
+    present = df.where(F.col(time).isNotNull() & F.col(price).isNotNull() & ~F.isnan(value))
+    return present.select(
         F.col(time).alias("time"), epoch.alias("epoch"), F.col(tie).alias("tie"),
-        *([F.col(symbol).alias("symbol")] if symbol else []),
-        known(F.col(price).cast("double")).alias("price"), *[F.col(k) for k in keep])
-    return complete(out, ["time", "price"]).withColumn("digit", last_digit(F.col("price")))
+        *([F.col(symbol).alias("symbol")] if symbol else []), value.alias("price"), last_digit(value).alias("digit"),
+        *[F.col(k) for k in keep])
 
 
 def in_time_order(ticks: DataFrame, by: Seq[str] = ("symbol",), **cut) -> Sequence:
