@@ -79,7 +79,9 @@ def shuffled_labels(train: DataFrame, features: Seq[str], label: str, pos: str,
     ticket = F.concat_ws("-", F.col(pos), F.col("perm"))
     # The first 15 hex digits of the hash as a number.
     order = F.conv(F.substring(F.md5(ticket), 1, 15), 16, 10).cast("bigint")
-    copies = (train.select(pos, *features).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    # The copies are many more than the rows they come from, so they are spread first.
+    spread = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = (train.select(pos, *features).repartition(spread, pos).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
               .withColumn("_h", order))
     ranked = sequence(copies, ["_h", pos], ["perm"]).number("_rank").frame().drop(pos)
     labels = train.select(F.col(pos).alias("_rank"), label)

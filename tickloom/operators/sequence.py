@@ -136,14 +136,16 @@ class Sequence:
         cut = self.df.where(F.col(SEG) >= 0)
         parts = []
         if back:
-            # A segment may be shorter than the frame, so a row can serve several.
+            # A segment may be shorter than the frame, so a row can serve several;
+            # those out of reach are dropped before the small table is broadcast.
             reach = segments.select(
                 *self.by, SEG, (F.col("_seg_start") + F.col("_n")).alias("_end"),
                 F.collect_list(F.struct(F.col(SEG).alias("to"), F.col("_seg_start").alias("at")))
                 .over(w.rowsBetween(1, back)).alias("_reach"))
             edge = (cut.withColumn("_r", F.row_number().over(self.window(descending=True)))
                     .where(F.col("_r") <= back))
-            parts.append(lookup(edge, reach, [*self.by, SEG]).withColumn(
+            near = reach.withColumn("_reach", F.filter("_reach", lambda t: t["at"] - F.col("_end") < back))
+            parts.append(lookup(edge, near, [*self.by, SEG]).withColumn(
                 "_to", F.explode(F.filter("_reach", lambda t: F.col("_r") + t["at"] - F.col("_end") <= back))))
         if fwd:
             reach = segments.select(
@@ -151,7 +153,8 @@ class Sequence:
                 F.collect_list(F.struct(F.col(SEG).alias("to"), (F.col("_seg_start") + F.col("_n")).alias("at")))
                 .over(w.rowsBetween(-fwd, -1)).alias("_reach"))
             edge = cut.withColumn("_r", F.row_number().over(self.window())).where(F.col("_r") <= fwd)
-            parts.append(lookup(edge, reach, [*self.by, SEG]).withColumn(
+            near = reach.withColumn("_reach", F.filter("_reach", lambda t: F.col("_end") - t["at"] < fwd))
+            parts.append(lookup(edge, near, [*self.by, SEG]).withColumn(
                 "_to", F.explode(F.filter("_reach", lambda t: F.col("_r") + F.col("_end") - t["at"] <= fwd))))
         out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         return (out.withColumns({SEG: F.col("_to.to"), OWN: F.lit(False)})

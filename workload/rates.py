@@ -424,22 +424,29 @@ def tail_at(k, n, p):
     return f"(SELECT sum({mass}) FROM range({k}, {n} + 1) r(i))"
 
 
-@query("t03_exact_interval", f"""WITH RECURSIVE src AS ({signal_cte().replace('WITH ', 'WITH ', 1)} SELECT symbol, count(*) AS n, CAST(sum(hit) AS BIGINT) AS k FROM s GROUP BY 1),
-b AS (SELECT symbol, n, k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM src
-  UNION ALL SELECT symbol, n, k, CASE WHEN {tail_at('k', 'n', '((lo + hi) / 2)')} < 0.05 THEN (lo + hi) / 2 ELSE lo END,
-  CASE WHEN {tail_at('k', 'n', '((lo + hi) / 2)')} < 0.05 THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM b WHERE step < 40)
-SELECT symbol, n AS observations, k AS correct, {r6('(lo + hi) / 2', 'low')}, 1.0::DOUBLE AS high FROM b WHERE step = 40""")
-def _(spark, d):
-    counts = H.counted(signals(spark, d).frame(), hit(), ["symbol"])
-    ci = S.binom_interval(F.col("correct"), F.col("observations"))
-    return counts.withColumn("ci", ci).select("symbol", "observations", "correct", "ci.low", "ci.high")
-
-
-@query("t03_two_sided_interval")
-def _(spark, d):
-    counts = H.counted(signals(spark, d).frame(), hit(), ["symbol"])
-    ci = S.binom_interval(F.col("correct"), F.col("observations"), side="two-sided")
-    return counts.withColumn("ci", ci).select("symbol", "observations", "correct", "ci.low", "ci.high")
+def interval_sql(alpha, two_sided):
+    """Both ends by halving, forty steps."""
+    mid_l, mid_h = "((ll + lh) / 2)", "((hl + hh) / 2)"
+    below, above = f"{tail_at('k', 'n', mid_l)} < {alpha}", f"{tail_at('k + 1', 'n', mid_h)} < {1 - alpha}"
+    high = r6("(hl + hh) / 2", "high") if two_sided else "1.0::DOUBLE AS high"
+    return f"""WITH RECURSIVE src AS ({signal_cte()} SELECT symbol, count(*) AS n, CAST(sum(hit) AS BIGINT) AS k FROM s GROUP BY 1),
+b AS (SELECT symbol, n, k, 0.0::DOUBLE AS ll, 1.0::DOUBLE AS lh, 0.0::DOUBLE AS hl, 1.0::DOUBLE AS hh, 0 AS step FROM src
+  UNION ALL SELECT symbol, n, k, CASE WHEN {below} THEN {mid_l} ELSE ll END, CASE WHEN {below} THEN lh ELSE {mid_l} END,
+  CASE WHEN {above} THEN {mid_h} ELSE hl END, CASE WHEN {above} THEN hh ELSE {mid_h} END, step + 1 FROM b WHERE step < 40)
+SELECT symbol, n AS observations, k AS correct, CASE WHEN k = 0 THEN 0.0 ELSE {r6('(ll + lh) / 2', 'x').replace(' AS x', '')} END AS low,
+  {high} FROM b WHERE step = 40"""
+
+
+def interval_query(name, side, sql):
+    @query(name, sql)
+    def _(spark, d):
+        counts = H.counted(signals(spark, d).frame(), hit(), ["symbol"])
+        ci = S.binom_interval(F.col("correct"), F.col("observations"), side=side)
+        return counts.withColumn("ci", ci).select("symbol", "observations", "correct", "ci.low", "ci.high")
+
+
+interval_query("t03_exact_interval", "greater", interval_sql(0.05, False))
+interval_query("t03_two_sided_interval", "two-sided", interval_sql(0.025, True))
 
 
 def chi_p(x, dof):
