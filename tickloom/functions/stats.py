@@ -192,13 +192,3 @@ def chi_square_p_value(statistic: Column, dof: Column) -> Column:
                 "scale": F.exp(-_d(statistic) / 2 + _d(dof) / 2 * F.log(_d(statistic) / 2) - log_gamma(_d(dof) / 2))},
                lambda s: F.when(s["a"] <= 0, 1.0).when(s["x"] <= 0, 1.0)
                .when(s["x"] < s["a"] + 1, series(s)).otherwise(fraction(s)))
-
-
-def holm(df, p_value: str, name: str = "p_holm"):
-    """Adjusted p-values for a small result table with many tests."""
-    from pyspark.sql import Window
-    rank = F.row_number().over(Window.orderBy(p_value))
-    total = F.count(F.lit(1)).over(Window.partitionBy())
-    raw = df.withColumn("_scaled", F.least(F.lit(1.0), (total - rank + 1) * F.col(p_value)))
-    return raw.withColumn(name, F.max("_scaled").over(
-        Window.orderBy(p_value).rowsBetween(Window.unboundedPreceding, 0))).drop("_scaled")

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence as Seq
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.price import flag
-from tickloom.operators.hits import HITS, OBSERVATIONS, counted, scored
+from tickloom.operators.hits import HITS, OBSERVATIONS, scored
 from tickloom.operators.sequence import Sequence
 
 

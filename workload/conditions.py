@@ -6,8 +6,8 @@ from tickloom.operators import conditions as C
 from tickloom.operators import hits as H
 from tickloom.operators.learn import chronological
 from tickloom.plans import features as X
-from workload.base import (EVENT_SIGNAL, hit, P0, SIGNAL_SQL, TARGET, inputs, ordered, part, query, r6, score_sql, signal_cte,
-                           signals, tick_cte, usable_cte)
+from workload.base import (EVENT_SIGNAL, hit, P0, SIGNAL_SQL, TARGET, inputs, ordered, query, r6, score_sql, signal_cte,
+                           signals, usable_cte)
 
 FRAC = "(price - floor(price))"
 ROUND = f"least({FRAC}, 1 - {FRAC})"

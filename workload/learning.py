@@ -9,8 +9,7 @@ from tickloom.operators import hits as H
 from tickloom.operators.neighbours import nearest_score, nearest_vote
 from tickloom.plans import features as X
 from tickloom.storage import stored
-from workload.base import TICK_SQL, ordered, query, r6, tick_cte, ticks
-from workload.rates import split_rows, train_cte
+from workload.base import TICK_SQL, ordered, query, r6, tick_cte
 
 WITH_T = f"WITH {TICK_SQL}"
 LABEL = "next_digit"

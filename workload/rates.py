@@ -11,7 +11,7 @@ from tickloom.operators import hits as H
 from tickloom.operators import learn as L
 from tickloom.plans import features as X
 from workload.base import (EVENT_SIGNAL, hit, P0, SIGNAL_SQL, TICK_SQL, inputs, ordered, part, query, r6, score_sql,
-                           signal_cte, signals, table, tick_cte, ticks, usable_cte)
+                           signal_cte, signals, tick_cte, ticks, usable_cte)
 from workload.conditions import BANDS_SQL, GRID_SQL, grid
 from workload.windows import RUNS, signal_runs
 
