@@ -42,6 +42,7 @@ class WordTokens:
         self.model, self.normal = self.whole.model, self.whole.normalizer
         self.letters = ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text:
@@ -50,8 +51,9 @@ class WordTokens:
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
+            for held in (self.known, self.parts):
+                if len(held) > CACHED_WORDS:
+                    held.clear()
             for w in words:
                 if w not in self.known:
                     self.known[w] = self.word(w.decode())
@@ -60,15 +62,19 @@ class WordTokens:
     def word(self, word: str) -> bytes:
         if not PLAIN.fullmatch(word):
             return packed(self.whole.encode(word, add_special_tokens=False).ids)
-        if word.isascii():
-            low = word.lower()
-            pieces = [low] if low.isalpha() else PIECES.findall(low)
-        else:
-            low = self.normal.normalize_str(word)
-            if not PLAIN.fullmatch(low):
-                return packed(self.whole.encode(word, add_special_tokens=False).ids)
-            pieces = [self.letters.pre_tokenize_str(p)[0][0] for p in PIECES.findall(low)]
-        return packed([t.id for p in pieces for t in self.model.tokenize(p)])
+        low = word.lower() if word.isascii() else self.normal.normalize_str(word)
+        if low.isalpha():
+            return self.part(low)
+        if not PLAIN.fullmatch(low):
+            return packed(self.whole.encode(word, add_special_tokens=False).ids)
+        return b"".join(map(self.part, PIECES.findall(low)))
+
+    def part(self, piece: str) -> bytes:
+        """Ids of a lower-case match of the word pattern: words differ by case and punctuation more than parts do."""
+        if piece not in self.parts:
+            symbols = piece if piece.isascii() else self.letters.pre_tokenize_str(piece)[0][0]
+            self.parts[piece] = packed([t.id for t in self.model.tokenize(symbols)])
+        return self.parts[piece]
 
 
 def packed(ids: list[int]) -> bytes:
@@ -161,8 +167,8 @@ def pack_pieces(cut: DataFrame, capacity: int = CAPACITY, nodes: int = 10_000) -
                 k = rank[group] - first[j]
                 seq[group] = base[j] + k // per[j]
                 offset[group] = at[j] + (k % per[j]) * n
-            keep = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(offset)], [*names, "sequence_id", "offset"])
+            out = [*[batch.column(c) for c in names], pa.array(seq), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(out, [*names, "sequence_id", "offset"])
 
     names = cut.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
