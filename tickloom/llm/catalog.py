@@ -1,4 +1,4 @@
 """All registered text queries."""
 
-from tickloom.llm import byte_bpe, exact, packing, quality, toxicity  # noqa: F401
+from tickloom.llm import byte_bpe, exact, packing, pii, quality, toxicity  # noqa: F401
 from tickloom.llm.base import ORACLE, QUERIES  # noqa: F401
