@@ -162,7 +162,8 @@ def revealing(found: DataFrame, known: DataFrame) -> DataFrame:
         "doc_id", "text_hash", "entity", "w.term", "w.start", "w.end")
     told = each.join(known, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(
         F.max("disclosure").alias("disclosure"))
-    return told.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end", "disclosure")).alias("terms"))
+    return told.groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.struct("start", "end", "disclosure")).alias("terms"))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = GENERALISE,

@@ -38,7 +38,8 @@ def line_features(lines: list[str]) -> np.ndarray:
         upper = n - len(raw.translate(None, UPPER))
         distinct = len(set(words))
         out[k] = (
-            upper / (letters or 1), (n - len(raw.translate(None, SIGNS))) / n, (n - len(raw.translate(None, STOPS))) / n,
+            upper / (letters or 1), (n - len(raw.translate(None, SIGNS))) / n,
+            (n - len(raw.translate(None, STOPS))) / n,
             (n - len(raw.translate(None, SHOUTS))) / count, (n - len(raw.translate(None, DIGITS))) / n, letters / n,
             1 - distinct / count, min(count, 40) / 40, np.log1p(len(line)) / 8, min(n / count, 30) / 30,
             raw[-1:] in (b".", b"!", b"?", b":"), line[:1].isupper(), line in seen, not words)
