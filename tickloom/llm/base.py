@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def per_text(rows: DataFrame, schema: str, make: Callable[[], Callable[[list, li
         fn = make()
         for batch in batches:
             ids, text = batch.column("doc_id"), batch.column("text")
-            sizes = pa.compute.binary_length(text).to_pylist()
+            sizes = pc.binary_length(text).to_pylist()
             start, size = 0, 0
             for i, n in enumerate(sizes):
                 size += n
