@@ -1,4 +1,4 @@
 """All registered text queries."""
 
-from tickloom.llm import byte_bpe, exact, minhash, packing, pii, quality, substrings, toxicity, vectors  # noqa: F401
+from tickloom.llm import byte_bpe, exact, lines, minhash, packing, pii, quality, substrings, toxicity, vectors  # noqa: F401
 from tickloom.llm.base import ORACLE, QUERIES  # noqa: F401

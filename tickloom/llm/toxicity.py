@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
-import re
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -284,6 +286,19 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     return per_text(texts(docs, id_col, text_col), "doc_id long, score double, predicted int", make)
 
 
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` with a score under ``cut``, all columns; null and empty texts stay."""
+    weights, phrases, fit = lexicon.weights, lexicon.phrases, np.array(lexicon.fit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Lexicon(weights, phrases).matcher()
+        for batch in batches:
+            found = [measure(t.as_py() or "", automaton) for t in batch.column(text_col)]
+            yield batch.filter(pa.array(chance(np.array(found).reshape(-1, 2), fit) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
