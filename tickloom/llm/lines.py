@@ -78,18 +78,21 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated under one id must have one text: they are one document. Other columns pass through.
     """
     later = later_windows(texts(docs, id_col, text_col), width).select(
-        F.col("doc_id").alias("_later_id"), F.col("starts").alias("_starts"))
+        F.col("doc_id").alias("later_id"), "starts")
     columns = [c for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns)
     schema = fields + ", n_lines long, n_removed long" * counts
     arrow = arrow_schema(docs.sparkSession, schema)
-    both = docs.select(*[named(c) for c in columns]).join(later, named(id_col) == F.col("_later_id"), "left")
+    # The input row travels as one struct, so no column of it can clash with the names used here.
+    whole = docs.select(F.struct(*[named(c) for c in columns]).alias("row"), named(id_col).cast("long").alias("doc_id"))
+    both = whole.join(later, F.col("doc_id") == F.col("later_id"), "left").select("row", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index(text_col)
         for batch in batches:
             new, n_lines, n_removed = [], [], []
-            for text, starts in zip(batch.column(at), batch.column(len(columns) + 1)):
+            given = batch.column("row").flatten()
+            for text, starts in zip(given[at], batch.column("starts")):
                 lines = (text.as_py() or "").split("\n")
                 owner = owners(lines)
                 n_lines.append(int(owner[-1]) + 1)
@@ -103,7 +106,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     gone[k + j] = True
                 new.append("\n".join(x for x, o in zip(lines, owner) if not gone[o]))
                 n_removed.append(int(gone.sum()))
-            out = list(batch.columns[:len(columns)])
+            out = list(given)
             out[at] = pa.array(new, pa.string())
             if counts:
                 out += [pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())]

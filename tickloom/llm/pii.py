@@ -200,10 +200,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     some = found.where(F.size("terms") + sum(F.size(k) for k in PATTERNS) > 0)
     cuts = F.concat(*[F.transform(k, marks(k)) for k in PATTERNS], F.transform("terms", lambda t: F.struct(
         t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= remove, "").alias("mark"))))
-    some = some.select(F.col("doc_id").alias("_found_id"), F.col("text_hash").alias("_found_hash"),
-                       F.array_sort(cuts).alias("_cuts")).dropDuplicates(["_found_id", "_found_hash"])
-    text, ident = named(text_col), named(id_col).cast("long")
-    marked = docs.join(some, ident.eqNullSafe(F.col("_found_id")) & (F.xxhash64(text) == F.col("_found_hash")), "left")
+    some = some.select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"),
+                       F.array_sort(cuts).alias("cuts")).dropDuplicates(["found_id", "found_hash"])
+    # The input row travels as one struct, so no column of it can clash with the names used here.
+    whole = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), named(id_col).cast("long").alias(
+        "doc_id"), named(text_col).alias("text"))
+    text = F.col("text")
+    marked = whole.join(some, F.col("doc_id").eqNullSafe(F.col("found_id")) & (
+        F.xxhash64("text") == F.col("found_hash")), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, cut: Column) -> Column:
@@ -216,11 +220,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         return F.struct(F.greatest(acc["at"], cut["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(
             new).alias("out"))
 
-    done = F.aggregate("_cuts", start, step)
-    rest = marked.withColumn("_done", done)
-    clean = F.when(F.col("_done").isNull(), text).otherwise(F.concat(F.col("_done")["out"], F.expr(
-        "substring(`" + text_col.replace("`", "``") + "`, _done.at + 1)")))
-    return rest.withColumn(text_col, clean).select(*[named(c) for c in docs.columns])
+    done = marked.withColumn("done", F.aggregate("cuts", start, step))
+    clean = F.when(F.col("done").isNull(), text).otherwise(F.concat("done.out", F.expr("substring(text, done.at + 1)")))
+    return done.select(*[clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 @query("op8_pii")
