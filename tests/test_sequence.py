@@ -2,6 +2,9 @@ import random
 
 import numpy as np
 import pandas as pd
+from datetime import datetime, timedelta
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +157,27 @@ def test_missing_column_fails_while_planning(spark):
 def test_packed_window_limit(spark):
     with pytest.raises(ValueError):
         R.packed_counts(F.col("x"), None, 64)
+
+
+KEYS = {"double": lambda r: round(r.randrange(4_000) / 100, 2), "decimal(12,3)": lambda r: Decimal(r.randrange(900)) / 1000,
+        "string": lambda r: r.choice("abcd") * r.randrange(1, 9), "timestamp_ntz": lambda r: datetime(2024, 1, 1) + timedelta(
+            microseconds=r.randrange(300))}
+
+
+@pytest.mark.parametrize("rows_per_segment", [7, 100])
+@pytest.mark.parametrize("kind", sorted(KEYS))
+def test_any_order_column_is_cut_right(spark, kind, rows_per_segment):
+    """Small steps, equal values told apart by the tie breaker, nulls, and columns that are no numbers."""
+    rng = random.Random(rows_per_segment)
+    rows = [(None if rng.random() < 0.02 else KEYS[kind](rng), i, rng.choice("xy")) for i in range(900)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, f"at {kind}, tie int, key string")
+    for by in ((), ("key",)):
+        seq = sequence(df, ["at", "tie"], by, rows_per_segment=rows_per_segment)
+        assert seq.split
+        got = {r.tie: r.pos for r in seq.number("pos").frame().collect()}
+        ranked = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1]))
+        want = {}
+        for k in "xy" if by else (None,):
+            want |= {r[1]: n for n, r in enumerate(r for r in ranked if k in (None, r[2]))}
+        assert got == want

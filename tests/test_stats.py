@@ -91,3 +91,12 @@ def test_chi_square(spark):
     df = spark.createDataFrame(cases, "x double, dof int, expected double").coalesce(1)
     for r in df.select("expected", S.chi_square_p_value(F.col("x"), F.col("dof")).alias("p")).collect():
         assert r.p == pytest.approx(r.expected, rel=1e-8, abs=1e-13)
+
+
+@pytest.mark.parametrize("dof", [10 ** 4, 10 ** 5, 10 ** 6])
+def test_chi_square_at_many_degrees_of_freedom(spark, dof):
+    """Against the cube-root normal approximation, which is very close there; both sides of the mean."""
+    for z in (-3.0, 0.0, 0.5, 3.0):
+        statistic = dof * (1 - 2 / (9 * dof) + z * math.sqrt(2 / (9 * dof))) ** 3
+        got = spark.range(1).select(S.chi_square_p_value(F.lit(statistic), F.lit(dof))).first()[0]
+        assert got == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), abs=2e-5)

@@ -170,25 +170,29 @@ def log_gamma(x: Column) -> Column:
 
 
 def chi_square_p_value(statistic: Column, dof: Column) -> Column:
-    """P(chi-square with ``dof`` degrees of freedom >= statistic)."""
+    """P(chi-square with ``dof`` degrees of freedom >= statistic).
+
+    Both expansions need about the square root of ``dof`` terms near the mean, so their lengths grow with it.
+    """
     def series(s: Column) -> Column:
         def add(acc: Column, i: Column) -> Column:
             term = acc["t"] * s["x"] / (s["a"] + i)
             return F.struct(term.alias("t"), (acc["s"] + term).alias("s"))
-        lower = F.aggregate(F.sequence(F.lit(1), F.lit(600)), F.struct((1 / s["a"]).alias("t"), (1 / s["a"]).alias("s")),
+        lower = F.aggregate(F.sequence(F.lit(1), F.lit(600) + 12 * s["root"]), F.struct((1 / s["a"]).alias("t"), (1 / s["a"]).alias("s")),
                             add, lambda acc: acc["s"])
         return 1 - s["scale"] * lower
 
     def fraction(s: Column) -> Column:
         # Continued fraction of the upper tail, evaluated from the far end.
         def step(acc: Column, i: Column) -> Column:
-            j = 401 - i
+            j = s["steps"] + 1 - i
             return s["x"] + (2 * j - 1) - s["a"] + 0.0 - j * (j - s["a"]) / acc
-        start = s["x"] + 801 - s["a"]
-        value = F.aggregate(F.sequence(F.lit(1), F.lit(400)), start, step)
+        start = s["x"] + 2 * s["steps"] + 1 - s["a"]
+        value = F.aggregate(F.sequence(F.lit(1), s["steps"].cast("int")), start, step)
         return s["scale"] / value
 
-    return let({"a": _d(dof) / 2, "x": _d(statistic) / 2,
+    root = F.ceil(F.sqrt(F.greatest(_d(dof), F.lit(0.0)) / 2)).cast("int")
+    return let({"a": _d(dof) / 2, "x": _d(statistic) / 2, "root": root, "steps": _d(400 + 12 * root),
                 "scale": F.exp(-_d(statistic) / 2 + _d(dof) / 2 * F.log(_d(statistic) / 2) - log_gamma(_d(dof) / 2))},
                lambda s: F.when(s["a"] <= 0, 1.0).when(s["x"] <= 0, 1.0)
                .when(s["x"] < s["a"] + 1, series(s)).otherwise(fraction(s)))

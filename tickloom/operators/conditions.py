@@ -19,7 +19,6 @@ FAR_DISTANCE = 0.4
 GRID_DELTAS = (-0.05, -0.075, -0.1, -0.125, -0.15, -0.2)
 GRID_VOLATILITIES = (0.1, 0.12, 0.145358, 0.17, 0.2)
 
-EXACT_ROWS = 2_000_000
 BINS = 4_096
 
 
@@ -58,53 +57,47 @@ def _rank_bounds(q: float, n: int) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), at - low
 
 
-def _order_statistic(values: DataFrame, rank: int, lo: float, hi: float, n: int) -> float:
-    """The value with ``rank`` values below it, by counting in ever narrower ranges.
+def _order_statistics(df: DataFrame, wanted: dict[str, tuple[Column, int, float, float]]) -> dict[str, float]:
+    """For each name the value of (column, rank, lowest, highest) with ``rank`` values below it.
 
-    Each pass is one aggregate with at most BINS groups; no task ever holds the
-    values.  The last range has few rows or one value.
+    Ranges are narrowed by counting: each pass is one aggregate for all names, with at most BINS groups a name, and
+    keeps the bin that holds the rank, until a bin has one value. No values are gathered anywhere.
     """
-    v = F.col("v")
-    inside = n
-    while lo < hi and inside > EXACT_ROWS:
-        width = (hi - lo) / BINS
-        bin_ = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(BINS - 1))
-        rows = (values.where(v.between(lo, hi)).groupBy(bin_.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
-        for r in sorted(rows, key=lambda r: r["b"]):
-            if rank < r["n"]:
-                lo, hi, inside = r["lo"], r["hi"], r["n"]
-                break
-            rank -= r["n"]
-    if lo == hi:
-        return lo
-    return values.where(v.between(lo, hi)).orderBy("v").offset(rank).limit(1).first()["v"]
+    state = {name: (rank, lo, hi) for name, (_, rank, lo, hi) in wanted.items()}
+    while open_ := {name: s for name, s in state.items() if s[1] < s[2]}:
+        parts = []
+        for name, (_, lo, hi) in open_.items():
+            v = wanted[name][0].cast("double")
+            # The division may round a value just under an edge into the next bin, alike for equal values.
+            width = max(hi / BINS - lo / BINS, 5e-324)
+            place = F.floor(F.least((v - F.lit(lo)) / F.lit(width), F.lit(BINS - 1.0))).cast("int")
+            parts.append(F.struct(F.lit(name).alias("name"), F.when(v.between(lo, hi), place).alias("bin"), v.alias("v")))
+        rows = (df.select(F.explode(F.array(*parts)).alias("p")).where("p.bin IS NOT NULL").groupBy("p.name", "p.bin")
+                .agg(F.count(F.lit(1)).alias("n"), F.min("p.v").alias("lo"), F.max("p.v").alias("hi")).collect())
+        for name, (rank, *_) in open_.items():
+            for r in sorted((r for r in rows if r["name"] == name), key=lambda r: r["bin"]):
+                if rank < r["n"]:
+                    state[name] = (rank, r["lo"], r["hi"])
+                    break
+                rank -= r["n"]
+    return {name: lo for name, (_, lo, _) in state.items()}
 
 
 def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> dict[str, float | None]:
-    """Exact quantiles with linear interpolation, as numbers for later conditions.
-
-    Up to EXACT_ROWS values the built-in ``percentile`` does all of them in one
-    job.  Beyond that its value map would not fit one task, and each order
-    statistic is found by narrowing counts instead.
-    """
+    """Exact quantiles with linear interpolation, as numbers for later conditions; the same way at every size."""
     size = df.agg(*[f(c).alias(f"{name}_{kind}") for name, (c, _) in wanted.items()
                     for kind, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    counts = {name: size[f"{name}_n"] for name in wanted}
-    if max(counts.values()) <= EXACT_ROWS:
-        row = df.agg(*[F.percentile(c, F.lit(q)).alias(name) for name, (c, q) in wanted.items()]).first()
-        return {name: row[name] for name in wanted}
-    out: dict[str, float | None] = {}
+    ranks: dict[str, tuple[Column, int, float, float]] = {}
+    shares: dict[str, float] = {}
     for name, (c, q) in wanted.items():
-        n = counts[name]
-        if n == 0:
-            out[name] = None
-            continue
-        values = df.select(c.cast("double").alias("v")).where(F.col("v").isNotNull())
-        low, high, share = _rank_bounds(q, n)
-        a = _order_statistic(values, low, float(size[f"{name}_lo"]), float(size[f"{name}_hi"]), n)
-        b = a if high == low or share == 0 else \
-            _order_statistic(values, high, float(size[f"{name}_lo"]), float(size[f"{name}_hi"]), n)
+        if n := size[f"{name}_n"]:
+            low, high, shares[name] = _rank_bounds(q, n)
+            for end, rank in (("low", low), ("high", high)):
+                ranks[f"{name} {end}"] = (c, rank, float(size[f"{name}_lo"]), float(size[f"{name}_hi"]))
+    found = _order_statistics(df, ranks)
+    out: dict[str, float | None] = dict.fromkeys(wanted)
+    for name, share in shares.items():
+        a, b = found[f"{name} low"], found[f"{name} high"]
         out[name] = a + (b - a) * share
     return out
 

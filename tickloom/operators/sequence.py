@@ -20,8 +20,6 @@ import math
 from collections.abc import Callable, Sequence as Seq
 from dataclasses import dataclass, replace
 
-import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,21 +43,6 @@ def epoch_micros(c: Column) -> Column:
     return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
-def _as_number(df: DataFrame, name: str) -> Column | None:
-    """A number that grows with the column, or None where there is no cheap one."""
-    kind = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(kind, T.TimestampNTZType):
-        return epoch_micros(c)
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(c)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c)
-    if isinstance(kind, T.NumericType):
-        return c
-    return None
-
-
 def _same(left: DataFrame, right: DataFrame, names: Seq[str]) -> Column:
     cond = F.lit(True)
     for n in names:
@@ -262,7 +245,7 @@ def sequence(df: DataFrame, order: Seq[str], by: Seq[str] = (), rows_per_segment
              max_segments: int = MAX_SEGMENTS) -> Sequence:
     """Order ``df`` by ``order`` within ``by`` and cut the keys that are too long.
 
-    ``order`` must be unique within a key: a time column and a tie breaker.
+    ``order`` must be unique within a key: a time column and a tie breaker, of any types that sort.
     Runs one small aggregate; only if a key is too long also one sample.
     """
     if not order:
@@ -278,48 +261,52 @@ def sequence(df: DataFrame, order: Seq[str], by: Seq[str] = (), rows_per_segment
         return Sequence(df, by, order)
 
     limit = max(rows_per_segment, math.ceil(rows / max_segments))
-    place = [_as_number(df, c) for c in order[:2]]
-    if place[0] is None:
-        raise ValueError(f"cannot cut a sequence on column {order[0]}: not a number or time")
-    tie = place[1] if len(place) > 1 else None
-
     # At most rows / limit keys are longer than limit.
     hot = [r.asDict() for r in per_key.where(F.col("_n") > limit).collect()]
     if not hot:
         return Sequence(df, by, order)
-    span = df.agg(F.min(place[0]).alias("lo"), F.max(place[0]).alias("hi"),
-                  *([F.min(tie).alias("tlo"), F.max(tie).alias("thi")] if tie is not None else [])).first()
-    width = float(span["hi"]) - float(span["lo"]) + 1.0
-    at = (place[0] - F.lit(span["lo"])).cast("double")
-    if tie is not None:
-        # Rows that share one time are told apart by the tie breaker.
-        twidth = float(span["thi"]) - float(span["tlo"]) + 1.0
-        at = at + (tie - F.lit(span["tlo"])).cast("double") / F.lit(twidth)
-    at = F.coalesce(at, F.lit(0.0))
-
-    if by:
-        fields = [df.schema[c] for c in by] + [T.StructField("_id", T.IntegerType())]
-        ids = spark.createDataFrame([(*[h[c] for c in by], i) for i, h in enumerate(hot)], T.StructType(fields))
-        marked = lookup(df, ids, by)
-    else:
-        marked = df.withColumn("_id", F.lit(0))
-    marked = marked.withColumn("_at", F.col("_id") * F.lit(width) + at)
-
-    wanted = sum(math.ceil(h["_n"] / limit) for h in hot) * SAMPLE_PER_SEGMENT
-    share = wanted / sum(h["_n"] for h in hot)
-    sample = marked.where(F.col("_id").isNotNull()).select("_id", "_at")
+    pieces = [math.ceil(h["_n"] / limit) for h in hot]
+    fields = [df.schema[c] for c in by]
+    marked = _with_table(df, by, [*fields, T.StructField("_pieces", T.IntegerType())],
+                         [(*[h[c] for c in by], n) for h, n in zip(hot, pieces)])
+    share = sum(pieces) * SAMPLE_PER_SEGMENT / sum(h["_n"] for h in hot)
+    sample = marked.where(F.col("_pieces").isNotNull())
     if share < 0.9:
         sample = sample.sample(fraction=share, seed=7)
-    drawn = sample.toPandas()
-    edges: set[float] = set()
-    for i, part in drawn.groupby("_id")["_at"]:
-        pieces = math.ceil(hot[int(i)]["_n"] / limit)
-        values = np.sort(part.to_numpy())
-        edges.update(float(values[(len(values) * j) // pieces]) for j in range(1, pieces))
-    splits = [-math.inf, *sorted(edges), math.inf]
-    if len(splits) < 3:
+    # Rows are placed by all order columns together, so rows that share the first are told apart by the next. The
+    # sample of a key has about SAMPLE_PER_SEGMENT rows for each of its segments.
+    at = F.struct(*[F.col(c) for c in order])
+    drawn = sample.groupBy(*by, "_pieces").agg(F.sort_array(F.collect_list(at)).alias("_drawn"))
+    edge = F.transform(F.sequence(F.lit(1), F.col("_pieces") - 1), lambda j: F.element_at(
+        "_drawn", F.floor(F.size("_drawn") * j / F.col("_pieces")).cast("int") + 1))
+    found = drawn.select(*by, F.array_distinct(edge).alias("_edges"))
+    kind = found.schema["_edges"].dataType
+    # Only the edges, one less than segments, reach the driver and go back as literals.
+    edges = [tuple(r) for r in found.collect()]
+    if not edges:
         return Sequence(df, by, order)
-    cut = Bucketizer(splits=splits, inputCol="_at", outputCol=SEG, handleInvalid="keep").transform(
-        marked.withColumn("_at", F.coalesce("_at", F.lit(-1.0))))
-    cut = cut.withColumn(SEG, F.when(F.col("_id").isNull(), F.lit(-1)).otherwise(F.col(SEG).cast("int")))
-    return Sequence(cut.drop("_id", "_at"), by, order, split=True)
+    cut = _with_table(df, by, [*fields, T.StructField("_edges", kind)], edges)
+    cut = cut.withColumn(SEG, F.when(F.col("_edges").isNull(), F.lit(-1)).otherwise(_rank_among("_edges", at)))
+    return Sequence(cut.drop("_edges"), by, order, split=True)
+
+
+def _with_table(df: DataFrame, by: Seq[str], fields: list[T.StructField], rows: list[tuple]) -> DataFrame:
+    """Add columns from a few rows: one per key, or one for all where there is no key."""
+    small = df.sparkSession.createDataFrame(rows, T.StructType([
+        T.StructField(f.name, f.dataType, True) for f in fields]))
+    if "_edges" in small.columns:
+        # Runs of edges, so that a row is compared with the first of each run and then inside one run.
+        n = F.size("_edges")
+        width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+        runs = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")),
+                           lambda i: F.slice("_edges", i * width + 1, width))
+        small = small.withColumn("_edges", F.struct(
+            runs.alias("runs"), F.transform(runs, lambda r: r[0]).alias("heads"), width.alias("width")))
+    return lookup(df, small, by) if by else df.join(F.broadcast(small), how="cross")
+
+
+def _rank_among(edges: str, at: Column) -> Column:
+    """How many edges are not above ``at``."""
+    heads = F.size(F.filter(F.col(edges)["heads"], lambda e: e <= at))
+    inside = F.size(F.filter(F.element_at(F.col(edges)["runs"], heads), lambda e: e <= at))
+    return F.when(heads == 0, 0).otherwise((heads - 1) * F.col(edges)["width"] + inside)
