@@ -172,13 +172,16 @@ def test_large_group_of_near_copies(spark):
     assert dict(rows(near_duplicates(documents(spark, pairs), words=4), "doc_id", "component_id")) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [10 ** 6, 60])
+def test_components(spark, chunk):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1100)]
     edges += [(5000, k) for k in range(4000, 4200)]
     nodes = sorted({n for e in edges for n in e if e[0] != e[1]})
     near = {frozenset(e) for e in edges}
-    got = dict(rows(connected(spark.createDataFrame(edges, "a long, b long")), "node", "component"))
+    got = rows(connected(spark.createDataFrame(edges, "a long, b long"), chunk=chunk), "node", "component")
+    assert len(got) == len(nodes)
+    got = dict(got)
     assert got == components(nodes, lambda a, b: frozenset((a, b)) in near)
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 

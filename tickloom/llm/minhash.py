@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,6 +19,7 @@ SHINGLE_WORDS = 5
 PERMUTATIONS = 48
 BAND_ROWS = 4
 PERCENT = 80
+BLOCK = 512
 
 
 def signature(h: np.ndarray, bounds: np.ndarray, permutations: int, band_rows: int) -> np.ndarray:
@@ -97,10 +100,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates, and every link is confirmed on the full sets. With the defaults (48 permutations give 96 values, 24
     bands of 4) a pair at 0.8 is missed with a chance of about 3 in a million.
 
-    Within a band key the smallest member is compared with all others, then a second one chosen by hash, in the keys
-    that still have members of more than one component. What remains apart is compared exactly: every member outside the
-    key's largest component with all members of other components. So large groups of near copies cost a few
-    comparisons per member, and no link that could join two components is left out.
+    Candidates that hang together form a family. The sets of a family of up to BLOCK classes meet in one group, where
+    all its links are found. In a larger family every class is first compared with the smallest and with a second
+    class of its band keys; then those outside the family's largest component are the queries, and meet all classes of
+    the family in blocks of about BLOCK queries. So a large group of near copies costs a few comparisons per class
+    and its stragglers, no group of unbounded size is in one task, and no link that could join two components is left
+    out. A task returns the links that join components, not all of them.
 
     Null and empty texts have no shingles and stay alone; a null id stays alone as well. Rows repeated with one id
     are one node. Other columns are ignored; an empty table gives no rows. Component ids are the smallest doc_id.
@@ -115,56 +120,123 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("head"), F.min(
         F.struct(F.xxhash64("id", "key"), "id", "n")).alias("other")).where("members > 1")
     members = stored(keyed.join(full, "key").select(
-        "key", "id", "n", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"),
+        "id", "n", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"),
         F.col("other.id").alias("other"), F.col("other.n").alias("other_n")))
+    families = stored(components(members.select(F.col("id").alias("a"), F.col("head").alias("b"))).select(
+        F.col("node").alias("id"), F.col("component").alias("family")))
+    sets = stored(shingle_table(rows.join(families.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"),
+                                words).dropDuplicates(["id"]))
+    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
+
+    large = sizes.where(F.col("size") > BLOCK).select("family")
+    edges = None
+    if not large.isEmpty():
+        inside = stored(members.join(families.join(large, "family"), "id"))
+        pairs = [star(inside, centre, percent) for centre in ("head", "other")]
+        edges = stored(linked(stored(pairs[0].union(pairs[1]).distinct()), sets, percent))
+        found = components(edges).select(F.col("node").alias("id"), "component")
+        families = families.join(found, "id", "left")
+    families = stored(families.select("id", "family", (F.coalesce("component", "id") if edges else F.col("id")).alias(
+        "component")))
+    rest = compared(families, sets, percent)
+    found = components(edges.union(rest) if edges else rest).select(F.col("node").alias("id"), "component")
 
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(shingle_table(rows.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["id"]))
-
-    first = stored(ordered_pairs(members.select(F.col("head").alias("x"), F.col("head_n").alias("x_n"), F.col(
-        "id").alias("y"), F.col("n").alias("y_n")), percent))
-    edges = stored(linked(first, sets, percent))
-
-    joint = with_component(members, edges)
-    second = stored(ordered_pairs(joint.select(F.col("other").alias("x"), F.col("other_n").alias("x_n"), F.col(
-        "id").alias("y"), F.col("n").alias("y_n")), percent).join(first, ["a", "b"], "left_anti"))
-    edges = stored(edges.union(linked(second, sets, percent)))
-
-    joint = with_component(members, edges)
-    sizes = joint.groupBy("key", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m")).select(
-        "key", F.col("m.component").alias("largest"))
-    asked = joint.join(largest, "key").where("component <> largest").select(
-        "key", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_c"), "largest")
-    # Two members outside the largest component meet once; one inside it meets only those outside.
-    met = asked.join(joint.select("key", F.col("id").alias("y"), F.col("n").alias("y_n"), F.col(
-        "component").alias("y_c")), "key").where("x_c <> y_c AND (y_c = largest OR x < y)")
-    rest = ordered_pairs(met, percent).join(first.union(second), ["a", "b"], "left_anti")
-    edges = edges.union(linked(stored(rest), sets, percent))
-
-    found = components(edges).select(F.col("node").alias("id"), "component")
     named_ = classes.join(found, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
-    # Rows repeated under one id may have different texts: the id is one node, so its classes are one component.
     out = thin.join(named_, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def ordered_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a < b) whose sizes allow the similarity."""
-    fits = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
-    return met.where((F.col("x") != F.col("y")) & fits).select(F.least("x", "y").alias("a"), F.greatest(
-        "x", "y").alias("b")).distinct()
+def star(members: DataFrame, centre: str, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of each member and the centre of its key whose sizes allow the similarity."""
+    fits = 100 * F.least("n", f"{centre}_n") >= percent * F.greatest("n", f"{centre}_n")
+    return members.where((F.col("id") != F.col(centre)) & fits).select(
+        F.least("id", centre).alias("a"), F.greatest("id", centre).alias("b")).distinct()
+
+
+def compared(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components of a family: queries, in blocks, against all its classes.
+
+    ``families`` has rows (id, family, component). Queries are the classes outside the largest component.
+    """
+    counts = families.groupBy("family", "component").agg(F.count("*").alias("size"))
+    whole = counts.groupBy("family").agg(F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("m"))
+    # In a family without links so far every class but one is a query.
+    whole = whole.where("all > m.size").select("family", F.col("m.component").alias("largest"), F.ceil(
+        (F.col("all") - F.col("m.size")) / BLOCK).cast("int").alias("blocks"))
+    told = families.join(whole, "family")
+    asked = told.where("component <> largest").select(
+        "family", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "id",
+        "component")
+    every = told.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                        F.lit(1).alias("side"), "id", "component")
+    dealt = asked.union(every).join(sets, "id").repartition("family", "block").sortWithinPartitions(
+        "family", "block", "side", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, block = None, None
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            columns = [batch[c].to_pylist() for c in ("family", "block", "side", "id", "component")]
+            for family, number, side, id_, component, raw in zip(*columns, batch["hashes"]):
+                if (family, number) != here:
+                    here, block = (family, number), Queries(percent)
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                if side == 0:
+                    block.add(id_, component, own)
+                else:
+                    for q in block.links(component, own):
+                        out[0].append(q)
+                        out[1].append(id_)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def with_component(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members of those keys that still have more than one component."""
-    found = components(edges).select(F.col("node").alias("id"), "component")
-    named_ = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = named_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(
-        "lo <> hi").select("key")
-    return stored(named_.join(apart, "key", "left_semi"))
+class Queries:
+    """The sets of a block of queries, as one sorted list of (shingle, query)."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+        self.ids: list[int] = []
+        self.components: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.index: tuple[np.ndarray, np.ndarray] | None = None
+        self.up: dict[int, int] = {}
+
+    def add(self, id_: int, component: int, own: np.ndarray) -> None:
+        self.ids.append(id_)
+        self.components.append(component)
+        self.sets.append(own.copy())
+
+    def root(self, x: int) -> int:
+        while self.up.setdefault(x, x) != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def links(self, component: int, own: np.ndarray) -> list[int]:
+        """Queries that this set is linked to and whose component it joins for the first time in this block."""
+        if not self.ids:
+            return []
+        if self.index is None:
+            sizes = np.array([len(s) for s in self.sets])
+            every, owner = np.concatenate(self.sets), np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(every, kind="stable")
+            self.index, self.sizes, self.sets = (every[order], owner[order]), sizes, []
+        hashes, owner = self.index
+        lo, hi = np.searchsorted(hashes, own, side="left"), np.searchsorted(hashes, own, side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(self.ids))
+        out = []
+        for k in np.flatnonzero(100 * both >= self.percent * (self.sizes + len(own) - both)):
+            x, y = self.root(self.components[k]), self.root(component)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                out.append(self.ids[k])
+        return out
 
 
 def shingle_table(rows: DataFrame, words: int) -> DataFrame:
