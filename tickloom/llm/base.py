@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_CHARS = 1_000_000
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -43,7 +45,7 @@ def per_text(rows: DataFrame, schema: str, make: Callable[[], Callable[[list, li
 
     ``make`` is called once per task and gives a function from the ids and texts
     of a batch to named columns, which may hold any number of rows. Batches are cut
-    at about 4 million characters, so long texts do not add up.
+    at about BATCH_CHARS characters, so long texts do not add up.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
@@ -53,7 +55,7 @@ def per_text(rows: DataFrame, schema: str, make: Callable[[], Callable[[list, li
             start, size = 0, 0
             for i, n in enumerate(sizes):
                 size += n
-                if size > 4_000_000 or i + 1 == len(sizes):
+                if size > BATCH_CHARS or i + 1 == len(sizes):
                     part = slice(start, i + 1)
                     out = fn(ids.slice(start, i + 1 - start).to_pylist(), text.slice(start, i + 1 - start).to_pylist())
                     start, size = part.stop, 0

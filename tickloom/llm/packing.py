@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -19,18 +20,36 @@ from tickloom.storage import stored
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 # Words whose tokens do not depend on the version of a Unicode table: visible ASCII and composed Latin letters.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ɏ]+")
 # Fixed value: the word pattern of the tokenizer file, for plain words.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ɏ0-9]+")
 
 
+class Recent(dict):
+    """Values by key, made when missing. When ``size`` are held they become the old ones, and those used again stay."""
+
+    def __init__(self, make: Callable, size: int) -> None:
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordTokens:
     """Token ids of a text, as bytes of little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and lets nothing cross it, so words are encoded one by one and remembered
-    (``CACHED_WORDS`` at most). The merges are the library's own; unusual words, and texts with
+    (twice ``CACHED_WORDS`` at most). The merges are the library's own; unusual words, and texts with
     marks of special tokens, go through the library's whole path.
     """
 
@@ -41,40 +60,29 @@ class WordTokens:
         self.whole = Tokenizer.from_file(file)
         self.model, self.normal = self.whole.model, self.whole.normalizer
         self.letters = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known = Recent(self.word, CACHED_WORDS)
+        self.parts = Recent(self.part, CACHED_WORDS // 2)
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text:
             return packed(self.whole.encode(text, add_special_tokens=False).ids)
-        words = text.encode().split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            for held in (self.known, self.parts):
-                if len(held) > CACHED_WORDS:
-                    held.clear()
-            for w in words:
-                if w not in self.known:
-                    self.known[w] = self.word(w.decode())
-            return b"".join(map(self.known.__getitem__, words))
-
-    def word(self, word: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, text.encode().split()))
+
+    def word(self, raw: bytes) -> bytes:
+        word = raw.decode()
         if not PLAIN.fullmatch(word):
             return packed(self.whole.encode(word, add_special_tokens=False).ids)
         low = word.lower() if word.isascii() else self.normal.normalize_str(word)
         if low.isalpha():
-            return self.part(low)
+            return self.parts[low]
         if not PLAIN.fullmatch(low):
             return packed(self.whole.encode(word, add_special_tokens=False).ids)
-        return b"".join(map(self.part, PIECES.findall(low)))
+        return b"".join(map(self.parts.__getitem__, PIECES.findall(low)))
 
     def part(self, piece: str) -> bytes:
         """Ids of a lower-case match of the word pattern: words differ by case and punctuation more than parts do."""
-        if piece not in self.parts:
-            symbols = piece if piece.isascii() else self.letters.pre_tokenize_str(piece)[0][0]
-            self.parts[piece] = packed([t.id for t in self.model.tokenize(symbols)])
-        return self.parts[piece]
+        symbols = piece if piece.isascii() else self.letters.pre_tokenize_str(piece)[0][0]
+        return packed([t.id for t in self.model.tokenize(symbols)])
 
 
 def packed(ids: list[int]) -> bytes:

@@ -155,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, terms:
                         seen.update(own[w])
                     for f in seen:
                         found[f] = found.get(f, 0) + 1
-                if len(own) > 500_000:
+                if len(own) > 100_000:
                     own.clear()
                 return {"term": list(found), "docs": list(found.values())}
 
