@@ -68,6 +68,34 @@ def test_state_store_version_agrees(spark, tmp_path):
     assert key(spark.read.schema(V.PREDICTION).parquet(out)) == expected(spark, rows)
 
 
+def test_disordered_files_lose_nothing(spark, tmp_path):
+    """24 files in any order, with repeated ticks and equal times: what a stored table gives, in batch and stream."""
+    rows = make(480, 5)
+    rng = random.Random(6)
+    rows += [(s, t, round(p + 0.5, 2)) for s, t, p in rng.sample(rows, 40)]
+    want = expected(spark, rows)
+    shuffled = rng.sample(rows, len(rows))
+    assert len(want) > 3 and expected(spark, shuffled) == want
+    inbox = tmp_path / "in"
+    for i in range(24):
+        write(inbox, f"{i:02d}", shuffled[i::24])
+    handler = V.LivePrediction(spark, str(tmp_path / "out"), RULE, delay=500)
+    V.run_available(stream(spark, inbox, 8), handler, str(tmp_path / "mark"))
+    assert key(handler.predictions()) == []
+    handler.close()
+    assert key(handler.predictions()) == want
+    # Nearly ordered: a short delay is enough, and most is out before the end.
+    near = sorted(rows, key=lambda r: (r[1] + rng.randint(-15, 15)))
+    inbox = tmp_path / "near"
+    for i in range(6):
+        write(inbox, f"{i:02d}", near[i * 90:(i + 1) * 90])
+    handler = V.LivePrediction(spark, str(tmp_path / "out2"), RULE, delay=40)
+    V.run_available(stream(spark, inbox), handler, str(tmp_path / "mark2"))
+    early = key(handler.predictions())
+    handler.close()
+    assert len(early) > 0 and set(early) <= set(want) and key(handler.predictions()) == want
+
+
 def test_signal_on_the_last_tick_stays_pending(spark):
     rows = make(200, 3)
     whole = expected(spark, rows)

@@ -22,7 +22,8 @@ from tickloom.sources.ticks import prediction_stats
 STATE = "symbol string, time bigint, price double, digit int, ticks_before bigint"
 PREDICTION = ("symbol string, signal_time bigint, result_time bigint, signal_price double, result_price double, "
               "previous_digit int, predicted_digit int, actual_digit int, delta double, volatility double, correct int")
-COUNTS = "symbol string, predictions bigint, correct bigint"
+TICK = "symbol string, time bigint, price double, digit int"
+CLOSING = "closing"
 STATUS_EVERY = 100
 
 
@@ -58,67 +59,88 @@ def resolved(df: DataFrame, rule: Rule) -> DataFrame:
         F.col("live_volatility").alias("volatility"), flag(F.col("actual_digit") == rule.target).alias("correct"))
 
 
+def distinct_ticks(ticks: DataFrame) -> DataFrame:
+    """One tick per symbol and time, the one with the lowest price: the same in batch and stream, in any input order."""
+    one = ticks.groupBy("symbol", "time").agg(F.min(F.struct("price", "digit")).alias("_tick"))
+    return one.select("symbol", "time", "_tick.price", "_tick.digit")
+
+
 def batch_predictions(ticks: DataFrame, rule: Rule) -> DataFrame:
     """All predictions of a stored tick table."""
-    return resolved(with_signal(sequence(ticks, ["time"], ["symbol"]), rule).frame(), rule)
+    return resolved(with_signal(sequence(distinct_ticks(ticks), ["time"], ["symbol"]), rule).frame(), rule)
 
 
 class LivePrediction:
     """``foreachBatch`` handler.  Everything it keeps is a table under ``path``, one version per micro-batch.
 
     A repeated micro-batch overwrites its own version, so a restart neither loses
-    nor doubles a row.  Ticks that are not newer than the last one of their
-    symbol are ignored.
+    nor doubles a row.  Ticks may come out of order: those newer than the latest
+    time seen less ``delay`` are held back until the stream has moved on, so a
+    tick is lost only if it comes more than ``delay`` late.  ``close`` takes
+    the held ticks in when no more will come; a later micro-batch undoes that.
+    Ticks that are not newer than the last one of their symbol are ignored.
     """
 
-    def __init__(self, spark: SparkSession, path: str, rule: Rule = Rule()):
-        self.spark, self.path, self.rule = spark, path.rstrip("/"), rule
+    def __init__(self, spark: SparkSession, path: str, rule: Rule = Rule(), delay: int = 0):
+        self.spark, self.path, self.rule, self.delay = spark, path.rstrip("/"), rule, delay
+        self._batch, self._closed = -1, False
 
-    def _version(self, name: str, batch: int) -> str:
-        return f"{self.path}/{name}/batch={batch}"
+    def _version(self, name: str, batch: int | str) -> str:
+        return f"{self.path}/{name}/closing" if batch == CLOSING else f"{self.path}/{name}/batch={batch}"
 
-    def _read(self, name: str, batch: int, schema: str) -> DataFrame:
-        if batch < 0:
+    def _read(self, name: str, batch: int | str, schema: str) -> DataFrame:
+        if batch == -1:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self._version(name, batch))
 
+    def _write(self, df: DataFrame, name: str, batch: int | str) -> DataFrame:
+        """Write a version and read it from there on."""
+        df.write.mode("overwrite").parquet(self._version(name, batch))
+        return self.spark.read.schema(df.schema).parquet(self._version(name, batch))
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        last = self._read("state", batch_id - 1, STATE)
+        self._closed, self._batch = False, batch_id
+        held = self._read("held", batch_id - 1, TICK)
+        come = self._write(distinct_ticks(batch.select("symbol", "time", "price", "digit").unionByName(held)), "come", batch_id)
+        latest = come.agg(F.max("time")).first()[0]
+        ready = F.col("time") <= (latest or 0) - self.delay
+        self._write(come.where(~ready), "held", batch_id)
+        self._advance(come.where(ready), batch_id - 1, batch_id)
+
+    def close(self) -> None:
+        """Take in the ticks that are still held back."""
+        if self._batch >= 0:
+            self._advance(self._read("held", self._batch, TICK), self._batch, CLOSING)
+            self._closed = True
+
+    def _advance(self, ticks: DataFrame, before: int, batch: int | str) -> None:
+        last = self._read("state", before, STATE)
         marks = last.groupBy("symbol").agg(F.max("time").alias("_mark"), F.max("ticks_before").alias("_before"))
-        fresh = (batch.dropDuplicates(["symbol", "time"]).join(marks, "symbol", "left")
+        fresh = (ticks.join(marks, "symbol", "left")
                  .where(F.col("_mark").isNull() | (F.col("time") > F.col("_mark")))
                  .select("symbol", "time", "price", "digit", F.lit(None).cast("bigint").alias("ticks_before"),
                          F.lit(True).alias("is_new")))
-        rows = last.withColumn("is_new", F.lit(False)).unionByName(fresh)
+        rows = self._write(last.withColumn("is_new", F.lit(False)).unionByName(fresh), "input", batch)
         seq = with_signal(sequence(rows, ["time"], ["symbol"]), self.rule)
         # The next tick must be new, or the signal was resolved in an earlier batch.
         seq = seq.derive(lambda w: {"_next_new": F.lead("is_new").over(w)}, fwd=1)
         # Ticks seen so far: the stored count of the last old tick, plus the new ones since.
         seq = seq.running({"_stored": (F.col("ticks_before"), "max"), "_new": (flag(F.col("is_new")).cast("bigint"), "sum")})
         seq = seq.with_columns({"ticks": F.coalesce("_stored", F.lit(0)) + F.col("_new")})
-        df = seq.frame()
         columns = [c.split()[0] for c in STATE.split(", ")]
-        df.select("symbol", "time", "price", "digit", "is_new", "signal", "ticks", "delta", "live_volatility",
-                  "previous_digit", "result_time", "result_price", "actual_digit", "_next_new") \
-            .write.mode("overwrite").parquet(self._version("rows", batch_id))
-        done = self.spark.read.parquet(self._version("rows", batch_id))
-
-        done.where("is_new AND signal").select("symbol", "time", "price", "delta", "live_volatility", "previous_digit") \
-            .write.mode("overwrite").parquet(self._version("signals", batch_id))
-        predictions = resolved(done.where("_next_new"), self.rule)
-        predictions.write.mode("overwrite").parquet(self._version("predictions", batch_id))
-        counts = (self._read("predictions", batch_id, PREDICTION).groupBy("symbol")
-                  .agg(F.count(F.lit(1)).alias("predictions"), F.sum("correct").alias("correct")))
-        (self._read("counts", batch_id - 1, COUNTS).unionByName(counts).groupBy("symbol")
-         .agg(F.sum("predictions").alias("predictions"), F.sum("correct").cast("bigint").alias("correct"))
-         .write.mode("overwrite").parquet(self._version("counts", batch_id)))
+        done = self._write(seq.frame().select(
+            "symbol", "time", "price", "digit", "is_new", "signal", "ticks", "delta", "live_volatility", "previous_digit",
+            "result_time", "result_price", "actual_digit", "_next_new"), "rows", batch)
+        self._write(done.where("is_new AND signal").select(
+            "symbol", "time", "price", "delta", "live_volatility", "previous_digit"), "signals", batch)
+        self._write(resolved(done.where("_next_new"), self.rule), "predictions", batch)
         newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("time").desc()))
-        (done.withColumn("_r", newest).where(F.col("_r") <= self.rule.prices + 1)
-         .withColumn("ticks_before", F.col("ticks")).select(*columns)
-         .write.mode("overwrite").parquet(self._version("state", batch_id)))
+        self._write(done.withColumn("_r", newest).where(F.col("_r") <= self.rule.prices + 1)
+                    .withColumn("ticks_before", F.col("ticks")).select(*columns), "state", batch)
 
     def _all(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/*")
+        paths = [f"{self.path}/{name}/batch=*"] + ([self._version(name, CLOSING)] if self._closed else [])
+        return self.spark.read.schema(schema).parquet(*paths)
 
     def predictions(self) -> DataFrame:
         return self._all("predictions", PREDICTION)
@@ -187,8 +209,8 @@ def stateful_predictions(ticks: DataFrame, rule: Rule) -> DataFrame:
     """The same predictions from a state per symbol: last prices, previous digits and the pending signal.
 
     Only the last ``rule.prices`` prices are kept.  A symbol's part of a
-    micro-batch is sorted in memory, so bound it with the source's rate limit;
-    ``LivePrediction`` has no such limit.
+    micro-batch is sorted in memory, so bound it with the source's rate limit, and micro-batches must follow each other
+    in time; ``LivePrediction`` has no such limits.
     """
     state_schema = "prices array<double>, digits array<int>, times array<bigint>, pending boolean, volatility double, delta double"
     limit_delta, limit_volatility = rule.delta, rule.volatility
