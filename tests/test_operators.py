@@ -197,3 +197,29 @@ def test_text_files_round_trip(spark, tmp_path):
     assert sorted((r["time"] or 0, r["price"] or 0.0) for r in clean.collect()) == [(0, 0.0), (1, 2.5)]
     assert src.prediction_stats(spark.createDataFrame([], "correct int")).first() == (0, 0)
     assert src.high_water_mark(raw.limit(0)).first()["last_time"] is None
+
+
+def test_permutations_from_counts_follow_those_of_rows(spark):
+    """Real accuracy is the same, and the shuffled accuracies have the mean and spread of shuffled rows."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice([0, 0, 1, 2]), rng.choice([3, 3, 4])) for i in range(600)]
+    df = spark.createDataFrame(rows, "pos long, feature int, label int")
+    train, test = df.where("pos < 450"), df.where("pos >= 450")
+    counted = {r.perm: (r.correct, r.n) for r in D.counted_permutation_scores(train, test, ["feature"], "label", 400).collect()}
+    plain = {r.perm: (r.correct, r.n) for r in D.permutation_scores(train, test, ["feature"], "label", "pos", 60).collect()}
+    assert len(counted) == 401 and counted[-1] == plain[-1]
+    again = {r.perm: (r.correct, r.n) for r in D.counted_permutation_scores(train, test, ["feature"], "label", 400).collect()}
+    assert counted == again
+    a, b = ([v[0] / v[1] for k, v in x.items() if k >= 0] for x in (counted, plain))
+    assert abs(np.mean(a) - np.mean(b)) < 4 * np.std(b) / np.sqrt(60) + 1e-9
+    # By hand: labels dealt to the three groups by shuffling the rows themselves.
+    train_rows, labels = [r for r in rows if r[0] < 450], [r[2] for r in rows if r[0] < 450]
+    by_hand = []
+    for _ in range(400):
+        rng.shuffle(labels)
+        seen = {}
+        for (_, f, _), v in zip(train_rows, labels):
+            seen.setdefault(f, []).append(v)
+        mode = {f: max(sorted(set(v)), key=v.count) for f, v in seen.items()}
+        by_hand.append(np.mean([mode[f] == v for i, f, v in rows if i >= 450]))
+    assert abs(np.mean(a) - np.mean(by_hand)) < 0.02 and abs(np.std(a) - np.std(by_hand)) < 0.02

@@ -110,6 +110,60 @@ def permutation_scores(train: DataFrame, test: DataFrame, features: Seq[str], la
     return per.withColumn("accuracy", F.col("correct") / F.col("n"))
 
 
+MAX_CELLS = 1_000_000
+
+
+def counted_permutation_scores(train: DataFrame, test: DataFrame, features: Seq[str], label: str, times: int,
+                               seed: int = 42) -> DataFrame:
+    """As ``permutation_scores``, with any number of permutations for one scan of the rows.
+
+    A mode predictor sees only how often each label meets each combination of feature values. Shuffled labels are
+    therefore drawn as tables: each combination gets its number of labels without replacement from those that are left,
+    which is how a random permutation distributes them. Each permutation has its own seed and is one row of the
+    job, so the cost is permutations times cells and does not depend on the number of rows. The counted table goes to
+    every task; beyond MAX_CELLS cells the call raises, and ``permutation_scores`` is the way.
+    """
+    import pandas as pd
+
+    side = [train.select(*features, label, F.lit(1).alias("_train"), F.lit(0).alias("_test")),
+            test.select(*features, label, F.lit(0).alias("_train"), F.lit(1).alias("_test"))]
+    counts = side[0].unionByName(side[1]).na.drop(subset=[*features, label]).groupBy(*features, label).agg(
+        F.sum("_train").alias("_train"), F.sum("_test").alias("_test"))
+    rows = counts.limit(MAX_CELLS + 1).toPandas()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} combinations of feature values and labels")
+    wide = rows.pivot_table(index=list(features), columns=label, values=["_train", "_test"], fill_value=0, aggfunc="sum")
+    labels = sorted(rows[label].unique())
+    learned, scored = (wide[c].reindex(columns=labels, fill_value=0).to_numpy().astype("int64") for c in ("_train", "_test"))
+    known = learned.sum(1) > 0
+    learned, scored = learned[known], scored[known]
+    spark = train.sparkSession
+    shared = spark.sparkContext.broadcast((learned, scored))
+
+    def draw(frames):
+        import numpy as np
+
+        real, hits = shared.value
+        sizes = real.sum(1)
+        every = np.arange(len(real))
+        for frame in frames:
+            out = []
+            for perm in frame["perm"]:
+                table = real
+                if perm >= 0:
+                    rng, left, table = np.random.default_rng([seed, int(perm)]), real.sum(0), np.zeros_like(real)
+                    for i, n in enumerate(sizes):
+                        table[i] = rng.multivariate_hypergeometric(left, n, method="marginals")
+                        left = left - table[i]
+                # Of equals the lowest label, which comes first.
+                out.append((int(perm), int(hits[every, table.argmax(1)].sum()), int(hits.sum())))
+            yield pd.DataFrame(out, columns=["perm", "correct", "n"])
+
+    perms = spark.range(-1, times, numPartitions=max(1, min(times, spark.sparkContext.defaultParallelism)))
+    per = perms.select(F.col("id").alias("perm")).mapInPandas(draw, "perm long, correct long, n long")
+    return per.withColumn("accuracy", F.col("correct") / F.col("n"))
+
+
 def permutation_summary(scores: DataFrame, population: bool = True) -> DataFrame:
     """Mean, deviation, upper percentiles of the shuffled scores and the empirical p-value."""
     shuffled = F.when(F.col("perm") >= 0, F.col("accuracy"))

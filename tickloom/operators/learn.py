@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.sequence import Sequence
+from tickloom.storage import stored
 
 # The features and combinations that are compared.
 SINGLE_FEATURES = ("previous_digit", "digit_change", "even_percentage_10", "even_percentage_25",
@@ -34,6 +35,10 @@ def chronological(seq: Sequence, share: float = 0.8, pos: str = "pos", mark: str
     return out.without("_total")
 
 
+BROADCAST_ROWS = 100_000
+SALTS = 16
+
+
 def mode_model(train: DataFrame, features: Seq[str], label: str) -> DataFrame:
     """Most frequent label for each combination of feature values, the lowest of equals."""
     counts = train.na.drop(subset=[*features, label]).groupBy(*features, label).agg(F.count(F.lit(1)).alias("_n"))
@@ -44,9 +49,16 @@ def mode_model(train: DataFrame, features: Seq[str], label: str) -> DataFrame:
 def predicted(test: DataFrame, model: DataFrame, features: Seq[str]) -> DataFrame:
     """Look the prediction up; rows whose values were never seen keep a null.
 
-    Spark broadcasts the model when its measured size allows.
+    A model of up to BROADCAST_ROWS rows, which is counted, goes to every task, so rows that share a few values are not
+    gathered by them. A larger one has many values and is joined on them, with the test rows of
+    each value dealt to SALTS places and the model copied to each.
     """
-    return test.join(model, list(features), "left")
+    small = stored(model.select(*features, "prediction"))
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return test.join(F.broadcast(small), list(features), "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = test.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in test.columns]), F.lit(SALTS)).cast("int"))
+    return salted.join(small.withColumn("_salt", salts), [*features, "_salt"], "left").drop("_salt")
 
 
 def mode_scores(df: DataFrame, sets: Seq[Seq[str]], label: str, mark: str = "is_train") -> DataFrame:

@@ -514,6 +514,31 @@ def _(spark, d):
     return D.permutation_summary(permutations(spark, d), population=False)
 
 
+REFERENCE_PERMUTATIONS = 500
+
+
+def counted_permutations(spark, d):
+    df = split_rows(spark, d).frame()
+    return D.counted_permutation_scores(df.where("is_train"), df.where(~F.col("is_train")), PERM_FEATURES, "next_digit",
+                                        REFERENCE_PERMUTATIONS)
+
+
+# The shuffled tables are drawn by a random generator, which SQL cannot repeat.
+@query("t07_permutations_500")
+def _(spark, d):
+    return D.permutation_summary(counted_permutations(spark, d))
+
+
+@query("t07_real_accuracy", train_cte() + f""", mo AS (SELECT previous_digit, digit_change, arg_max(next_digit, n * 100 - next_digit) AS prediction FROM
+  (SELECT previous_digit, digit_change, next_digit, count(*) AS n FROM x WHERE is_train GROUP BY ALL) GROUP BY ALL)
+SELECT count(*) AS n, CAST(sum(CAST(x.next_digit = prediction AS INTEGER)) AS BIGINT) AS correct, {r6('avg(CAST(x.next_digit = prediction AS INTEGER))', 'accuracy')}
+FROM x JOIN mo USING (previous_digit, digit_change) WHERE NOT is_train""")
+def _(spark, d):
+    df = split_rows(spark, d).frame()
+    return D.counted_permutation_scores(df.where("is_train"), df.where(~F.col("is_train")), PERM_FEATURES, "next_digit",
+                                        0).select("n", "correct", "accuracy")
+
+
 @query("t08_expected_hits", signal_cte() + f""", c AS ({grouped('symbol')}) SELECT symbol, observations, CAST(correct AS BIGINT) AS correct,
   {r6('observations * 0.1', 'expected')}, {r6('correct - observations * 0.1', 'excess')}, {r6('correct / observations - 0.1', 'difference')} FROM c""")
 def _(spark, d):
