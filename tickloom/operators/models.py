@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence as Seq
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +45,17 @@ def split(df: DataFrame, mark: str = "is_train") -> tuple[DataFrame, DataFrame]:
     return df.where(F.col(mark)), df.where(~F.col(mark))
 
 
-def assembled(features: Seq[str], scaled: bool = False) -> list:
-    """Assembler, and a scaler that is fitted on the training rows with them."""
-    raw = "raw" if scaled else "features"
-    stages = [VectorAssembler(inputCols=list(features), outputCol=raw)]
-    if scaled:
-        stages.append(StandardScaler(inputCol=raw, outputCol="features", withMean=True, withStd=True))
-    return stages
+def assembled(features: Seq[str], scaled: bool = False, rows: int = 0) -> list:
+    """Assembler, and a scaler that is fitted on the training rows with them.
+
+    Spark's scaler divides by the sample deviation; the factor for ``rows`` makes it that of the population.
+    """
+    if not scaled:
+        return [VectorAssembler(inputCols=list(features), outputCol="features")]
+    factor = math.sqrt(rows / (rows - 1)) if rows > 1 else 1.0
+    return [VectorAssembler(inputCols=list(features), outputCol="raw"),
+            StandardScaler(inputCol="raw", outputCol="sampled", withMean=True, withStd=True),
+            ElementwiseProduct(inputCol="sampled", outputCol="features", scalingVec=Vectors.dense([factor] * len(features)))]
 
 
 def logistic(label: str, rows: int, max_iter: int = 1000, family: str = "multinomial") -> LogisticRegression:
@@ -69,7 +75,8 @@ def forest(label: str, trees: int = 300, depth: int = 10) -> RandomForestClassif
 
 
 def fit(train: DataFrame, features: Seq[str], classifier, scaled: bool = False) -> PipelineModel:
-    return Pipeline(stages=[*assembled(features, scaled), classifier]).fit(train)
+    rows = train.count() if scaled else 0
+    return Pipeline(stages=[*assembled(features, scaled, rows), classifier]).fit(train)
 
 
 def accuracy(predicted: DataFrame, label: str) -> DataFrame:
