@@ -157,8 +157,13 @@ def test_near_duplicates(spark, width):
         (None, True)] * 2
 
 
-def test_large_group_of_near_copies(spark):
-    """Hundreds of copies that mostly match only the original, which is not the smallest."""
+@pytest.mark.parametrize("block", [512, 16])
+def test_large_group_of_near_copies(spark, monkeypatch, block):
+    """Hundreds of copies that mostly match only the original, which is not the smallest; with a small block they are
+    more than one group."""
+    from tickloom.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(5)
     words = [f"w{k}" for k in range(100)]
     pairs = []
