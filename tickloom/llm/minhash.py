@@ -251,6 +251,19 @@ def shingle_table(rows: DataFrame, words: int) -> DataFrame:
     return per_text(rows, "id long, hashes binary", make)
 
 
-@query("op9_minhash")
+@query("op9_minhash", sql=r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, chr(32))]
+  ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], chr(32))) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+b AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (shingle)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+p AS (SELECT x, y FROM b JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y
+  WHERE 100 * common >= 80 * (i.size + j.size - common)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, p.y FROM r JOIN p ON p.x = r.y),
+c AS (SELECT x, min(y) AS component FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.size, 0) AS n_shingles, c.component AS component_id, d.doc_id = c.component AS kept
+FROM documents d JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""")
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)

@@ -244,6 +244,15 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, how: Projections | Non
         "component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-@query("op10_embedding_dedup")
+@query("op10_embedding_dedup", sql="""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, p.y FROM r JOIN p ON p.x = r.y),
+c AS (SELECT x, min(y) AS component FROM r GROUP BY x), n AS (SELECT x, count(*) AS links FROM p GROUP BY x)
+SELECT vec_id, coalesce(links, 0) AS n_links, component AS component_id, vec_id = component AS kept
+FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id""")
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
