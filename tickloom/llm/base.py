@@ -40,14 +40,27 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
 
 
-def per_text(rows: DataFrame, schema: str, make: Callable[[], Callable[[list, list], dict[str, list]]]) -> DataFrame:
+_kept: dict[str, object] = {}
+
+
+def per_worker(name: str, make: Callable[[], object]) -> object:
+    """An object that a worker process keeps from task to task, until an operator that does not name it runs there."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def per_text(rows: DataFrame, schema: str, make: Callable[[], Callable[[list, list], dict[str, list]]],
+             keeps: str = "") -> DataFrame:
     """Apply a batch function to (doc_id, text) rows inside tasks.
 
     ``make`` is called once per task and gives a function from the ids and texts
     of a batch to named columns, which may hold any number of rows. Batches are cut
-    at about BATCH_CHARS characters, so long texts do not add up.
+    at about BATCH_CHARS characters, so long texts do not add up. What other operators keep in this worker under
+    another name than ``keeps`` is let go.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keeps)
         fn = make()
         for batch in batches:
             ids, text = batch.column("doc_id"), batch.column("text")
@@ -66,6 +79,11 @@ def per_text(rows: DataFrame, schema: str, make: Callable[[], Callable[[list, li
     return rows.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def release(keeps: str) -> None:
+    for name in [n for n in _kept if n != keeps]:
+        del _kept[name]
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

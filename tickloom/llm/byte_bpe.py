@@ -5,14 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.base import per_text, query, table, texts
+from tickloom.llm.base import per_text, per_worker, query, table, texts
 
 CHUNK_CHARS = 20_000
 # A single space between two other characters that are no white space: whatever the pattern's alternatives, one match
@@ -20,8 +19,11 @@ CHUNK_CHARS = 20_000
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-@lru_cache(maxsize=4)
 def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
+    return per_worker(rank_file, lambda: made(rank_file, pattern))
+
+
+def made(rank_file: str, pattern: str) -> tiktoken.Encoding:
     with open(rank_file, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -57,7 +59,7 @@ def encode_rows(docs: DataFrame, rank_file: str, pattern: str = public_tokenizer
         enc = encoding(rank_file, pattern)
         return lambda ids, text: {"doc_id": ids, "ids": [encode(t, enc) for t in text]}
 
-    return per_text(texts(docs, id_col, text_col), "doc_id long, ids array<int>", make)
+    return per_text(texts(docs, id_col, text_col), "doc_id long, ids array<int>", make, keeps=rank_file)
 
 
 def decode_rows(rows: DataFrame, rank_file: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -91,7 +93,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str = public_tokenizers
         return digests
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return per_text(texts(docs, id_col, text_col), schema, make)
+    return per_text(texts(docs, id_col, text_col), schema, make, keeps=rank_file)
 
 
 @query("op7_byte_bpe")

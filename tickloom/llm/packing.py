@@ -6,7 +6,6 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.base import per_text, query, table, texts
+from tickloom.llm.base import per_text, per_worker, query, table, texts
 from tickloom.llm.bins import Filling, pack
 from tickloom.storage import stored
 
@@ -89,9 +88,8 @@ def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
 def word_tokens(file: str) -> WordTokens:
-    return WordTokens(file)
+    return per_worker(file, lambda: WordTokens(file))
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -117,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
         return cut
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return per_text(texts(docs, id_col, text_col), schema, make)
+    return per_text(texts(docs, id_col, text_col), schema, make, keeps=tokenizer_file)
 
 
 def places(plan: list[tuple[Filling, int]], capacity: int) -> dict[int, np.ndarray]:
