@@ -20,7 +20,7 @@ SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
-    return per_worker(rank_file, lambda: made(rank_file, pattern))
+    return per_worker(rank_file + pattern, lambda: made(rank_file, pattern))
 
 
 def made(rank_file: str, pattern: str) -> tiktoken.Encoding:
@@ -59,7 +59,7 @@ def encode_rows(docs: DataFrame, rank_file: str, pattern: str = public_tokenizer
         enc = encoding(rank_file, pattern)
         return lambda ids, text: {"doc_id": ids, "ids": [encode(t, enc) for t in text]}
 
-    return per_text(texts(docs, id_col, text_col), "doc_id long, ids array<int>", make, keeps=rank_file)
+    return per_text(texts(docs, id_col, text_col), "doc_id long, ids array<int>", make, keeps=rank_file + pattern)
 
 
 def decode_rows(rows: DataFrame, rank_file: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -93,7 +93,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str = public_tokenizers
         return digests
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return per_text(texts(docs, id_col, text_col), schema, make, keeps=rank_file)
+    return per_text(texts(docs, id_col, text_col), schema, make, keeps=rank_file + pattern)
 
 
 @query("op7_byte_bpe")
