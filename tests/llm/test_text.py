@@ -194,6 +194,23 @@ def test_revealing_terms(spark):
     assert "[NAME] [EMAIL] once10" in general[10]
 
 
+def test_revealing_terms_of_whole_documents(spark):
+    """A name in the head and one in the signature, far from an address that only two texts have, and every mention."""
+    rng = random.Random(6)
+    docs = [(k, " ".join(words(rng, 60))) for k in range(300)]
+    for k in (7, 8):
+        docs[k] = (k, f"Zebulon {' '.join(words(rng, 40))} ZEBULON {' '.join(words(rng, 40))} zeb{k}. zeb@mail.example "
+                      f"{' '.join(words(rng, 40))} Quagmire once{k}")
+    docs += [(400, docs[9][1] + " lone@mail.example seldom"), (401, docs[9][1] + " lone@mail.example seldom")]
+    frame = spark.createDataFrame(docs + [(402, docs[-1][1])], "doc_id long, text string")
+    got = {r.doc_id: r.terms for r in pii.find_personal_data(frame).collect()}
+    for k in (7, 8):
+        assert [docs[k][1][t.start:t.end] for t in got[k]] == ["Zebulon", "ZEBULON", "Quagmire"]
+    assert not any(t for k, t in got.items() if k not in (7, 8))  # copies of one text prove nothing
+    clean = dict(rows(pii.sanitise(frame), "doc_id", "text"))
+    assert "zebulon" not in clean[7].lower() and "Quagmire" not in clean[7] and "once7" in clean[7]
+
+
 def test_sanitise_merges_overlaps(spark):
     frame = spark.createDataFrame([(1, "to +4111111111111111 or 1.1.1.1@x.yz end", "k")],
                                   "doc_id long, text string, cuts string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +22,7 @@ PATTERNS = {
 KINDS = (*PATTERNS, "term")
 WORD = r"[\p{L}\p{N}]++"
 LEAST_WORD = 3
-CONTEXT_CHARS = 60
-LEAST_CONTEXTS = 3
+CHANCE = 0.05
 GENERALISE, REMOVE = 0.8, 0.95
 SPAN = "struct<start:int,end:int,value:string>"
 
@@ -95,98 +95,151 @@ def joined(kind: str, spans: Column) -> Column:
     return F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """For each protected span, the whole words within CONTEXT_CHARS on either side that are in no protected span."""
-    def around(s: Column) -> Column:
-        left = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.substring(text, left + 1, s["start"] - left)
-        after = F.substring(text, s["end"] + 1, F.lit(CONTEXT_CHARS))
-        found = F.concat(words(before, left, left > 0, F.lit(False)), words(
-            after, s["end"], F.lit(False), s["end"] + CONTEXT_CHARS < F.length(text)))
-        free = F.filter(found, lambda w: ~F.exists(spans, lambda p: (p["start"] < w["end"]) & (w["start"] < p["end"])))
-        return F.struct(F.xxhash64(F.lower(s["value"])).alias("entity"),
-                        F.xxhash64(before, after).alias("context"), free.alias("words"))
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces instead of the spans, so that all other characters keep their places."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, span: Column) -> Column:
+        first = F.greatest(acc["at"], span["start"])
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, first - acc["at"]), F.repeat(
+            F.lit(" "), F.greatest(span["end"] - first, F.lit(0))))
+        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), out.alias("out"))
+
+    done = F.aggregate(F.array_sort(spans), start, step)
+    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+
+
+def term(word: Column) -> Column:
+    return F.when(F.length(word) >= LEAST_WORD, F.xxhash64(F.lower(word)))
 
-    return F.transform(spans, around)
 
+def terms(text: Column) -> Column:
+    """The different terms of a text, by hash."""
+    return F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), term)))
 
-def words(window: Column, shift: Column, cut_left: Column, cut_right: Column) -> Column:
-    """Words of a window with their places in the text, without those that the window may have cut."""
-    every = positions(window, F.regexp_extract_all(window, F.lit(WORD), F.lit(0)), WORD)
-    whole = F.filter(every, lambda w: (w["end"] - w["start"] >= LEAST_WORD) & ~(cut_left & (w["start"] == 0)) & ~(
-        cut_right & (w["end"] == F.length(window))))
-    return F.transform(whole, lambda w: F.struct((w["start"] + shift).alias("start"), (w["end"] + shift).alias("end"),
-                                                 F.xxhash64(F.lower(w["value"])).alias("term")))
+
+def no_terms() -> Column:
+    return F.expr("cast(array() AS array<struct<start:int,end:int,disclosure:double>>)")
+
+
+def places(text: Column, told: Column) -> Column:
+    """Spans (start, end, disclosure) of all words of a text whose term is a key of the map ``told``."""
+    matches = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    pairs = F.zip_with(F.slice(F.split(text, WORD, -1), 1, F.size(matches)), matches, lambda gap, word: F.struct(
+        F.length(gap).alias("gap"), F.length(word).alias("size"), told[term(word)].alias("disclosure")))
+    start = F.struct(F.lit(0).alias("at"), no_terms().alias("spans"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        first = acc["at"] + pair["gap"]
+        end = first + pair["size"]
+        span = F.struct(first.alias("start"), end.alias("end"), pair["disclosure"].alias("disclosure"))
+        return F.struct(end.alias("at"), F.when(pair["disclosure"].isNull(), acc["spans"]).otherwise(
+            F.array_append(acc["spans"], span)).alias("spans"))
+
+    return F.aggregate(pairs, start, step)["spans"]
 
 
 def detected(rows: DataFrame) -> DataFrame:
-    """Thin rows: id, hash of the text, spans by kind, and the contexts of the spans. No text."""
+    """Rows: id, hash of the text, spans by kind; where there are spans also the values by hash and the free text."""
     protected = F.concat(*[F.col(k) for k in PATTERNS])
     out = base_spans(rows).withColumn("protected", protected)
-    hash_ = F.when(F.size("protected") > 0, F.xxhash64("text"))
-    return out.select("doc_id", hash_.alias("text_hash"), *PATTERNS, contexts(F.col("text"), F.col("protected")).alias(
-        "contexts"))
+    some = F.size("protected") > 0
+    out = out.withColumn("free", F.when(some, blanked(F.col("text"), F.col("protected"))))
+    values = F.array_distinct(F.transform("protected", lambda s: F.xxhash64(F.lower(s["value"]))))
+    return out.select("doc_id", F.when(some, F.xxhash64("text")).alias("text_hash"), *PATTERNS, F.when(
+        some, values).alias("entities"), "free", *[F.when(some, c).alias(name) for name, c in (
+            ("less", F.array_except(terms(F.col("text")), terms(F.col("free")))),
+            ("more", F.array_except(terms(F.col("free")), terms(F.col("text")))))])
+
 
+def frequencies(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """Rows (term, n_t): the number of documents with a term outside protected values."""
+    every = rows.select(F.explode(terms(F.col("text"))).alias("term"), F.lit(1).alias("n"))
+    for name, n in (("less", -1), ("more", 1)):
+        every = every.union(some.select(F.explode(name), F.lit(n)))
+    return every.groupBy("term").agg(F.sum("n").alias("n_t")).where("n_t > 0")
 
-def disclosures(rows: DataFrame, found: DataFrame, threshold: float = GENERALISE,
-                least: int = LEAST_CONTEXTS) -> DataFrame:
-    """Rows (entity, term, disclosure): how much of a protected value's information a term near it gives away.
 
-    disclosure = PMI(term; entity) / information(entity), from counts over the whole corpus; 1 means that the term is
-    never seen without the value. Pairs need ``least`` different contexts, so that a value and a rare word that happen
-    to meet once, or in copies of one text, say nothing. Values and terms are compared by 64-bit hashes.
+def chance(together: Column, of: Column, rate: Column) -> Column:
+    """Log of the bound (Chernoff) on the chance that ``together`` or more of ``of`` texts have a term, at its rate."""
+    share = F.least(together / of, F.lit(1.0))
+    rest = F.when(share < 1, (1 - share) * F.log(F.try_divide(1 - share, 1 - rate))).otherwise(0.0)
+    return F.when(share > rate, -of * (share * F.log(share / rate) + rest)).otherwise(0.0)
+
+
+def meetings(rows: DataFrame, some: DataFrame, threshold: float, level: float) -> tuple[DataFrame, float, float]:
+    """Rows (text_hash, copies, entity, term, n_e, e_texts, n_t) of values and terms that share a text; the number of
+    documents, and the log of the chance that a meeting may have.
+
+    Pairs whose disclosure cannot reach the threshold, or that cannot be told from chance however often they meet, are
+    left out before they are made: with together <= n_e both follow from n_e and n_t.
+    """
+    once = stored(some.groupBy("text_hash").agg(F.count("*").alias("copies"), F.first("entities").alias(
+        "entities"), F.first("free").alias("free")))
+    counts = stored(frequencies(rows, some))
+    n, known = float(max(rows.count(), 1)), max(counts.count(), 1)
+    most = math.log(level / known)
+    own = once.select("text_hash", "copies", F.explode("entities").alias("entity"))
+    entities = stored(own.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("e_texts"))).where(
+        chance(F.col("e_texts"), F.col("e_texts"), F.lit(1.0) * F.col("e_texts") / n) <= most)
+    # share >= (n_e / n) ** (1 - threshold), and share <= n_e / n_t; a little wider for rounding.
+    entities = entities.withColumn("widest", F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(max(
+        0.0, 1 - threshold))) * (1 + 1e-9))
+    asked = stored(own.join(entities, "entity"))
+    widest = asked.agg(F.max("widest").alias("w")).first().w or 0.0
+    held = once.join(asked.select("text_hash").distinct(), "text_hash", "left_semi").select(
+        "text_hash", F.explode(terms(F.col("free"))).alias("term"))
+    rare = held.join(counts.where(F.col("n_t") <= widest), "term")
+    both = asked.join(rare, "text_hash").where("n_t <= widest").select(
+        "text_hash", "copies", "entity", "term", "n_e", "e_texts", "n_t")
+    return stored(both), n, most
+
+
+def disclosures(met: DataFrame, n: float, most: float, threshold: float = GENERALISE) -> DataFrame:
+    """Rows (entity, term, disclosure): how much of a protected value's information a term gives away.
+
+    disclosure = PMI(term; entity) / information(entity), from the numbers of documents that have the term, the value,
+    and both; 1 means that the term is never seen without the value. It counts only if so many different texts with
+    the value have the term that chance would not do it for any term of the corpus (``most``), so that a value and a
+    rare word that happen to meet, or meet in copies of one text, say nothing.
     """
-    occurrences = found.select(F.explode("contexts").alias("c")).select("c.entity", "c.context", "c.words")
-    entities = occurrences.groupBy("entity").agg(F.count("*").alias("entity_count"))
-    near = occurrences.select("entity", "context", F.explode(F.array_distinct(F.transform(
-        "words", lambda w: w["term"]))).alias("term"))
-    pairs = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(
-        F.sum("n").alias("together"), F.count("*").alias("contexts")).where(F.col("contexts") >= least)
-    pairs = stored(pairs)
-    every = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= LEAST_WORD)
-    counts = stored(rows.select(F.explode(F.transform(every, lambda w: F.xxhash64(w))).alias("term")).groupBy(
-        "term").agg(F.count("*").alias("term_count")))
-    total = counts.agg(F.sum("term_count").cast("double").alias("total")).first().total or 1.0
-    known = pairs.join(counts, "term").join(entities, "entity")
-    share = F.least(F.col("together") / F.col("term_count"), F.lit(1.0))
-    information = F.log(F.lit(total) / F.col("entity_count"))
-    pmi = F.log(share * F.lit(total) / F.col("entity_count"))
-    return known.select("entity", "term", (pmi / F.greatest(information, F.lit(1e-9))).alias("disclosure")).where(
+    pairs = met.groupBy("entity", "term", "n_e", "e_texts", "n_t").agg(
+        F.sum("copies").alias("together"), F.count("*").alias("texts"))
+    information = F.log(n / F.col("n_e"))
+    pmi = F.log(F.col("together") * n / (F.col("n_e") * F.col("n_t")))
+    return pairs.where(chance(F.col("texts"), F.col("e_texts"), F.col("n_t") / n) <= most).select(
+        "entity", "term", (pmi / F.greatest(information, F.lit(1e-9))).alias("disclosure")).where(
         F.col("disclosure") >= threshold)
 
 
-def revealing(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_hash, terms): the spans of revealing terms, only where they stand near the value."""
-    each = found.select("doc_id", "text_hash", F.explode("contexts").alias("c")).select(
-        "doc_id", "text_hash", "c.entity", F.explode("c.words").alias("w")).select(
-        "doc_id", "text_hash", "entity", "w.term", "w.start", "w.end")
-    told = each.join(known, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(
-        F.max("disclosure").alias("disclosure"))
-    return told.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("start", "end", "disclosure")).alias("terms"))
+def revealing(rows: DataFrame, some: DataFrame, threshold: float, level: float) -> DataFrame:
+    """Rows (text_hash, told): for texts with a value, the terms that reveal it, as a map to their disclosure."""
+    met, n, most = meetings(rows, some, threshold, level)
+    told = met.join(disclosures(met, n, most, threshold), ["entity", "term"])
+    return told.groupBy("text_hash", "term").agg(F.max("disclosure").alias("disclosure")).groupBy("text_hash").agg(
+        F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = GENERALISE,
-                       least: int = LEAST_CONTEXTS) -> DataFrame:
+                       level: float = CHANCE) -> DataFrame:
     """Rows (doc_id, text_hash, email, ip, card, phone, terms): spans of each kind, one row per input row.
 
     Patterns find base spans, leftmost and without overlap within a kind; candidates that fail their check are dropped
-    and not tried again. The corpus then tells which terms reveal a protected value: see ``disclosures``. Such
-    terms are reported within CONTEXT_CHARS of that value only, so a document without personal data stays as it is.
+    and not tried again. The corpus then tells which terms reveal a protected value: see ``disclosures``. Such a term
+    is reported wherever it stands in a document that holds the value, so a document without personal data stays as
+    it is. ``level`` is the chance that any term at all is taken for revealing a given value by accident.
 
     Null and empty texts have no spans. Rows repeated with one id and text have the same spans. Null ids are allowed;
-    other columns are ignored. The texts are scanned twice, and only thin rows are shuffled.
+    other columns are ignored. The texts are scanned twice; of texts, only those with a base span are shuffled.
     """
     rows = texts(docs, id_col, text_col)
     found = stored(detected(rows))
-    some = found.where(F.size("contexts") > 0)
-    terms = revealing(some, disclosures(rows, some, threshold, least)).select(
-        F.col("doc_id").alias("term_id"), F.col("text_hash").alias("term_hash"), "terms")
-    keys = F.col("doc_id").eqNullSafe(F.col("term_id")) & (F.col("text_hash") == F.col("term_hash"))
-    none = F.expr("cast(array() AS array<struct<start:int,end:int,disclosure:double>>)")
-    kept = some.join(terms, keys, "left").select(
-        "doc_id", "text_hash", *PATTERNS, F.coalesce("terms", none).alias("terms"))
-    return kept.union(found.where(F.size("contexts") == 0).select("doc_id", "text_hash", *PATTERNS, none))
+    some = found.where("text_hash IS NOT NULL")
+    told = stored(revealing(rows, some, threshold, level))
+    spans = F.when(F.col("told").isNotNull(), places(F.col("free"), F.col("told")))
+    kept = some.join(told, "text_hash", "left").select("doc_id", "text_hash", *PATTERNS, F.coalesce(spans, no_terms()).alias(
+        "terms"))
+    return kept.union(found.where("text_hash IS NULL").select("doc_id", "text_hash", *PATTERNS, no_terms()))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = GENERALISE,
