@@ -116,6 +116,24 @@ def test_byte_strings_edges(spark, monkeypatch):
         remove_repeats(frame, length=20)
 
 
+def test_a_side_whose_hash_is_zero_is_in_the_cell():
+    from tickloom.llm import substrings
+
+    # Random texts of one string each: about one side in 16,384 has 14 zero bits.
+    rng = np.random.default_rng(7)
+    parts = [bytes(row) for row in rng.integers(97, 123, (60_000, 50), np.uint8)]
+    found, buf = substrings.cells(parts, 50), substrings.Buffer(parts, 50)
+    anchor, side = found["part"] * 50 + found["a"], 17
+    grams = substrings.doubled(buf.data, 16) >> np.uint64(24)
+    at = np.array([a + np.flatnonzero(grams[a:a + 35] == np.uint64(g))[0] for a, g in zip(anchor, found["gram"])])
+    zeros = 0
+    for name, there, hashes in (("left", at - anchor >= side, buf.hashes(np.maximum(at - side, 0), at + 16)),
+                                ("right", at - anchor <= side, buf.hashes(at, at + 16 + side))):
+        zeros += int((there & (hashes >> np.uint64(50) == 0)).sum())
+        assert ((found[name] != 0) == there).all()
+    assert zeros
+
+
 def test_long_texts_are_cut_in_segments(monkeypatch):
     from tickloom.llm import substrings
 

@@ -57,6 +57,11 @@ class Buffer:
         return mixed((self.total[hi] - self.total[lo]) * powers(INVERSE, len(self.data))[lo])
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """14 bits of a hash, never 0."""
+    return np.maximum(hashes >> np.uint64(50), np.uint64(1))
+
+
 def cells(parts: list[bytes], length: int) -> dict[str, np.ndarray]:
     """The anchors of all strings of ``length`` bytes, one row per anchor.
 
@@ -82,9 +87,9 @@ def cells(parts: list[bytes], length: int) -> dict[str, np.ndarray]:
     a, b, p, who = at[first], at[np.append(first[1:], len(at)) - 1], p[first], who[first]
     whole = mixed(buf.hashes(a, b + length) + (b - a).astype(np.uint64) * BYTE[1] + (p - a).astype(np.uint64) * BYTE[2])
     side = (length - GRAM) // 2
-    left = np.where(p - a >= side, buf.hashes(np.maximum(p - side, 0), p + GRAM) >> np.uint64(50), 0).astype(np.int64)
-    right = np.where(b + length >= p + GRAM + side, buf.hashes(p, np.minimum(p + GRAM + side, len(
-        buf.data))) >> np.uint64(50), 0).astype(np.int64)
+    left = np.where(p - a >= side, short(buf.hashes(np.maximum(p - side, 0), p + GRAM)), 0).astype(np.int64)
+    right = np.where(b + length >= p + GRAM + side, short(buf.hashes(p, np.minimum(p + GRAM + side, len(
+        buf.data)))), 0).astype(np.int64)
     return {"part": who, "a": a - buf.starts[who], "n": b - a + 1, "gram": (grams[p] >> np.uint64(24)).astype(np.int64),
             "whole": (whole >> np.uint64(16)).astype(np.int64), "left": left, "right": right}
 
