@@ -116,6 +116,23 @@ def test_byte_strings_edges(spark, monkeypatch):
         remove_repeats(frame, length=20)
 
 
+def test_buffers_are_bounded_by_the_segment(monkeypatch):
+    from tickloom.llm import substrings
+
+    # Places of 10 bits: positions beyond the first 1,024 bytes of one buffer would not fit.
+    monkeypatch.setattr(substrings, "SEGMENT", 600)
+    monkeypatch.setattr(substrings, "PLACE_BITS", 10)
+    sizes, whole = [], substrings.cells
+    monkeypatch.setattr(substrings, "cells", lambda parts, n: sizes.append(sum(map(len, parts))) or whole(parts, n))
+    rng = random.Random(8)
+    texts = [prose(rng, n) for n in (900, 3, 40, 20, 700, 0)]
+    made = substrings.segments(list(range(6)), texts, 50)
+    found = substrings.cells_in_groups(made[2], 50)
+    assert max(sizes) <= 600 + 49 and len(sizes) > 10
+    starts = sorted((made[0][k], made[1][k] + a + j) for k, a, n in zip(found["part"], found["a"], found["n"]) for j in range(n))
+    assert starts == [(k, j) for k, t in enumerate(texts) for j in range(len(t) - 49)]
+
+
 def test_a_side_whose_hash_is_zero_is_in_the_cell():
     from tickloom.llm import substrings
 

@@ -108,12 +108,26 @@ def segments(ids: list, text: list[str], length: int) -> tuple[list[int], list[i
     return owner, shift, parts
 
 
+def cells_in_groups(parts: list[bytes], length: int) -> dict[str, np.ndarray]:
+    """``cells`` for groups of parts of at most SEGMENT bytes, or of one segment, so that one buffer stays small."""
+    found, start, size = [], 0, 0
+    for k, part in enumerate(parts):
+        if k > start and size + len(part) > SEGMENT:
+            found.append((start, cells(parts[start:k], length)))
+            start, size = k, 0
+        size += len(part)
+    found.append((start, cells(parts[start:], length)))
+    out = {name: np.concatenate([f[name] for _, f in found]) for name in found[0][1]}
+    out["part"] = np.concatenate([f["part"] + at for at, f in found])
+    return out
+
+
 def anchored(rows: DataFrame, length: int) -> DataFrame:
     """Rows (gram, whole, sides, doc_id, a): all cells. ``whole`` also holds the number of starts in its low 6 bits."""
     def make():
         def emit(ids: list, text: list) -> dict[str, list]:
             owner, shift, parts = segments(ids, text, length)
-            found = cells(parts, length)
+            found = cells_in_groups(parts, length)
             who = np.array(owner, np.int64)[found["part"]] if parts else np.zeros(0, np.int64)
             shift_ = np.array(shift, np.int64)[found["part"]] if parts else np.zeros(0, np.int64)
             known = np.array([0 if i is None else i for i in ids], np.int64)
