@@ -77,6 +77,32 @@ def test_folding():
     assert toxicity.folded("") == " "
 
 
+def test_folding_of_runs():
+    for text, want in {"a$$": "ass", "1d107": "idiot", "5h17": "shit", "455hole": "asshole", "$h!7": "shit", "b2 269": "bz 269",
+                       "f|\u0456r7": "flirt", "c\u0301af\u00e9 na\u00efve": "cafe naive", "8!tch!": "bitch",
+                       "h311": "hell", "she||": "she", "1984 12!5 no_1": "1984 12 5 no 1"}.items():
+        assert f" {toxicity.alike(want)} " in toxicity.alike(toxicity.folded(text)), text
+    assert toxicity.folded("name|age|city") == " nameiageicity name age city "
+    assert toxicity.folded("Stop! now") == " stop now " and toxicity.folded("\ud55c\uad6d") == " \ud55c\uad6d "
+    rng = random.Random(9)
+    for _ in range(3000):  # the short way equals the whole one
+        text = "".join(rng.choice("ab1$@ _-\u0663\u00e97") for _ in range(12))
+        even = text.translate(toxicity.EVEN)
+        assert toxicity.TAIL.sub(toxicity.tail, even) == toxicity.RUN.sub(toxicity.letters, even)
+    long = "a" * 300_000 + " " + "a1" * 150_000
+    assert len(toxicity.folded(long)) == len(long) + 2
+
+
+def test_disguised_terms_match(abuse):
+    lexicon = toxicity.learn(*abuse)
+    lexicon.phrases = []
+    automaton = lexicon.matcher()
+    plain = toxicity.measure("you grumblefart", automaton)
+    assert plain[0] > 0
+    for text in ("you 6rum81ef4r7", "you GRUMB|3F@RT", "you gr\u00fcmb!\u00e8fart"):
+        assert toxicity.measure(text, automaton)[0] == plain[0], text
+
+
 # ---- quality ----------------------------------------------------------------
 
 def line(rng, bad):

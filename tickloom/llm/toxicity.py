@@ -29,29 +29,59 @@ LOOKALIKES = str.maketrans({
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y",
     "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "ո": "n", "α": "a", "β": "b", "ε": "e", "ι": "i",
     "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"})
-LETTER_SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
-SIGN = re.compile(r"[013457@$]")
+LETTER_SIGNS = str.maketrans({"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
+                              "9": "g", "@": "a", "$": "s", "!": "i", "|": "i"})
+SIGNS = "0123456789@$!|"
+SIGN = re.compile(r"[0-9@$!|]")
+# A run of letters and signs with a sign in it; ! and | belong to it only between two others.
+RUN = re.compile(r"(?<![^\W\d_])[^\W\d_]*+(?:(?:[0-9@$]|(?<=[^\W_]|[@$])[!|]++(?=[^\W_]|[@$]))[^\W\d_]*+)++")
+BAR = re.compile(r"[!|]+")
+# Cheaper to look for: a run from its first sign on, and whether the slower RUN is needed at all.
+TAIL = re.compile(r"[0-9@$](?:[^\W\d_]++|[0-9@$]++)*+")
+BAR_BEFORE = re.compile(r"[!|](?=[^\W_]|[@$])")
 HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+MARKS = dict.fromkeys(c for c in (*range(0x300, 0x1F000), *range(0xE0100, 0xE01F0))
+                      if unicodedata.category(chr(c)) == "Mn")
+EVEN = LOOKALIKES | MARKS
 NOT_WORD = re.compile(r"[\W_]+")
 
 
 def folded(text: str) -> str:
-    """Words between single spaces: compatibility forms, case, look-alike letters, and digits written for letters."""
+    """Words between single spaces: compatibility forms without marks, case, look-alike letters, signs for letters."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", HIDDEN.sub("", text)).lower().translate(LOOKALIKES)
+        text = unicodedata.normalize("NFKD", HIDDEN.sub("", text)).lower().translate(EVEN)
+        text = unicodedata.normalize("NFC", text)
     else:
         text = text.lower()
-    if SIGN.search(text):
-        text = SIGN.sub(letter, text)
+    if BAR_BEFORE.search(text):
+        text = RUN.sub(letters, text)
+    elif SIGN.search(text):
+        text = TAIL.sub(tail, text)
     return f" {NOT_WORD.sub(' ', text)} ".replace("  ", " ")
 
 
-def letter(sign: re.Match) -> str:
-    """The letter a sign stands for, if it touches a letter."""
-    text, at = sign.string, sign.start()
-    if text[at - 1:at].isalpha() or text[at + 1:at + 2].isalpha():
-        return sign[0].translate(LETTER_SIGNS)
-    return sign[0]
+def letters(run: re.Match) -> str:
+    """A run with all its signs as letters, if it has a letter; one with ! or | inside also as the words they part."""
+    found = run[0]
+    if not found.strip(SIGNS):
+        return found
+    parts = BAR.split(found)
+    if len(parts) == 1:
+        return found.translate(LETTER_SIGNS)
+    return " ".join([found.translate(LETTER_SIGNS), *[p.translate(LETTER_SIGNS) if p.strip(SIGNS) else p for p in parts]])
+
+
+def tail(run: re.Match) -> str:
+    """As ``letters``, for a run without ! and | from its first sign on."""
+    before = run.string[run.start() - 1:run.start()]
+    if run[0].strip(SIGNS) or before.isalnum() and not before.isdecimal():
+        return run[0].translate(LETTER_SIGNS)
+    return run[0]
+
+
+def alike(even: str) -> str:
+    """Folded text with one letter for i and l, as 1, ! and | are written for both. Matching is on this form."""
+    return even.replace("l", "i")
 
 
 def forms(word: str) -> list[str]:
@@ -77,9 +107,9 @@ class Lexicon:
         """One automaton for terms (weight) and phrases (negative length)."""
         made = ahocorasick.Automaton()
         for term, weight in self.weights.items():
-            made.add_word(term, (weight, len(term)))
+            made.add_word(alike(term), (max(weight, made.get(alike(term), (weight,))[0]), len(term)))
         for phrase in self.phrases:
-            made.add_word(f" {phrase} ", (None, len(phrase) + 2))
+            made.add_word(alike(f" {phrase} "), (None, len(phrase) + 2))
         if not len(made):
             return None
         made.make_automaton()
@@ -90,7 +120,7 @@ def measure(text: str, automaton: ahocorasick.Automaton | None) -> tuple[float,
     """Features of a text: log of the matched weight, and of the matched weight per hundred words."""
     if automaton is None:
         return 0.0, 0.0
-    even = folded(text)
+    even = alike(folded(text))
     hits, freed = [], []
     for end, (weight, length) in automaton.iter(even):
         (freed if weight is None else hits).append((end - length + 1, end, weight))
@@ -107,6 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, terms:
     """Learn a lexicon from labels (doc_id, toxic) outside the held-out fold.
 
     At most ``rows`` labelled documents are read, and at most ``terms`` terms kept; both bound what reaches the driver.
+    Terms are counted with i and l as one letter and named by their usual spelling.
     A term must be in 3 toxic documents, with different neighbours in at least half of them, so that a word of
     a text that was copied many times is none. Its weight is the log ratio of its share of toxic to that of other
     documents, and the log-likelihood ratio of the two shares must reach LEAST_EVIDENCE. Of terms that extend each
@@ -120,20 +151,25 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, terms:
 
     def around():
         def emit(ids: list, text: list) -> dict[str, list]:
-            out: dict[str, list] = {"doc_id": [], "term": [], "context": []}
+            out: dict[str, list] = {"doc_id": [], "term": [], "spelling": [], "context": []}
             for i, t in zip(ids, text):
                 words = folded(t).split()
                 for k, w in enumerate(words):
                     context = hash_of(words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "")
                     for form in forms(w):
                         out["doc_id"].append(i)
-                        out["term"].append(form)
+                        out["term"].append(alike(form))
+                        out["spelling"].append(form)
                         out["context"].append(context)
             return out
 
         return emit
 
-    counts = per_text(sample.where("label = 1"), "doc_id long, term string, context long", around).groupBy("term").agg(
+    counts = per_text(sample.where("label = 1"), "doc_id long, term string, spelling string, context long",
+                      around).groupBy("term", "spelling", "doc_id", "context").count()
+    written = counts.groupBy("term", "spelling").agg(F.sum("count").alias("n")).groupBy("term").agg(
+        F.max_by("spelling", F.struct("n", "spelling")).alias("spelling"))
+    counts = counts.groupBy("term").agg(
         F.countDistinct("doc_id").alias("docs"), F.countDistinct("context").alias("contexts"))
     candidates = {r.term: r.docs for r in counts.where("docs >= 3 AND contexts >= 3 AND contexts * 2 >= docs").orderBy(
         F.desc("docs"), "term").limit(5 * terms).collect()}
@@ -149,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, terms:
                 found: dict[str, int] = {}
                 for t in text:
                     seen: set[str] = set()
-                    for w in set(folded(t).split()):
+                    for w in set(alike(folded(t)).split()):
                         if w not in own:
                             own[w] = [f for f in forms(w) if f in shared.value]
                         seen.update(own[w])
@@ -169,6 +205,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, terms:
                  for t, n in candidates.items()}
         weights = special({t: w for t, w in ratio.items() if w >= LEAST_WEIGHT and evidence(
             candidates[t], bad, clean.get(t, 0), good) >= LEAST_EVIDENCE}, candidates, terms)
+        names = {r.term: r.spelling for r in written.where(F.col("term").isin(list(weights))).collect()}
+        weights = {names[t]: w for t, w in weights.items()}
     lexicon = Lexicon(weights | (known or {}), list(phrases or []))
     lexicon.phrases += exceptions(sample, lexicon)
     measured = features(sample, lexicon, ("label",))
@@ -220,7 +258,7 @@ def exceptions(sample: DataFrame, lexicon: Lexicon, least: int = 3, most: int =
         def emit(ids: list, text: list) -> dict[str, list]:
             out: dict[str, list] = {"doc_id": [], "phrase": []}
             for i, t in zip(ids, text):
-                even = folded(t)
+                even = alike(folded(t))
                 for end, (_, length) in automaton.iter(even):
                     start = end - length + 1
                     close = even.find(" ", start + 1)
