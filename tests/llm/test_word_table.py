@@ -28,8 +28,8 @@ def frame(spark, texts):
                                  "doc_id long, text string, n string, word string, ids int")
 
 
-@pytest.mark.parametrize("bound", [word_table.SENT_BYTES, 12_000, 0])
-def test_round_trip_equals_the_library(spark, bound):
+@pytest.mark.parametrize("bound, sample", [(word_table.SENT_BYTES, 0.5), (1_000, 1.0), (0, 0.0)])
+def test_round_trip_equals_the_library(spark, bound, sample):
     texts = [*ODD, long_text(1, 60_000), "x\n" * 80_000, " " * 150_000, "漢" * 5_000 + "。", *["same words here"] * 50]
     texts += [long_text(k, 30) for k in range(100, 140)]
     whole, want = Tokenizer.from_file(FILE), []
@@ -38,11 +38,28 @@ def test_round_trip_equals_the_library(spark, bound):
         text = whole.decode(ids, skip_special_tokens=False)
         want.append((k, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
                      hashlib.sha256(text.encode()).hexdigest()))
-    got = word_table.round_trip(frame(spark, texts), FILE, bound=bound)
+    got = word_table.round_trip(frame(spark, texts), FILE, bound=bound, sample=sample)
     assert rows(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
-    words = word_table.word_table(word_table.texts(frame(spark, texts)), FILE)
-    assert words.count() == words.select("word").distinct().count()
-    assert (word_table.frequent(words, bound) > 1) == (bound < 1_000_000)
+
+
+def test_frequent_words_keep_their_bound(spark):
+    texts = [long_text(k, 300) for k in range(40)] + ["rare%d" % k for k in range(200)]
+    docs = word_table.texts(frame(spark, texts))
+    for bound in (0, 500, 2_000, 100_000):
+        got = word_table.frequent_words(docs, FILE, bound, 1.0).toArrow()
+        assert len(set(got.column("word").to_pylist())) == len(got)
+        assert sum(len(w.encode()) for w in got.column("word").to_pylist()) + sum(map(len, got.column(
+            "ids").to_pylist())) <= bound
+    assert len(got) == len({w for t in texts for p in word_table.ByteWords(FILE).parts(t) for w in p})
+
+
+def test_word_table_finds_whole_words():
+    import pyarrow as pa
+
+    table = word_table.WordTable(pa.table({"word": ["a", " b", "cc"], "ids": [b"\1\0\0\0", b"", b"\2\0\0\0\3\0\0\0"]}))
+    at = table.find(["cc", "x", " b", "a", "b"])
+    assert [table.word[int(k)].as_py() if k >= 0 else None for k in at] == ["cc", None, " b", "a", None]
+    assert table.ids[table.start[at[0]]:][:table.size[at[0]]].tolist() == [2, 3] and table.find([]).size == 0
 
 
 def test_empty_table_repeated_rows_and_null_ids(spark):

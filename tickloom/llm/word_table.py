@@ -6,25 +6,27 @@ import hashlib
 import json
 import re
 import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.base import arrow_schema, per_text, per_worker, query, release, table, texts
+from tickloom.llm.base import BATCH_CHARS, arrow_schema, per_text, per_worker, query, release, table, texts
 from tickloom.storage import stored
 
 CHUNK_CHARS = 100_000
-# Bound on the words that are sent to every task, in bytes of the workers' memory.
-SENT_BYTES = 48_000_000
-WORD_BYTES = 250
+# Bound on the table of frequent words that is sent to every task. They are chosen on a share of the rows; the choice
+# decides which words are shuffled and has no influence on the ids.
+SENT_BYTES = 80_000_000
+SAMPLE = 0.1
 # No match of the word pattern goes from a character that is no white space to white space, nor from one of these
 # letters to one of these marks, and what follows is matched alike without what came before.
 BOUNDARY = re.compile("(?<=\\S)(?=[ \t\n\v\f\r])|(?<=[ぁ-ゖァ-ヺ一-龥])(?=[、。，])")
@@ -52,21 +54,31 @@ class ByteWords:
     """The library's byte-level words, the ids of one word, and the bytes of one id."""
 
     def __init__(self, file: str) -> None:
+        self.file = file
+        self.special = {t["content"]: t["id"] for t in self.given["added_tokens"]}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        rules = self.given["pre_tokenizer"]
+        if self.given["normalizer"] or rules["type"] != "ByteLevel" or rules["add_prefix_space"] or not rules[
+                "use_regex"] or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in self.given["added_tokens"]):
+            raise ValueError(f"{file} is no plain byte-level vocabulary")
+        del self.given
+
+    @cached_property
+    def given(self) -> dict:
+        with open(self.file, encoding="utf-8") as f:
+            return json.load(f)
+
+    @cached_property
+    def library(self):
         from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
+    @cached_property
+    def letters(self):
         from tokenizers.pre_tokenizers import ByteLevel
 
-        with open(file, encoding="utf-8") as f:
-            given = json.load(f)
-        if given["normalizer"] or given["pre_tokenizer"] != {**given["pre_tokenizer"], "type": "ByteLevel",
-                                                             "add_prefix_space": False, "use_regex": True} or any(
-                t["lstrip"] or t["rstrip"] or t["single_word"] for t in given["added_tokens"]):
-            raise ValueError(f"{file} is no plain byte-level vocabulary")
-        self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
-        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.vocabulary = given["model"]["vocab"]
-        self.library = Tokenizer.from_file(file)
-        self.model, self.split = self.library.model, self.library.pre_tokenizer.pre_tokenize_str
-        self.letters = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        return ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def parts(self, text: str) -> Iterator[list[str]]:
         """The words of a text, a list per part."""
@@ -75,22 +87,35 @@ class ByteWords:
             for k, piece in enumerate(pieces):
                 if k % 2:
                     yield [piece]
-                elif piece:
-                    plain = PLAIN.fullmatch(piece)
-                    yield WORDS.findall(piece) if plain else [piece[a:b] for _, (a, b) in self.split(piece)]
+                elif PLAIN.fullmatch(piece):
+                    yield WORDS.findall(piece)
+                else:
+                    yield [piece[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(piece)]
+
+    def numbered(self, text: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct words of some texts, the numbers of all words in order, and how many words each text has."""
+        number: dict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        parts, sizes = [np.zeros(0, np.int32)], []
+        for t in text:
+            own = [np.fromiter(map(number.__getitem__, part), np.int32, len(part)) for part in self.parts(t)]
+            parts += own
+            sizes.append(sum(map(len, own)))
+        return list(number), np.concatenate(parts), np.array(sizes, np.int64)
 
     def ids(self, word: str) -> list[int]:
         if word in self.special:
             return [self.special[word]]
-        return [t.id for t in self.model.tokenize(self.letters(word)[0][0])]
+        return [t.id for t in self.library.model.tokenize(self.letters(word)[0][0])]
 
     def pieces(self) -> list[bytes | None]:
         """The bytes of every id, in order of id; none for an id that is not used."""
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {
             chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        out: list[bytes | None] = [None] * (1 + max([*self.vocabulary.values(), *self.special.values()]))
-        for token, i in self.vocabulary.items():
+        vocabulary = self.given["model"]["vocab"]
+        out: list[bytes | None] = [None] * (1 + max([*vocabulary.values(), *self.special.values()]))
+        for token, i in vocabulary.items():
             out[i] = bytes(byte[c] for c in token)
         for token, i in self.special.items():
             out[i] = token.encode()
@@ -107,11 +132,8 @@ def word_counts(docs: DataFrame, file: str) -> DataFrame:
         words = byte_words(file)
 
         def count(ids: list, text: list) -> dict[str, list]:
-            found: Counter = Counter()
-            for t in text:
-                for part in words.parts(t):
-                    found.update(part)
-            return {"word": list(found), "n": list(found.values())}
+            distinct, numbers, _ = words.numbered(text)
+            return {"word": distinct, "n": np.bincount(numbers, minlength=len(distinct))}
 
         return count
 
@@ -119,154 +141,181 @@ def word_counts(docs: DataFrame, file: str) -> DataFrame:
         F.sum("n").alias("n"))
 
 
-def word_table(docs: DataFrame, file: str) -> DataFrame:
-    """Stored rows (word, n, ids): each distinct word is encoded once."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release("byte words " + file)
-        words = byte_words(file)
-        for batch in batches:
-            ids = [words.ids(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, arrow[2].type)],
-                                             schema=arrow)
-
-    counts = word_counts(docs, file)
-    schema = "word string, n long, ids array<int>"
-    arrow = arrow_schema(docs.sparkSession, schema)
-    return stored(counts.mapInArrow(run, schema))
+def frequent_words(docs: DataFrame, file: str, bound: int, sample: float) -> DataFrame:
+    """Stored rows (word, ids) of the words that are most frequent in a share of the rows, ``bound`` bytes at most.
 
-
-def frequent(words: DataFrame, bound: int = SENT_BYTES) -> int:
-    """The least power of two so that all words as frequent as it take ``bound`` bytes at most in a worker."""
-    size = F.octet_length("word") + 4 * F.size("ids") + WORD_BYTES
-    sizes = words.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.sum(size).alias("bytes")).collect()
-    least, total = 64, 0
+    Their least number is a power of two, found from the bytes that the words of each power take.
+    """
+    counts = stored(word_counts(docs.where(F.rand(7) < sample), file))
+    size = F.octet_length("word") * 5 + 16  # at most one id of four bytes for every byte of a word
+    sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.sum(size).alias("bytes")).collect()
+    least, total = 62, 0
     for r in sorted(sizes, key=lambda r: -r.k):
         total += r.bytes
         if total > bound:
             break
         least = r.k
-    return 2 ** least
-
-
-class Known:
-    """The frequent words' ids in a worker, as bytes of little-endian unsigned 32-bit numbers."""
-
-    def __init__(self, file: str, sent: Broadcast) -> None:
-        self.words = ByteWords(file)
-        word, ids = sent.value
-        self.ids = dict(zip(word.to_pylist(), (np.array(i, "<u4").tobytes() for i in ids.to_pylist())))
-
-    def missing(self, text: str) -> dict[str, list[int]]:
-        """The words of a text that are not frequent, with their places."""
-        at, out = 0, defaultdict(list)
-        for part in self.words.parts(text):
-            if not self.ids.keys() >= set(part):
-                for k, w in enumerate(part, at):
-                    if w not in self.ids:
-                        out[w].append(k)
-            at += len(part)
-        return out
 
-    def encoded(self, text: str) -> np.ndarray | None:
-        """All ids of a text of frequent words; none for another text."""
-        try:
-            found = [b"".join(map(self.ids.__getitem__, part)) for part in self.words.parts(text)]
-        except KeyError:
-            return None
-        return np.frombuffer(b"".join(found), "<u4").astype(np.int32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("byte words " + file)
+        words = byte_words(file)
+        for batch in batches:
+            ids = [packed_ids(words.ids(w)) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
 
-    def completed(self, text: str, rest: list[dict]) -> np.ndarray:
-        """All ids of a text, the words in ``rest`` by their places."""
-        placed = {k: r["ids"] for r in rest for k in r["places"]}
-        out, at = [], 0
-        for part in self.words.parts(text):
-            for k, w in enumerate(part, at):
-                out.append(np.array(placed[k], "<u4").tobytes() if k in placed else self.ids[w])
-            at += len(part)
-        return np.frombuffer(b"".join(out), "<u4").astype(np.int32)
+    chosen = counts.where(F.col("n") >= F.lit(2 ** least)).select("word")
+    return stored(chosen.mapInArrow(run, "word string, ids binary"))
 
 
-def row_key(doc_id: int | None, text: str) -> bytes:
-    """Names a row by its content: rows with one key are alike and have the same ids."""
-    return xxhash.xxh3_128_digest(f"{doc_id} {text}".encode())
+def packed_ids(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
-def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
-                bound: int = SENT_BYTES) -> DataFrame:
-    """Rows (doc_id, ids array<int>), one per input row, as the tokenizers library encodes without special tokens
-    of its own; their strings in a text give their id.
+def hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
 
-    The words are counted, each distinct one is encoded once, and the table is joined to the places of the words. The
-    frequent words, at most ``bound`` bytes of them, are sent to every task. A text of frequent words alone is
-    done there and nothing of it is shuffled. The other words of a text are joined by word and grouped by text;
-    since what is joined is not frequent, no word is a hot key. ``tokenizer_file`` must be at this path on every machine.
 
-    A null or empty text has no ids; null ids, repeated rows and other columns make no difference; an empty table gives no
-    rows. A very long text is split in parts, but its ids are one row.
-    """
-    spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col)
-    words = word_table(rows, tokenizer_file)
-    least = frequent(words, bound)
-    sent = words.where(F.col("n") >= F.lit(float(least))).select("word", "ids").toArrow()
-    sent = spark.sparkContext.broadcast((sent.column("word").combine_chunks(), sent.column("ids").combine_chunks()))
-    name = f"known words {uuid.uuid4().hex}"
+def lengths(column: pa.Array) -> np.ndarray:
+    return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def known() -> Known:
-        return per_worker(name, lambda: Known(tokenizer_file, sent))
 
-    def make_whole():
-        words = known()
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pieces flat[start:start + size], one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
 
-        def whole(ids: list, text: list) -> dict[str, list]:
-            found = [(i, words.encoded(t)) for i, t in zip(ids, text)]
-            found = [(i, x) for i, x in found if x is not None]
-            return {"doc_id": [i for i, _ in found], "ids": [x for _, x in found]}
 
-        return whole
+class WordTable:
+    """Words with their ids, found by hash and compared as a whole."""
 
-    done = per_text(rows, "doc_id long, ids array<int>", make_whole, keeps=name)
-    if least == 1:
-        return done
+    def __init__(self, rows: pa.Table) -> None:
+        code = hashes(rows.column("word").to_pylist())
+        by = np.argsort(code, kind="stable")
+        self.code = code[by]
+        self.word = rows.column("word").combine_chunks().cast(pa.large_string()).take(pa.array(by))
+        column = rows.column("ids").combine_chunks().cast(pa.large_binary()).take(pa.array(by))
+        self.size = lengths(column) // 4
+        self.start = np.cumsum(self.size) - self.size
+        self.ids = np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(np.int32)
 
-    def make_places():
-        words = known()
+    def find(self, words: list[str]) -> np.ndarray:
+        """The row of every word, -1 for a word that is not in the table."""
+        if not len(self.code) or not words:
+            return np.full(len(words), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.code, hashes(words)), len(self.code) - 1)
+        same = pc.equal(self.word.take(pa.array(at)), pa.array(words, pa.large_string()))
+        return np.where(same.to_numpy(zero_copy_only=False), at, -1)
 
-        def emit(ids: list, text: list) -> dict[str, list]:
-            found = [(w, row_key(i, t), k) for i, t in zip(ids, text) for w, k in words.missing(t).items()]
-            return dict(zip(("word", "key", "places"), map(list, zip(*found)))) if found else {
-                "word": [], "key": [], "places": []}
 
-        return emit
+def text_key(text: bytes) -> int:
+    """What the other words of a text come back by. Texts that share a key by chance get each other's, to no harm."""
+    return xxhash.xxh3_64_intdigest(text) - 2 ** 63
 
-    def make_packed():
-        words, squeeze = known(), zstandard.ZstdCompressor(1).compress
 
-        def emit(ids: list, text: list) -> dict[str, list]:
-            found = [(i, row_key(i, t), squeeze(t.encode())) for i, t in zip(ids, text) if words.encoded(t) is None]
-            return {name: [r[k] for r in found] for k, name in enumerate(("doc_id", "key", "packed"))}
+def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
+                bound: int = SENT_BYTES, sample: float = SAMPLE) -> DataFrame:
+    """Rows (doc_id, ids array<int>), one per input row, as the tokenizers library encodes without special tokens
+    of its own; their strings in a text give their id.
 
-        return emit
+    Texts are split into words, each distinct word is encoded once, and the ids are put back at the places of the word. The
+    table of distinct words has two parts. The frequent ones, at most ``bound`` bytes, are at hand in every task. Every
+    other word meets its texts by a shuffle on the word, where it is encoded, and its ids go back to these texts; what
+    is shuffled there is not frequent, so no word is a hot key. The texts wait for them compressed.
+    ``tokenizer_file`` must be at this path on every machine.
 
-    places = per_text(rows, "word string, key binary, places array<int>", make_places, keeps=name)
-    placed = places.join(words.select("word", "ids"), "word").groupBy("word", "key").agg(
-        F.first("places").alias("places"), F.first("ids").alias("ids")).groupBy("key").agg(
-        F.collect_list(F.struct("places", "ids")).alias("rest"))
-    packed = per_text(rows, "doc_id long, key binary, packed binary", make_packed, keeps=name)
-    schema = "doc_id long, ids array<int>"
-    arrow = arrow_schema(spark, schema)
+    A null or empty text has no ids; null ids, repeated rows and other columns make no difference; an empty table gives no
+    rows. A very long text is split part by part, but its ids are one row.
+    """
+    spark = docs.sparkSession
+    rows = texts(docs, id_col, text_col)
+    sent = spark.sparkContext.broadcast(WordTable(frequent_words(rows, tokenizer_file, bound, sample).toArrow()))
+    name = f"frequent words {uuid.uuid4().hex}"
+
+    def known() -> tuple[ByteWords, WordTable]:
+        return per_worker(name, lambda: (ByteWords(tokenizer_file), sent.value))
+
+    def make_others():
+        words, table = known()
+
+        def others(ids: list, text: list) -> dict[str, list]:
+            distinct, numbers, sizes = words.numbered(text)
+            other = table.find(distinct) < 0
+            at = np.flatnonzero(other[numbers])
+            owner = np.searchsorted(np.cumsum(sizes), at, "right")
+            found = np.unique(owner * len(distinct) + numbers[at]) if len(at) else at
+            key = np.array([text_key(t.encode()) for t in text], np.int64)
+            return {"word": [distinct[k] for k in (found % max(1, len(distinct))).tolist()],
+                    "key": key[found // max(1, len(distinct))]}
+
+        return others
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("byte words " + tokenizer_file)
+        words, last = byte_words(tokenizer_file), (None, None)
+        ids = b""
+        for batch in batches:
+            out = []
+            for word, key in zip(batch.column("word").to_pylist(), batch.column("key").to_pylist()):
+                if word != last[0]:
+                    ids = packed_ids(words.ids(word))
+                if (word, key) != last:
+                    out.append((key, word, ids))
+                last = (word, key)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(
+                (pa.int64(), pa.string(), pa.binary()))], ["key", "word", "ids"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                raw = [t.encode() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(map(text_key, raw), pa.int64()),
+                     pa.array([squeeze(t) for t in raw], pa.binary())], ["doc_id", "key", "packed"])
 
     def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(name)
-        words, open_ = known(), zstandard.ZstdDecompressor().decompress
+        words, table = known()
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                text = open_(row.column("packed")[0].as_py()).decode()
-                ids = words.completed(text, row.column("rest")[0].as_py())
-                yield pa.RecordBatch.from_arrays([row.column("doc_id"), pa.array([ids], arrow[1].type)], schema=arrow)
+            for doc_id, text, rest in opened(batch):
+                distinct, numbers, sizes = words.numbered(text)
+                row = table.find(distinct)
+                missing = np.flatnonzero(row < 0)
+                own = [np.frombuffer(rest[distinct[k]], "<u4") for k in missing.tolist()]
+                size = np.where(row < 0, 0, table.size[row] if len(table.size) else 0)
+                start = np.where(row < 0, 0, table.start[row] if len(table.size) else 0)
+                flat = np.concatenate([gathered(table.ids, start, size), *own]).astype(np.int32)
+                local = np.cumsum(size) - size
+                size[missing] = [len(x) for x in own]
+                local[missing] = len(flat) - size[missing].sum() + np.cumsum(size[missing]) - size[missing]
+                ids = gathered(flat, local[numbers], size[numbers])
+                edges = np.r_[0, np.cumsum(size[numbers])][np.r_[0, np.cumsum(sizes)]]
+                yield pa.RecordBatch.from_arrays([doc_id, pa.ListArray.from_arrays(
+                    pa.array(edges, pa.int32()), pa.array(ids, pa.int32())).cast(arrow[1].type)], schema=arrow)
+
+    others = per_text(rows, "word string, key long", make_others, keeps=name)
+    rest = others.repartition("word").sortWithinPartitions("word", "key").mapInArrow(
+        encode, "key long, word string, ids binary")
+    rest = rest.groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("rest"))
+    waiting = rows.mapInArrow(pack, "doc_id long, key long, packed binary")
+    schema = "doc_id long, ids array<int>"
+    arrow = arrow_schema(spark, schema)
+    return waiting.join(rest, "key", "left").select("doc_id", "packed", "rest").mapInArrow(complete, schema)
+
 
-    return done.unionByName(packed.join(placed, "key").select("doc_id", "packed", "rest").mapInArrow(complete, schema))
+def opened(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str], dict[str, bytes]]]:
+    """The rows of a batch in parts of about BATCH_CHARS: ids, texts, and the ids of their other words by word."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    start, size, text, rest = 0, 0, [], {}
+    packed, others = batch.column("packed"), batch.column("rest")
+    for k in range(batch.num_rows):
+        text.append(open_(packed[k].as_py()).decode())
+        rest.update((r["word"], r["ids"]) for r in others[k].as_py() or ())
+        size += len(text[-1])
+        if size > BATCH_CHARS or k + 1 == batch.num_rows:
+            yield batch.column("doc_id").slice(start, k + 1 - start), text, rest
+            start, size, text, rest = k + 1, 0, [], {}
 
 
 def joined_pieces(ids: np.ndarray, pieces: pa.Array, chunk: int = 1_000_000) -> bytes:
@@ -304,7 +353,7 @@ def decode_rows(rows: DataFrame, tokenizer_file: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
-               bound: int = SENT_BYTES) -> DataFrame:
+               bound: int = SENT_BYTES, sample: float = SAMPLE) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of the encoded and decoded texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(tokenizer_file)
@@ -321,7 +370,7 @@ def round_trip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", tex
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     arrow = arrow_schema(docs.sparkSession, schema)
-    return encode_rows(docs, tokenizer_file, id_col, text_col, bound).mapInArrow(run, schema)
+    return encode_rows(docs, tokenizer_file, id_col, text_col, bound, sample).mapInArrow(run, schema)
 
 
 @query("op12_word_table_bpe")
