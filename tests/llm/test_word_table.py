@@ -59,7 +59,7 @@ def test_word_table_finds_whole_words():
     table = word_table.WordTable(pa.table({"word": ["a", " b", "cc"], "ids": [b"\1\0\0\0", b"", b"\2\0\0\0\3\0\0\0"]}))
     at = table.find(["cc", "x", " b", "a", "b"])
     assert [table.word[int(k)].as_py() if k >= 0 else None for k in at] == ["cc", None, " b", "a", None]
-    assert table.ids[table.start[at[0]]:][:table.size[at[0]]].tolist() == [2, 3] and table.find([]).size == 0
+    assert table.ids[table.edges[at[0]]:table.edges[at[0] + 1]].tolist() == [2, 3] and table.find([]).size == 0
 
 
 def test_empty_table_repeated_rows_and_null_ids(spark):

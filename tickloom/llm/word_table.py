@@ -25,7 +25,7 @@ from tickloom.storage import stored
 CHUNK_CHARS = 100_000
 # Bound on the table of frequent words that is sent to every task. They are chosen on a share of the rows; the choice
 # decides which words are shuffled and has no influence on the ids.
-SENT_BYTES = 80_000_000
+SENT_BYTES = 40_000_000
 SAMPLE = 0.1
 # No match of the word pattern goes from a character that is no white space to white space, nor from one of these
 # letters to one of these marks, and what follows is matched alike without what came before.
@@ -50,23 +50,17 @@ def chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-class ByteWords:
-    """The library's byte-level words, the ids of one word, and the bytes of one id."""
+def read_json(file: str) -> dict:
+    with open(file, encoding="utf-8") as f:
+        return json.load(f)
 
-    def __init__(self, file: str) -> None:
-        self.file = file
-        self.special = {t["content"]: t["id"] for t in self.given["added_tokens"]}
-        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        rules = self.given["pre_tokenizer"]
-        if self.given["normalizer"] or rules["type"] != "ByteLevel" or rules["add_prefix_space"] or not rules[
-                "use_regex"] or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in self.given["added_tokens"]):
-            raise ValueError(f"{file} is no plain byte-level vocabulary")
-        del self.given
 
-    @cached_property
-    def given(self) -> dict:
-        with open(self.file, encoding="utf-8") as f:
-            return json.load(f)
+class Splitter:
+    """The library's byte-level words of a text. ``special`` gives the strings that are no words but have an id."""
+
+    def __init__(self, file: str, special: dict[str, int]) -> None:
+        self.file, self.special = file, special
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
 
     @cached_property
     def library(self):
@@ -74,12 +68,6 @@ class ByteWords:
 
         return Tokenizer.from_file(self.file)
 
-    @cached_property
-    def letters(self):
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        return ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-
     def parts(self, text: str) -> Iterator[list[str]]:
         """The words of a text, a list per part."""
         for chunk in chunks(text):
@@ -103,6 +91,24 @@ class ByteWords:
             sizes.append(sum(map(len, own)))
         return list(number), np.concatenate(parts), np.array(sizes, np.int64)
 
+
+class ByteWords(Splitter):
+    """Also the ids of one word and the bytes of one id."""
+
+    def __init__(self, file: str) -> None:
+        given = read_json(file)
+        rules, added = given["pre_tokenizer"], given["added_tokens"]
+        if given["normalizer"] or rules["type"] != "ByteLevel" or rules["add_prefix_space"] or not rules[
+                "use_regex"] or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            raise ValueError(f"{file} is no plain byte-level vocabulary")
+        super().__init__(file, {t["content"]: t["id"] for t in added})
+
+    @cached_property
+    def letters(self):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        return ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
     def ids(self, word: str) -> list[int]:
         if word in self.special:
             return [self.special[word]]
@@ -113,7 +119,7 @@ class ByteWords:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {
             chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        vocabulary = self.given["model"]["vocab"]
+        vocabulary = read_json(self.file)["model"]["vocab"]
         out: list[bytes | None] = [None] * (1 + max([*vocabulary.values(), *self.special.values()]))
         for token, i in vocabulary.items():
             out[i] = bytes(byte[c] for c in token)
@@ -192,18 +198,18 @@ class WordTable:
         code = hashes(rows.column("word").to_pylist())
         by = np.argsort(code, kind="stable")
         self.code = code[by]
-        self.word = rows.column("word").combine_chunks().cast(pa.large_string()).take(pa.array(by))
-        column = rows.column("ids").combine_chunks().cast(pa.large_binary()).take(pa.array(by))
-        self.size = lengths(column) // 4
-        self.start = np.cumsum(self.size) - self.size
-        self.ids = np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(np.int32)
+        self.word = rows.column("word").combine_chunks().take(pa.array(by))
+        column = rows.column("ids").combine_chunks().take(pa.array(by))
+        self.edges = np.r_[0, np.cumsum(lengths(column) // 4)].astype(np.int32)
+        ids = np.frombuffer(b"".join(column.to_pylist()), "<u4")
+        self.ids = ids.astype(np.min_scalar_type(ids.max(initial=0)))
 
     def find(self, words: list[str]) -> np.ndarray:
         """The row of every word, -1 for a word that is not in the table."""
         if not len(self.code) or not words:
             return np.full(len(words), -1, np.int64)
         at = np.minimum(np.searchsorted(self.code, hashes(words)), len(self.code) - 1)
-        same = pc.equal(self.word.take(pa.array(at)), pa.array(words, pa.large_string()))
+        same = pc.equal(self.word.take(pa.array(at)), pa.array(words, pa.string()))
         return np.where(same.to_numpy(zero_copy_only=False), at, -1)
 
 
@@ -231,8 +237,10 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
     sent = spark.sparkContext.broadcast(WordTable(frequent_words(rows, tokenizer_file, bound, sample).toArrow()))
     name = f"frequent words {uuid.uuid4().hex}"
 
-    def known() -> tuple[ByteWords, WordTable]:
-        return per_worker(name, lambda: (ByteWords(tokenizer_file), sent.value))
+    special = ByteWords(tokenizer_file).special
+
+    def known() -> tuple[Splitter, WordTable]:
+        return per_worker(name, lambda: (Splitter(tokenizer_file, special), sent.value))
 
     def make_others():
         words, table = known()
@@ -283,9 +291,9 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
                 row = table.find(distinct)
                 missing = np.flatnonzero(row < 0)
                 own = [np.frombuffer(rest[distinct[k]], "<u4") for k in missing.tolist()]
-                size = np.where(row < 0, 0, table.size[row] if len(table.size) else 0)
-                start = np.where(row < 0, 0, table.start[row] if len(table.size) else 0)
-                flat = np.concatenate([gathered(table.ids, start, size), *own]).astype(np.int32)
+                start = table.edges[row].astype(np.int64)
+                size = np.where(row < 0, 0, table.edges[row + 1] - start)
+                flat = np.concatenate([gathered(table.ids, start, size).astype(np.int32), *own]).astype(np.int32)
                 local = np.cumsum(size) - size
                 size[missing] = [len(x) for x in own]
                 local[missing] = len(flat) - size[missing].sum() + np.cumsum(size[missing]) - size[missing]
@@ -331,7 +339,7 @@ def joined_pieces(ids: np.ndarray, pieces: pa.Array, chunk: int = 1_000_000) ->
 
 
 def piece_table(file: str) -> pa.Array:
-    return per_worker("pieces " + file, lambda: pa.array(ByteWords(file).pieces(), pa.large_binary()))
+    return pa.array(ByteWords(file).pieces(), pa.large_binary())
 
 
 def decode_rows(rows: DataFrame, tokenizer_file: str) -> DataFrame:
@@ -342,13 +350,13 @@ def decode_rows(rows: DataFrame, tokenizer_file: str) -> DataFrame:
     vocabulary does not have is an error.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release("pieces " + tokenizer_file)
-        pieces = piece_table(tokenizer_file)
+        release("")
         for batch in batches:
             text = [joined_pieces(np.array(i.values or [], np.int32), pieces).decode("utf-8", "replace")
                     for i in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
 
+    pieces = piece_table(tokenizer_file)
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
@@ -356,7 +364,7 @@ def round_trip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", tex
                bound: int = SENT_BYTES, sample: float = SAMPLE) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of the encoded and decoded texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = piece_table(tokenizer_file)
+        release("")
         for batch in batches:
             out = defaultdict(list)
             for i in batch.column("ids"):
@@ -368,6 +376,7 @@ def round_trip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(out[f.name], f.type) for f in
                                                                         list(arrow)[1:]]], schema=arrow)
 
+    pieces = piece_table(tokenizer_file)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     arrow = arrow_schema(docs.sparkSession, schema)
     return encode_rows(docs, tokenizer_file, id_col, text_col, bound, sample).mapInArrow(run, schema)
