@@ -177,6 +177,17 @@ def packed_ids(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def entry(word: str, ids: list[int]) -> bytes:
+    """A word and its ids in one value: collected lists of these are a third of lists of structs."""
+    raw = word.encode()
+    return len(raw).to_bytes(4, "little") + raw + packed_ids(ids)
+
+
+def read_entry(value: bytes) -> tuple[str, np.ndarray]:
+    end = 4 + int.from_bytes(value[:4], "little")
+    return value[4:end].decode(), np.frombuffer(value[end:], "<u4")
+
+
 def hashes(words: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
 
@@ -260,17 +271,17 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("byte words " + tokenizer_file)
         words, last = byte_words(tokenizer_file), (None, None)
-        ids = b""
+        value = b""
         for batch in batches:
             out = []
             for word, key in zip(batch.column("word").to_pylist(), batch.column("key").to_pylist()):
                 if word != last[0]:
-                    ids = packed_ids(words.ids(word))
+                    value = entry(word, words.ids(word))
                 if (word, key) != last:
-                    out.append((key, word, ids))
+                    out.append((key, value))
                 last = (word, key)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(
-                (pa.int64(), pa.string(), pa.binary()))], ["key", "word", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array(
+                [v for _, v in out], pa.binary())], ["key", "entry"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(3).compress
@@ -290,7 +301,7 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
                 distinct, numbers, sizes = words.numbered(text)
                 row = table.find(distinct)
                 missing = np.flatnonzero(row < 0)
-                own = [np.frombuffer(rest[distinct[k]], "<u4") for k in missing.tolist()]
+                own = [rest[distinct[k]] for k in missing.tolist()]
                 start = table.edges[row].astype(np.int64)
                 size = np.where(row < 0, 0, table.edges[row + 1] - start)
                 flat = np.concatenate([gathered(table.ids, start, size).astype(np.int32), *own]).astype(np.int32)
@@ -304,22 +315,21 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
 
     others = per_text(rows, "word string, key long", make_others, keeps=name)
     rest = others.repartition("word").sortWithinPartitions("word", "key").mapInArrow(
-        encode, "key long, word string, ids binary")
-    rest = rest.groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("rest"))
+        encode, "key long, entry binary").groupBy("key").agg(F.collect_list("entry").alias("rest"))
     waiting = rows.mapInArrow(pack, "doc_id long, key long, packed binary")
     schema = "doc_id long, ids array<int>"
     arrow = arrow_schema(spark, schema)
     return waiting.join(rest, "key", "left").select("doc_id", "packed", "rest").mapInArrow(complete, schema)
 
 
-def opened(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str], dict[str, bytes]]]:
+def opened(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str], dict[str, np.ndarray]]]:
     """The rows of a batch in parts of about BATCH_CHARS: ids, texts, and the ids of their other words by word."""
     open_ = zstandard.ZstdDecompressor().decompress
     start, size, text, rest = 0, 0, [], {}
     packed, others = batch.column("packed"), batch.column("rest")
     for k in range(batch.num_rows):
         text.append(open_(packed[k].as_py()).decode())
-        rest.update((r["word"], r["ids"]) for r in others[k].as_py() or ())
+        rest.update(map(read_entry, others[k].as_py() or ()))
         size += len(text[-1])
         if size > BATCH_CHARS or k + 1 == batch.num_rows:
             yield batch.column("doc_id").slice(start, k + 1 - start), text, rest
