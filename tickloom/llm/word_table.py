@@ -26,7 +26,7 @@ CHUNK_CHARS = 100_000
 # Bound on the table of frequent words that is sent to every task. They are chosen on a share of the rows; the choice
 # decides which words are shuffled and has no influence on the ids.
 SENT_BYTES = 40_000_000
-SAMPLE = 0.1
+SAMPLE = 0.05
 # No match of the word pattern goes from a character that is no white space to white space, nor from one of these
 # letters to one of these marks, and what follows is matched alike without what came before.
 BOUNDARY = re.compile("(?<=\\S)(?=[ \t\n\v\f\r])|(?<=[ぁ-ゖァ-ヺ一-龥])(?=[、。，])")
@@ -177,15 +177,14 @@ def packed_ids(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def entry(word: str, ids: list[int]) -> bytes:
-    """A word and its ids in one value: collected lists of these are a third of lists of structs."""
-    raw = word.encode()
-    return len(raw).to_bytes(4, "little") + raw + packed_ids(ids)
+def entry(word: str, ids: list[int], kind: str) -> bytes:
+    """A word and its ids, as numbers of the given kind, in one value. No byte of UTF-8 equals the one between them."""
+    return word.encode() + b"\xff" + np.array(ids, kind).tobytes()
 
 
-def read_entry(value: bytes) -> tuple[str, np.ndarray]:
-    end = 4 + int.from_bytes(value[:4], "little")
-    return value[4:end].decode(), np.frombuffer(value[end:], "<u4")
+def read_entry(value: bytes, kind: str) -> tuple[str, np.ndarray]:
+    word, _, ids = value.partition(b"\xff")
+    return word.decode(), np.frombuffer(ids, kind)
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -249,6 +248,7 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
     name = f"frequent words {uuid.uuid4().hex}"
 
     special = ByteWords(tokenizer_file).special
+    kind = "<u2" if len(piece_table(tokenizer_file)) <= 2 ** 16 else "<u4"
 
     def known() -> tuple[Splitter, WordTable]:
         return per_worker(name, lambda: (Splitter(tokenizer_file, special), sent.value))
@@ -276,7 +276,7 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
             out = []
             for word, key in zip(batch.column("word").to_pylist(), batch.column("key").to_pylist()):
                 if word != last[0]:
-                    value = entry(word, words.ids(word))
+                    value = entry(word, words.ids(word), kind)
                 if (word, key) != last:
                     out.append((key, value))
                 last = (word, key)
@@ -297,7 +297,7 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
         release(name)
         words, table = known()
         for batch in batches:
-            for doc_id, text, rest in opened(batch):
+            for doc_id, text, rest in opened(batch, kind):
                 distinct, numbers, sizes = words.numbered(text)
                 row = table.find(distinct)
                 missing = np.flatnonzero(row < 0)
@@ -322,14 +322,14 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
     return waiting.join(rest, "key", "left").select("doc_id", "packed", "rest").mapInArrow(complete, schema)
 
 
-def opened(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str], dict[str, np.ndarray]]]:
+def opened(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[pa.Array, list[str], dict[str, np.ndarray]]]:
     """The rows of a batch in parts of about BATCH_CHARS: ids, texts, and the ids of their other words by word."""
     open_ = zstandard.ZstdDecompressor().decompress
     start, size, text, rest = 0, 0, [], {}
     packed, others = batch.column("packed"), batch.column("rest")
     for k in range(batch.num_rows):
         text.append(open_(packed[k].as_py()).decode())
-        rest.update(map(read_entry, others[k].as_py() or ()))
+        rest.update(read_entry(e, kind) for e in others[k].as_py() or ())
         size += len(text[-1])
         if size > BATCH_CHARS or k + 1 == batch.num_rows:
             yield batch.column("doc_id").slice(start, k + 1 - start), text, rest
