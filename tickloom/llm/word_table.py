@@ -27,6 +27,7 @@ CHUNK_CHARS = 100_000
 # decides which words are shuffled and has no influence on the ids.
 SENT_BYTES = 40_000_000
 SAMPLE = 0.05
+COMMON = 8_000
 # No match of the word pattern goes from a character that is no white space to white space, nor from one of these
 # letters to one of these marks, and what follows is matched alike without what came before.
 BOUNDARY = re.compile("(?<=\\S)(?=[ \t\n\v\f\r])|(?<=[ぁ-ゖァ-ヺ一-龥])(?=[、。，])")
@@ -148,7 +149,7 @@ def word_counts(docs: DataFrame, file: str) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, file: str, bound: int, sample: float) -> DataFrame:
-    """Stored rows (word, ids) of the words that are most frequent in a share of the rows, ``bound`` bytes at most.
+    """Stored rows (word, n, ids) of the words that are most frequent in a share of the rows, ``bound`` bytes at most.
 
     Their least number is a power of two, found from the bytes that the words of each power take.
     """
@@ -167,10 +168,10 @@ def frequent_words(docs: DataFrame, file: str, bound: int, sample: float) -> Dat
         words = byte_words(file)
         for batch in batches:
             ids = [packed_ids(words.ids(w)) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
-    chosen = counts.where(F.col("n") >= F.lit(2 ** least)).select("word")
-    return stored(chosen.mapInArrow(run, "word string, ids binary"))
+    chosen = counts.where(F.col("n") >= F.lit(2 ** least)).select("word", "n")
+    return stored(chosen.mapInArrow(run, "word string, n long, ids binary"))
 
 
 def packed_ids(ids: list[int]) -> bytes:
@@ -244,7 +245,9 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
-    sent = spark.sparkContext.broadcast(WordTable(frequent_words(rows, tokenizer_file, bound, sample).toArrow()))
+    frequent = frequent_words(rows, tokenizer_file, bound, sample).toArrow()
+    sent = spark.sparkContext.broadcast(WordTable(frequent))
+    common = "".join(frequent.sort_by([("n", "ascending"), ("word", "ascending")]).column("word").to_pylist()[-COMMON:])
     name = f"frequent words {uuid.uuid4().hex}"
 
     special = ByteWords(tokenizer_file).special
@@ -284,7 +287,7 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
                 [v for _, v in out], pa.binary())], ["key", "entry"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(3).compress
+        squeeze = zstandard.ZstdCompressor(6, dict_data=dictionary(common)).compress
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -297,7 +300,7 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
         release(name)
         words, table = known()
         for batch in batches:
-            for doc_id, text, rest in opened(batch, kind):
+            for doc_id, text, rest in opened(batch, kind, common):
                 distinct, numbers, sizes = words.numbered(text)
                 row = table.find(distinct)
                 missing = np.flatnonzero(row < 0)
@@ -322,9 +325,15 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
     return waiting.join(rest, "key", "left").select("doc_id", "packed", "rest").mapInArrow(complete, schema)
 
 
-def opened(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[pa.Array, list[str], dict[str, np.ndarray]]]:
+def dictionary(common: str) -> zstandard.ZstdCompressionDict | None:
+    """Common words to compress short texts with."""
+    raw = common.encode()
+    return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(raw) > 1000 else None
+
+
+def opened(batch: pa.RecordBatch, kind: str, common: str) -> Iterator[tuple[pa.Array, list[str], dict]]:
     """The rows of a batch in parts of about BATCH_CHARS: ids, texts, and the ids of their other words by word."""
-    open_ = zstandard.ZstdDecompressor().decompress
+    open_ = zstandard.ZstdDecompressor(dict_data=dictionary(common)).decompress
     start, size, text, rest = 0, 0, [], {}
     packed, others = batch.column("packed"), batch.column("rest")
     for k in range(batch.num_rows):
