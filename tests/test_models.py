@@ -46,12 +46,6 @@ def test_trees(planted, make):
     assert score(planted, make()) > 0.75
 
 
-def test_cut_forest(planted):
-    train, test = M.split(planted)
-    out = M.random_cut_forest(train, test, FEATURES, "label", members=5, depth=5)
-    assert M.accuracy(out, "label").first().accuracy > 0.6 and out.count() == 200
-
-
 def test_scaler_uses_the_population_deviation(planted):
     train = planted.where("is_train")
     model = M.fit(train, FEATURES, M.tree("label", 1), scaled=True)

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence as Seq
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Bucketizer, ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -99,35 +98,6 @@ def significance(scores: DataFrame, p0: float) -> DataFrame:
             .withColumns({"low": ci["low"], "high": ci["high"]}).drop("_ci"))
 
 
-def random_cut_forest(train: DataFrame, test: DataFrame, features: Seq[str], label: str, members: int = 10,
-                      cuts: int = 8, depth: int = 10) -> DataFrame:
-    """Extremely randomised trees, approximated: each member sees its features cut at random points.
-
-    Returns the test rows with the class that has the largest mean probability.
-    """
-    bounds = train.agg(*[f(c).alias(f"{c}_{n}") for c in features for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    rng = random.Random(SEED)
-    scored = test.withColumn("_sum", F.lit(None).cast("array<double>"))
-    for m in range(members):
-        cut_at = []
-        for c in features:
-            lo, hi = float(bounds[f"{c}_lo"]), float(bounds[f"{c}_hi"])
-            inner = sorted({rng.uniform(lo, hi) for _ in range(cuts)}) if hi > lo else []
-            cut_at.append([float("-inf"), *(inner or [lo]), float("inf")])
-        names = [f"_cut_{c}" for c in features]
-        stages = [Bucketizer(splitsArray=cut_at, inputCols=list(features), outputCols=names),
-                  VectorAssembler(inputCols=names, outputCol="_cuts"),
-                  RandomForestClassifier(labelCol=label, featuresCol="_cuts", numTrees=1, maxDepth=depth,
-                                         featureSubsetStrategy="sqrt", bootstrap=False, seed=SEED + m,
-                                         probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_pred")]
-        model = Pipeline(stages=stages).fit(train)
-        member = vector_to_array("_p")
-        scored = model.transform(scored).withColumn("_sum", F.when(F.col("_sum").isNull(), member).otherwise(
-            F.zip_with("_sum", member, lambda a, b: a + b))).drop("_cuts", "_p", "_raw", "_pred", *names)
-    best = F.array_position("_sum", F.array_max("_sum")) - 1
-    return scored.withColumn("prediction", best.cast("double")).drop("_sum")
-
-
 def coefficient_importance(model: PipelineModel, features: Seq[str]) -> list[tuple[str, float]]:
     """Mean absolute coefficient over the classes; a table of classes by features, small by nature."""
     matrix = model.stages[-1].coefficientMatrix.toArray()

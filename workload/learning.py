@@ -6,6 +6,7 @@ from tickloom.functions import price as P
 from tickloom.operators import learn as L
 from tickloom.operators import models as M
 from tickloom.operators import hits as H
+from tickloom.operators.ensembles import Growth, grow_ensemble
 from tickloom.operators.neighbours import nearest_score, nearest_vote
 from tickloom.plans import features as X
 from tickloom.storage import stored
@@ -74,6 +75,7 @@ def _(spark, d):
 # ---- Spark ML ---------------------------------------------------------------
 
 ITERATIONS = 1000  # at most; the tolerance ends a fit earlier
+TREES = 300
 
 
 def v1_rows(spark, d):
@@ -117,16 +119,19 @@ def _(spark, d):
                          scored(df, M.COMPARED_FEATURES, M.tree(LABEL, None), name="deepest")])
 
 
+def ensemble_score(train, test, random_cuts):
+    trees = grow_ensemble(train, M.COMPARED_FEATURES, LABEL, Growth(trees=TREES, random_cuts=random_cuts))
+    return M.accuracy(trees.predict(test), LABEL)
+
+
 @query("m07_random_forest")
 def _(spark, d):
-    return scored(v1_rows(spark, d), M.COMPARED_FEATURES, M.forest(LABEL, 20, 8), name="forest")
+    return M.named(ensemble_score(*M.split(v1_rows(spark, d)), False), "random forest", 0.1)
 
 
 @query("m08_extra_trees")
 def _(spark, d):
-    train, test = M.split(v1_rows(spark, d))
-    out = M.random_cut_forest(train, test, M.COMPARED_FEATURES, LABEL, members=3, depth=6)
-    return M.named(M.accuracy(out, LABEL), "random cut forest", 0.1)
+    return M.named(ensemble_score(*M.split(v1_rows(spark, d)), True), "extra trees", 0.1)
 
 
 NEAR_FEATURES = ["previous_digit", "digit_change", "even_count_10", "even_count_25"]
@@ -161,12 +166,11 @@ def _(spark, d):
 def _(spark, d):
     df = v1_rows(spark, d)
     train, test = M.split(df)
-    others = {"extra trees": M.accuracy(M.random_cut_forest(train, test, M.COMPARED_FEATURES, LABEL, members=2, depth=5), LABEL),
-              "nearest neighbours": nearest_score(train, test, NEAR_FEATURES, LABEL, 50)}
+    others = {"random forest": ensemble_score(train, test, False), "extra trees": ensemble_score(train, test, True),
+              "nearest neighbours": nearest_score(train, test, M.COMPARED_FEATURES, LABEL, 50)}
     return M.compare(df, M.COMPARED_FEATURES, LABEL, 0.1, {
-        "logistic regression": (M.logistic(LABEL, n_train(df), ITERATIONS), True),
-        "decision tree": (M.tree(LABEL, 10), False),
-        "random forest": (M.forest(LABEL, 10, 6), False)}, extra=others)
+        "logistic regression": (M.logistic(LABEL, n_train(df), ITERATIONS), False),
+        "decision tree": (M.tree(LABEL, 10), False)}, extra=others)
 
 
 @query("m11_accuracy")
@@ -190,8 +194,8 @@ def _(spark, d):
 
 @query("m13_tree_importance")
 def _(spark, d):
-    model = M.fit(v1_rows(spark, d).where("is_train"), M.COMPARED_FEATURES, M.forest(LABEL, 10, 6))
-    return importance(spark, M.tree_importance(model, M.COMPARED_FEATURES))
+    trees = grow_ensemble(v1_rows(spark, d).where("is_train"), M.COMPARED_FEATURES, LABEL, Growth(trees=TREES))
+    return importance(spark, trees.importance())
 
 
 def with_probabilities(spark, d):
