@@ -2,8 +2,8 @@
 
 ``LivePrediction`` treats each micro-batch as a batch job over the new ticks and
 the last ticks of every symbol, so a symbol with most of the traffic is cut
-into segments like any other sequence.  ``stateful_predictions`` does the same
-with a state per symbol inside Spark's state store.
+into segments like any other sequence.  ``symbol_state`` does the same with a
+typed state per symbol inside Spark's state store.
 """
 
 from __future__ import annotations
@@ -12,17 +12,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.functions.price import flag
 from tickloom.operators.sequence import Sequence, sequence
 from tickloom.plans import features as X
 from tickloom.sources.ticks import prediction_stats
 
-STATE = "symbol string, time bigint, price double, digit int, ticks_before bigint"
+TOTALS = "ticks bigint, predictions bigint, correct bigint"
+STATE = f"symbol string, time bigint, price double, digit int, {TOTALS}"
+STATUS = f"symbol string, {TOTALS}"
 PREDICTION = ("symbol string, signal_time bigint, result_time bigint, signal_price double, result_price double, "
               "previous_digit int, predicted_digit int, actual_digit int, delta double, volatility double, correct int")
 TICK = "symbol string, time bigint, price double, digit int"
+SIGNAL = "symbol string, time bigint, price double, delta double, live_volatility double, previous_digit int"
 CLOSING = "closing"
 STATUS_EVERY = 100
 
@@ -79,10 +81,20 @@ class LivePrediction:
     tick is lost only if it comes more than ``delay`` late.  ``close`` takes
     the held ticks in when no more will come; a later micro-batch undoes that.
     Ticks that are not newer than the last one of their symbol are ignored.
+
+    The state has the last ticks of every symbol and its totals, so what is known of a symbol now costs the same
+    at any age of the stream. A symbol without a tick for ``idle`` steps of time leaves it and starts anew when
+    it comes again. Every ``compact_every`` micro-batches the results so far become one version, and versions that nothing
+    needs any more are deleted.
     """
 
-    def __init__(self, spark: SparkSession, path: str, rule: Rule = Rule(), delay: int = 0):
+    RESULTS = ("signals", "predictions", "status")
+    STEPS = ("come", "held", "input", "rows", "state")
+
+    def __init__(self, spark: SparkSession, path: str, rule: Rule = Rule(), delay: int = 0, idle: int | None = None,
+                 every: int = STATUS_EVERY, compact_every: int = 20):
         self.spark, self.path, self.rule, self.delay = spark, path.rstrip("/"), rule, delay
+        self.idle, self.every, self.compact_every = idle, every, compact_every
         self._batch, self._closed = -1, False
 
     def _version(self, name: str, batch: int | str) -> str:
@@ -106,6 +118,8 @@ class LivePrediction:
         ready = F.col("time") <= (latest or 0) - self.delay
         self._write(come.where(~ready), "held", batch_id)
         self._advance(come.where(ready), batch_id - 1, batch_id)
+        if self.compact_every and (batch_id + 1) % self.compact_every == 0:
+            self.compact()
 
     def close(self) -> None:
         """Take in the ticks that are still held back."""
@@ -115,59 +129,107 @@ class LivePrediction:
 
     def _advance(self, ticks: DataFrame, before: int, batch: int | str) -> None:
         last = self._read("state", before, STATE)
-        marks = last.groupBy("symbol").agg(F.max("time").alias("_mark"), F.max("ticks_before").alias("_before"))
+        marks = last.groupBy("symbol").agg(F.max("time").alias("_mark"))
+        none = [F.lit(None).cast("bigint").alias(c.split()[0]) for c in TOTALS.split(", ")]
         fresh = (ticks.join(marks, "symbol", "left")
                  .where(F.col("_mark").isNull() | (F.col("time") > F.col("_mark")))
-                 .select("symbol", "time", "price", "digit", F.lit(None).cast("bigint").alias("ticks_before"),
-                         F.lit(True).alias("is_new")))
+                 .select("symbol", "time", "price", "digit", *none, F.lit(True).alias("is_new")))
         rows = self._write(last.withColumn("is_new", F.lit(False)).unionByName(fresh), "input", batch)
         seq = with_signal(sequence(rows, ["time"], ["symbol"]), self.rule)
         # The next tick must be new, or the signal was resolved in an earlier batch.
-        seq = seq.derive(lambda w: {"_next_new": F.lead("is_new").over(w)}, fwd=1)
-        # Ticks seen so far: the stored count of the last old tick, plus the new ones since.
-        seq = seq.running({"_stored": (F.col("ticks_before"), "max"), "_new": (flag(F.col("is_new")).cast("bigint"), "sum")})
-        seq = seq.with_columns({"ticks": F.coalesce("_stored", F.lit(0)) + F.col("_new")})
-        columns = [c.split()[0] for c in STATE.split(", ")]
+        seq = seq.derive(lambda w: {"_next_new": F.lead("is_new").over(w), "_resolves": F.lag("signal").over(w)}, back=1, fwd=1)
+        # Totals so far: those stored with the last old tick, plus what is new since.
+        resolves = F.col("is_new") & F.coalesce("_resolves", F.lit(False))
+        new = {"ticks": F.col("is_new"), "predictions": resolves,
+               "correct": resolves & (F.col("digit") == self.rule.target)}
+        seq = seq.running({**{f"_old_{c}": (F.col(c), "max") for c in new},
+                           **{f"_new_{c}": (flag(is_one).cast("bigint"), "sum") for c, is_one in new.items()}})
+        seq = seq.with_columns({c: F.coalesce(f"_old_{c}", F.lit(0)) + F.col(f"_new_{c}") for c in new})
         done = self._write(seq.frame().select(
-            "symbol", "time", "price", "digit", "is_new", "signal", "ticks", "delta", "live_volatility", "previous_digit",
+            "symbol", "time", "price", "digit", "is_new", "signal", *new, "delta", "live_volatility", "previous_digit",
             "result_time", "result_price", "actual_digit", "_next_new"), "rows", batch)
         self._write(done.where("is_new AND signal").select(
             "symbol", "time", "price", "delta", "live_volatility", "previous_digit"), "signals", batch)
         self._write(resolved(done.where("_next_new"), self.rule), "predictions", batch)
+        self._write(done.where(F.col("is_new") & (F.col("ticks") % self.every == 0)).select(
+            "symbol", "ticks", "predictions", "correct"), "status", batch)
         newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("time").desc()))
-        self._write(done.withColumn("_r", newest).where(F.col("_r") <= self.rule.prices + 1)
-                    .withColumn("ticks_before", F.col("ticks")).select(*columns), "state", batch)
+        kept = done.withColumn("_r", newest).where(F.col("_r") <= self.rule.prices + 1)
+        if self.idle is not None:
+            latest = done.agg(F.max("time")).first()[0] or 0
+            alive = kept.groupBy("symbol").agg(F.max("time").alias("_last")).where(F.col("_last") >= latest - self.idle)
+            kept = kept.join(alive, "symbol", "left_semi")
+        self._write(kept.select(*[c.split()[0] for c in STATE.split(", ")]), "state", batch)
+
+    def compact(self) -> None:
+        """One version of every result for all micro-batches so far; older steps go, but for those of the last two."""
+        if self._batch < 0:
+            return
+        for name, schema in zip(self.RESULTS, (SIGNAL, PREDICTION, STATUS)):
+            # A repeated micro-batch finds what it has merged before.
+            if not any(kind == "upto" and number == self._batch for _, kind, number in self._found(name)):
+                self.spark.read.schema(schema).parquet(*self._versions(name)).write.mode("overwrite").parquet(
+                    f"{self.path}/{name}/upto={self._batch}")
+        for name in (*self.RESULTS, *self.STEPS):
+            for path, kind, number in self._found(name):
+                if (kind == "upto" and number < self._batch) or (kind == "batch" and number < self._batch - 1):
+                    self._files().delete(self._at(path), True)
+
+    def _files(self):
+        return self._at(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _at(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _found(self, name: str) -> list[tuple[str, str, int]]:
+        """Whole versions on storage: path, kind (batch or upto) and micro-batch."""
+        files, out = self._files(), []
+        if not files.exists(self._at(f"{self.path}/{name}")):
+            return out
+        for status in files.listStatus(self._at(f"{self.path}/{name}")):
+            kind, _, number = status.getPath().getName().partition("=")
+            path = status.getPath().toString()
+            if number and files.exists(self._at(f"{path}/_SUCCESS")):
+                out.append((path, kind, int(number)))
+        return out
+
+    def _versions(self, name: str) -> list[str]:
+        """Paths that together have a result of all micro-batches, each once."""
+        found = self._found(name)
+        upto = max((n for _, kind, n in found if kind == "upto"), default=-1)
+        return [p for p, kind, n in found if (kind == "upto" and n == upto) or (kind == "batch" and n > upto)]
 
     def _all(self, name: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{name}/batch=*"] + ([self._version(name, CLOSING)] if self._closed else [])
-        return self.spark.read.schema(schema).parquet(*paths)
+        paths = self._versions(name) + ([self._version(name, CLOSING)] if self._closed else [])
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def predictions(self) -> DataFrame:
         return self._all("predictions", PREDICTION)
 
     def signals(self) -> DataFrame:
-        return self._all("signals", "symbol string, time bigint, price double, delta double, live_volatility double, previous_digit int")
+        return self._all("signals", SIGNAL)
+
+    def state(self) -> DataFrame:
+        """The last ticks of every symbol and its totals up to each of them, as the next micro-batch will find them."""
+        if self._batch < 0:
+            self._batch = max((n for _, kind, n in self._found("state") if kind == "batch"), default=-1)
+        return self._read("state", CLOSING if self._closed else self._batch, STATE)
 
     def accuracy(self) -> DataFrame:
-        """Predictions and hits so far, per symbol."""
-        out = self.predictions().groupBy("symbol").agg(F.count(F.lit(1)).alias("predictions"), F.sum("correct").alias("correct"))
-        return out.withColumn("accuracy", F.col("correct") / F.col("predictions"))
+        """Ticks, predictions and hits so far, per symbol; read from the state alone."""
+        last = self.state().groupBy("symbol").agg(F.max(F.struct("ticks", "predictions", "correct")).alias("now"))
+        return with_accuracy(last.select("symbol", "now.*"))
 
     def totals(self) -> DataFrame:
         return prediction_stats(self.predictions())
 
-    def status(self, every: int = STATUS_EVERY) -> DataFrame:
+    def status(self) -> DataFrame:
         """One row for every 100th tick of a symbol: predictions resolved and hits up to that tick."""
-        rows = self._all("rows", "symbol string, time bigint, is_new boolean, ticks bigint").where("is_new")
-        events = rows.select("symbol", "time", "ticks", F.lit(0).alias("n"), F.lit(0).alias("k")).unionByName(
-            self.predictions().select("symbol", F.col("result_time").alias("time"), F.lit(None).cast("bigint").alias("ticks"),
-                                      F.lit(1).alias("n"), F.col("correct").alias("k")))
-        # A prediction is resolved by the tick of the same time, so it is counted before that tick's status.
-        seq = sequence(events.withColumn("_last", flag(F.col("ticks").isNotNull())), ["time", "_last"], ["symbol"])
-        seq = seq.running({"predictions": (F.col("n").cast("bigint"), "sum"), "correct": (F.col("k").cast("bigint"), "sum")})
-        return seq.frame().where(F.col("ticks") % every == 0).select(
-            "symbol", "ticks", "predictions", "correct",
-            F.when(F.col("predictions") > 0, F.col("correct") / F.col("predictions")).alias("accuracy"))
+        return with_accuracy(self._all("status", STATUS))
+
+
+def with_accuracy(totals: DataFrame) -> DataFrame:
+    return totals.withColumn("accuracy", F.when(F.col("predictions") > 0, F.col("correct") / F.col("predictions")))
 
 
 def run_available(stream: DataFrame, handler, checkpoint: str) -> None:
@@ -184,60 +246,107 @@ def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def run_until(stream: DataFrame, handler: BoundedCollection, checkpoint: str, seconds: float | None = None) -> bool:
+    """Run a stream until the handler's target is reached (true), no more comes within ``seconds``, or it fails.
+
+    Without ``seconds`` it waits for new data for ever.
+    """
+    query = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).start()
+    quiet = 0.0
+    try:
+        while not handler.reached() and not query.awaitTermination(0.2):
+            quiet = 0.0 if query.status["isDataAvailable"] or query.status["isTriggerActive"] else quiet + 0.2
+            if seconds is not None and quiet >= seconds:
+                break
+    finally:
+        query.stop()
+    return handler.reached()
+
+
 class BoundedCollection:
-    """``foreachBatch`` handler that stores ticks until ``target`` rows are saved."""
+    """``foreachBatch`` handler that stores ticks until ``target`` rows are saved, and nothing from then on.
+
+    Of the micro-batch that reaches the target the first ticks in order of (time, symbol, price) are taken, so what is kept
+    follows from the order of arrival alone. Each version notes how many rows are saved with it, so no older version is
+    read again; a repeated micro-batch replaces its own. ``run_until`` ends the stream at the target.
+    """
 
     def __init__(self, spark: SparkSession, path: str, target: int):
         self.spark, self.path, self.target = spark, path.rstrip("/"), target
 
     def saved(self, before: int | None = None) -> int:
-        if before == 0:
+        """Rows saved, or rows saved by the micro-batches before one."""
+        notes = self.spark.read.schema("saved bigint, batch int").option("ignoreMissingFiles", True)
+        if not self._exists(f"{self.path}/saved"):
             return 0
-        rows = self.rows() if before is None else self.rows().where(F.col("batch") < before)
-        return rows.count()
+        rows = notes.parquet(f"{self.path}/saved")
+        return (rows if before is None else rows.where(F.col("batch") < before)).agg(F.max("saved")).first()[0] or 0
+
+    def reached(self) -> bool:
+        return self.saved() >= self.target
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema("symbol string, time bigint, price double, digit int, batch int").parquet(self.path)
+        return self.spark.read.schema(TICK + ", batch int").parquet(f"{self.path}/ticks")
+
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        missing = self.target - self.saved(batch_id)
-        part = batch.orderBy("time", "symbol").limit(missing) if missing > 0 else batch.limit(0)
-        part.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        before = self.saved(batch_id)
+        if before >= self.target:
+            return
+        path = f"{self.path}/ticks/batch={batch_id}"
+        come = batch.select("symbol", "time", "price", "digit")
+        come.write.mode("overwrite").parquet(path)
+        count = self.spark.read.schema(TICK).parquet(path).count()
+        if before + count > self.target:
+            first = come.orderBy("time", "symbol", "price").limit(self.target - before)
+            first.write.mode("overwrite").parquet(path)
+            count = self.target - before
+        note = self.spark.range(1).select(F.lit(before + count).cast("bigint").alias("saved"))
+        note.write.mode("overwrite").parquet(f"{self.path}/saved/batch={batch_id}")
+
+
+class MarkedCollection:
+    """``foreachBatch`` handler that stores only ticks newer than the latest stored one of their symbol.
+
+    The stored table is all it goes by: a stream whose checkpoint is lost starts again, ``back_fill`` closes the gap from a
+    bounded history, and nothing is stored twice, whatever the stream repeats. A version is named by ``run``, which
+    stands for one checkpoint, and its micro-batch; a repeated micro-batch replaces its own. Each version has the
+    marks of its symbols beside it, so finding the marks reads no ticks.
+    """
 
+    MARK = "symbol string, last_time bigint, version string"
 
-def stateful_predictions(ticks: DataFrame, rule: Rule) -> DataFrame:
-    """The same predictions from a state per symbol: last prices, previous digits and the pending signal.
+    def __init__(self, spark: SparkSession, path: str, run: str):
+        self.spark, self.path, self.run = spark, path.rstrip("/"), run
 
-    Only the last ``rule.prices`` prices are kept.  A symbol's part of a
-    micro-batch is sorted in memory, so bound it with the source's rate limit, and micro-batches must follow each other
-    in time; ``LivePrediction`` has no such limits.
-    """
-    state_schema = "prices array<double>, digits array<int>, times array<bigint>, pending boolean, volatility double, delta double"
-    limit_delta, limit_volatility = rule.delta, rule.volatility
-    wanted_digit, target, size = rule.previous_digit, rule.target, rule.prices
-    columns = [c.split()[0] for c in PREDICTION.split(", ")]
-
-    def update(key, frames, state: GroupState):
-        import numpy as np
-        import pandas as pd
-        prices, digits, times, pending, volatility, delta = (
-            [list(v) if i < 3 else v for i, v in enumerate(state.get)] if state.exists else [[], [], [], False, None, None])
-        rows = pd.concat(list(frames)).sort_values("time")
-        out = []
-        for time, price, digit in zip(rows["time"], rows["price"], rows["digit"]):
-            if times and time <= times[-1]:
-                continue
-            if pending:
-                out.append((key[0], times[-1], int(time), prices[-1], float(price), digits[-2], target, int(digit), delta,
-                            volatility, int(digit == target)))
-            delta = float(price) - prices[-1] if prices else None
-            prices, digits, times = (prices + [float(price)])[-size:], (digits + [int(digit)])[-2:], [int(time)]
-            volatility = float(np.std(np.diff(prices), ddof=1)) if len(prices) == size else None
-            pending = bool(volatility is not None and delta <= limit_delta and volatility <= limit_volatility
-                           and digits[0] == wanted_digit)
-        state.update((prices, digits, times, pending, volatility, delta))
-        if out:
-            yield pd.DataFrame(out, columns=columns)
-
-    return ticks.groupBy("symbol").applyInPandasWithState(
-        update, PREDICTION, state_schema, "append", GroupStateTimeout.NoTimeout)
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(TICK + ", version string").parquet(f"{self.path}/ticks").drop("version")
+
+    def marks(self, but: str | None = None) -> DataFrame:
+        """Latest stored time of every symbol, without those of one version."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/marks")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], "symbol string, last_time bigint")
+        rows = self.spark.read.schema(self.MARK).parquet(f"{self.path}/marks")
+        rows = rows if but is None else rows.where(F.col("version") != but)
+        return rows.groupBy("symbol").agg(F.max("last_time").alias("last_time"))
+
+    def back_fill(self, history: DataFrame) -> None:
+        """Take in the ticks of a bounded history that are newer than the marks."""
+        self._take(history, f"{self.run}-history")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self._take(batch, f"{self.run}-{batch_id}")
+
+    def _take(self, ticks: DataFrame, version: str) -> None:
+        marks = self.marks(version)
+        come = distinct_ticks(ticks.select("symbol", "time", "price", "digit")).join(marks, "symbol", "left")
+        fresh = come.where(F.col("last_time").isNull() | (F.col("time") > F.col("last_time"))).drop("last_time")
+        path = f"{self.path}/ticks/version={version}"
+        fresh.write.mode("overwrite").parquet(path)
+        # The mark comes last: without it the version counts as not stored and is written again.
+        self.spark.read.schema(TICK).parquet(path).groupBy("symbol").agg(F.max("time").alias("last_time")).write.mode(
+            "overwrite").parquet(f"{self.path}/marks/version={version}")
