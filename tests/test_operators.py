@@ -199,6 +199,42 @@ def test_text_files_round_trip(spark, tmp_path):
     assert src.high_water_mark(raw.limit(0)).first()["last_time"] is None
 
 
+def test_long_history_is_unfolded_in_parts(spark):
+    n = 1_000_000
+    one = spark.range(1).select(F.lit("A").alias("symbol"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: F.xxhash64(x) * 1e-9).alias("p"),
+                                F.sequence(F.lit(1), F.lit(n)).alias("t"))
+    short = spark.createDataFrame([("B", [1.0, 2.0], [5]), ("C", [], []), ("D", None, [1]), ("E", None, None)],
+                                  "symbol string, p array<double>, t array<int>")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        got = src.zip_history(one.unionByName(short), F.col("p"), F.col("t"), ["symbol"])
+        sizes = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(sizes) > 4 and max(sizes) < n / 2
+    assert got.where("symbol = 'A'").agg(F.count("*"), F.sum("time"), F.sum(F.expr("price - xxhash64(int(time)) * 1e-9"))).first() == (
+        n, n * (n + 1) // 2, 0.0)
+    assert sorted(((r.symbol, r.time, r.price) for r in got.where("symbol <> 'A'").collect()), key=repr) == [
+        ("B", 5, 1.0), ("B", None, 2.0), ("D", 1, None)]
+
+
+@pytest.mark.parametrize("bucket_rows", [500, 3])
+def test_permutations_from_counts_in_buckets(spark, bucket_rows):
+    """Every bucket deals what it got: shuffled hits have the same mean whatever the buckets."""
+    rng = random.Random(21)
+    rows = [(i, rng.randrange(5), rng.randrange(3), rng.choice([3, 3, 3, 4])) for i in range(800)]
+    df = spark.createDataFrame(rows, "pos long, a int, b int, label int")
+    train, test = df.where("pos < 600"), df.where("pos >= 600")
+    got = {r.perm: (r.correct, r.n) for r in D.counted_permutation_scores(
+        train, test, ["a", "b"], "label", 200, bucket_rows=bucket_rows).collect()}
+    plain = {r.perm: (r.correct, r.n) for r in D.permutation_scores(train, test, ["a", "b"], "label", "pos", 40).collect()}
+    assert len(got) == 201 and got[-1] == plain[-1] and {n for _, n in got.values()} == {200}
+    a, b = ([c for k, (c, _) in x.items() if k >= 0] for x in (got, plain))
+    assert abs(np.mean(a) - np.mean(b)) < 4 * np.std(b) / np.sqrt(40) + 1e-9
+    assert D.counted_permutation_scores(train.limit(0), test, ["a", "b"], "label", 3).where("perm >= 0").count() == 0
+
+
 def test_permutations_from_counts_follow_those_of_rows(spark):
     """Real accuracy is the same, and the shuffled accuracies have the mean and spread of shuffled rows."""
     rng = random.Random(12)

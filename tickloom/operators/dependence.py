@@ -110,57 +110,81 @@ def permutation_scores(train: DataFrame, test: DataFrame, features: Seq[str], la
     return per.withColumn("accuracy", F.col("correct") / F.col("n"))
 
 
-MAX_CELLS = 1_000_000
+BUCKET_ROWS = 500
 
 
 def counted_permutation_scores(train: DataFrame, test: DataFrame, features: Seq[str], label: str, times: int,
-                               seed: int = 42) -> DataFrame:
+                               seed: int = 42, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """As ``permutation_scores``, with any number of permutations for one scan of the rows.
 
     A mode predictor sees only how often each label meets each combination of feature values. Shuffled labels are
     therefore drawn as tables: each combination gets its number of labels without replacement from those that are left,
-    which is how a random permutation distributes them. Each permutation has its own seed and is one row of the
-    job, so the cost is permutations times cells and does not depend on the number of rows. The counted table goes to
-    every task; beyond MAX_CELLS cells the call raises, and ``permutation_scores`` is the way.
+    which is how a random permutation distributes them. The combinations are a stored table in buckets of about
+    ``bucket_rows``: a permutation first deals its labels to the buckets, then every bucket deals what it got to its
+    combinations in a task of its own. The cost is permutations times combinations and does not depend on the number of
+    rows; only the sizes of the buckets and the number of each label reach the driver. Each deal has its own seed, so a
+    repeated task draws the same.
     """
+    import numpy as np
     import pandas as pd
 
     side = [train.select(*features, label, F.lit(1).alias("_train"), F.lit(0).alias("_test")),
             test.select(*features, label, F.lit(0).alias("_train"), F.lit(1).alias("_test"))]
-    counts = side[0].unionByName(side[1]).na.drop(subset=[*features, label]).groupBy(*features, label).agg(
-        F.sum("_train").alias("_train"), F.sum("_test").alias("_test"))
-    rows = counts.limit(MAX_CELLS + 1).toPandas()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} combinations of feature values and labels")
-    wide = rows.pivot_table(index=list(features), columns=label, values=["_train", "_test"], fill_value=0, aggfunc="sum")
-    labels = sorted(rows[label].unique())
-    learned, scored = (wide[c].reindex(columns=labels, fill_value=0).to_numpy().astype("int64") for c in ("_train", "_test"))
-    known = learned.sum(1) > 0
-    learned, scored = learned[known], scored[known]
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast((learned, scored))
-
-    def draw(frames):
-        import numpy as np
-
-        real, hits = shared.value
-        sizes = real.sum(1)
-        every = np.arange(len(real))
-        for frame in frames:
-            out = []
-            for perm in frame["perm"]:
-                table = real
-                if perm >= 0:
-                    rng, left, table = np.random.default_rng([seed, int(perm)]), real.sum(0), np.zeros_like(real)
-                    for i, n in enumerate(sizes):
-                        table[i] = rng.multivariate_hypergeometric(left, n, method="marginals")
-                        left = left - table[i]
-                # Of equals the lowest label, which comes first.
+    counts = stored(side[0].unionByName(side[1]).na.drop(subset=[*features, label]).groupBy(*features, label).agg(
+        F.sum("_train").alias("_train"), F.sum("_test").alias("_test")))
+    labels = sorted(r[0] for r in counts.select(label).distinct().collect())
+    by_label = [[F.sum(F.when(F.col(label) == x, F.col(c)).otherwise(0)) for x in labels] or [F.lit(0)]
+                for c in ("_train", "_test")]
+    tables = counts.groupBy(*features).agg(F.array(*by_label[0]).alias("real"), F.array(*by_label[1]).alias("hits")).where(
+        F.aggregate("real", F.lit(0).cast("bigint"), lambda s, x: s + x) > 0)
+    buckets = max(1, -(-tables.count() // bucket_rows))
+    tables = stored(tables.select(
+        F.to_json(F.struct(*features)).alias("key"), F.pmod(F.xxhash64(*features), F.lit(buckets)).cast("int").alias("bucket"),
+        "real", "hits"))
+    # Of equals the lowest label, which comes first.
+    best = F.element_at("hits", F.array_position("real", F.array_max("real")).cast("int"))
+    rows = F.aggregate("hits", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    per = tables.agg(F.lit(-1).cast("bigint").alias("perm"), F.sum(best).alias("correct"), F.sum(rows).alias("n"))
+    if times and labels:
+        sums = [F.sum(F.element_at("real", k + 1)).alias(f"l{k}") for k in range(len(labels))]
+        sizes = sorted(tuple(r) for r in tables.groupBy("bucket").agg(*sums).collect())
+        all_labels = np.array(sizes, np.int64)[:, 1:].sum(0)
+        sizes = [(r[0], sum(r[1:])) for r in sizes]
+
+        def deal(frames):
+            for frame in frames:
+                out = []
+                for perm in frame["perm"]:
+                    rng, left = np.random.default_rng([seed, int(perm)]), all_labels.copy()
+                    for bucket, n in sizes:
+                        own = rng.multivariate_hypergeometric(left, n, method="marginals")
+                        left -= own
+                        out.append((int(perm), bucket, own.tolist()))
+                yield pd.DataFrame(out, columns=["perm", "bucket", "labels"])
+
+        def score(key, dealt, cells):
+            cells = cells.sort_values("key")
+            real, hits = (np.stack(cells[c]).astype(np.int64) for c in ("real", "hits"))
+            size, every, out = real.sum(1), np.arange(len(cells)), []
+            for perm, labels_ in zip(dealt["perm"], dealt["labels"]):
+                rng, left, table = np.random.default_rng([seed, int(perm), key[0] + 1]), np.array(labels_), np.zeros_like(real)
+                for i, n in enumerate(size):
+                    table[i] = rng.multivariate_hypergeometric(left, n, method="marginals")
+                    left = left - table[i]
                 out.append((int(perm), int(hits[every, table.argmax(1)].sum()), int(hits.sum())))
-            yield pd.DataFrame(out, columns=["perm", "correct", "n"])
-
-    perms = spark.range(-1, times, numPartitions=max(1, min(times, spark.sparkContext.defaultParallelism)))
-    per = perms.select(F.col("id").alias("perm")).mapInPandas(draw, "perm long, correct long, n long")
+            return pd.DataFrame(out, columns=["perm", "correct", "n"])
+
+        spark = train.sparkSession
+        tasks = spark.sparkContext.defaultParallelism
+        dealt = spark.range(0, times, numPartitions=max(1, min(times, tasks))).select(F.col("id").alias("perm")).mapInPandas(
+            deal, "perm long, bucket int, labels array<long>")
+        # Few buckets have many permutations each: parts of a bucket's permutations are groups of their own.
+        parts = max(1, min(times, 4 * tasks // buckets))
+        dealt = dealt.withColumn("part", (F.col("perm") % parts).cast("int"))
+        spread = tables.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        drawn = dealt.groupBy("bucket", "part").cogroup(spread.groupBy("bucket", "part")).applyInPandas(
+            score, "perm long, correct long, n long")
+        per = per.unionByName(drawn.groupBy("perm").agg(F.sum("correct").alias("correct"), F.sum("n").alias("n")))
     return per.withColumn("accuracy", F.col("correct") / F.col("n"))
 
 

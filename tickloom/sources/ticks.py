@@ -120,10 +120,25 @@ def stored_rows(df: DataFrame, target: int) -> DataFrame:
         "saved", (F.col("saved") >= target).alias("target_reached"))
 
 
-def zip_history(history: DataFrame, prices: Column, times: Column, keys: Seq[str] = ()) -> DataFrame:
-    """Parallel arrays of one history message to one row per tick."""
-    pairs = F.arrays_zip(prices.alias("price"), times.alias("time"))
-    return history.select(*keys, F.explode(pairs).alias("t")).select(
+HISTORY_PART = 10_000
+
+
+def zip_history(history: DataFrame, prices: Column, times: Column, keys: Seq[str] = (),
+                part: int = HISTORY_PART) -> DataFrame:
+    """Parallel arrays of history messages to one row per tick; a missing entry of the shorter array is null.
+
+    A message is first cut into parts of at most ``part`` ticks, which Spark deals to its tasks by their bytes, so a message
+    of any length is unfolded by many tasks and never as one row.
+    """
+    cut = history.select(*keys, prices.alias("_prices"), times.alias("_times")).withColumn(
+        "_n", F.greatest(F.coalesce(F.size("_prices"), F.lit(0)), F.coalesce(F.size("_times"), F.lit(0)))).where("_n > 0")
+    at = F.explode(F.sequence(F.lit(1), F.col("_n"), F.lit(part)))
+    parts = cut.withColumn("_at", at).select(
+        *keys, *[F.slice(c, F.col("_at"), F.lit(part)).alias(c) for c in ("_prices", "_times")])
+    if not history.isStreaming:
+        parts = parts.hint("rebalance")
+    pairs = F.arrays_zip(F.col("_prices").alias("price"), F.col("_times").alias("time"))
+    return parts.select(*keys, F.explode(pairs).alias("t")).select(
         *keys, F.col("t.time").alias("time"), F.col("t.price").alias("price"))
 
 

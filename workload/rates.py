@@ -484,10 +484,10 @@ PERMUTATIONS = 20
 PERM_FEATURES = ["previous_digit", "digit_change"]
 
 
-def permutation_sql(std):
+def permutation_sql(std, times=PERMUTATIONS):
     return train_cte() + f""", tr AS (SELECT * FROM x WHERE is_train), te AS (SELECT * FROM x WHERE NOT is_train),
 p AS (SELECT b.b AS perm, pos, previous_digit, digit_change, row_number() OVER (PARTITION BY b.b ORDER BY
-  CAST('0x' || substr(md5(CAST(pos AS VARCHAR) || '-' || CAST(b.b AS VARCHAR)), 1, 15) AS BIGINT), pos) - 1 AS rank FROM tr CROSS JOIN range({PERMUTATIONS}) b(b)),
+  CAST('0x' || substr(md5(CAST(pos AS VARCHAR) || '-' || CAST(b.b AS VARCHAR)), 1, 15) AS BIGINT), pos) - 1 AS rank FROM tr CROSS JOIN range({times}) b(b)),
 l AS (SELECT perm, p.previous_digit, p.digit_change, tr.next_digit FROM p JOIN tr ON tr.pos = p.rank
   UNION ALL SELECT -1, previous_digit, digit_change, next_digit FROM tr),
 mo AS (SELECT perm, previous_digit, digit_change, arg_max(next_digit, n * 100 - next_digit) AS prediction FROM
@@ -499,9 +499,9 @@ SELECT {r6('max(real)', 'accuracy')}, count(*) AS permutations, {r6('avg(acc)',
   {r6('(count(*) FILTER (acc >= real) + 1) / (count(*) + 1)', 'p_value')} FROM sh, re"""
 
 
-def permutations(spark, d):
+def permutations(spark, d, times=PERMUTATIONS):
     df = split_rows(spark, d).frame()
-    return D.permutation_scores(df.where("is_train"), df.where(~F.col("is_train")), PERM_FEATURES, "next_digit", "pos", PERMUTATIONS)
+    return D.permutation_scores(df.where("is_train"), df.where(~F.col("is_train")), PERM_FEATURES, "next_digit", "pos", times)
 
 
 @query("t07_permutation_test", permutation_sql("stddev_pop"))
@@ -517,6 +517,11 @@ def _(spark, d):
 REFERENCE_PERMUTATIONS = 500
 
 
+@query("t07_permutation_test_500", permutation_sql("stddev_pop", REFERENCE_PERMUTATIONS))
+def _(spark, d):
+    return D.permutation_summary(permutations(spark, d, REFERENCE_PERMUTATIONS))
+
+
 def counted_permutations(spark, d):
     df = split_rows(spark, d).frame()
     return D.counted_permutation_scores(df.where("is_train"), df.where(~F.col("is_train")), PERM_FEATURES, "next_digit",
