@@ -125,7 +125,8 @@ HISTORY_PART = 10_000
 
 def zip_history(history: DataFrame, prices: Column, times: Column, keys: Seq[str] = (),
                 part: int = HISTORY_PART) -> DataFrame:
-    """Parallel arrays of history messages to one row per tick; a missing entry of the shorter array is null.
+    """Parallel arrays of history messages to one row per tick. A missing entry of the shorter array is null; a message
+    without one of the arrays gives no rows.
 
     A message is first cut into parts of at most ``part`` ticks, which Spark deals to its tasks by their bytes, so a message
     of any length is unfolded by many tasks and never as one row.
