@@ -145,10 +145,10 @@ def counted_permutation_scores(train: DataFrame, test: DataFrame, features: Seq[
     best = F.element_at("hits", F.array_position("real", F.array_max("real")).cast("int"))
     rows = F.aggregate("hits", F.lit(0).cast("bigint"), lambda s, x: s + x)
     per = tables.agg(F.lit(-1).cast("bigint").alias("perm"), F.sum(best).alias("correct"), F.sum(rows).alias("n"))
-    if times and labels:
-        sums = [F.sum(F.element_at("real", k + 1)).alias(f"l{k}") for k in range(len(labels))]
+    if times and not tables.isEmpty():
+        sums = [F.sum(F.element_at("real", k + 1)).alias(f"l{k}") for k in range(len(by_label[0]))]
         sizes = sorted(tuple(r) for r in tables.groupBy("bucket").agg(*sums).collect())
-        all_labels = np.array(sizes, np.int64)[:, 1:].sum(0)
+        all_labels = np.array(sizes, np.int64).reshape(len(sizes), -1)[:, 1:].sum(0)
         sizes = [(r[0], sum(r[1:])) for r in sizes]
 
         def deal(frames):
