@@ -10,7 +10,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from tickloom.llm import pii, quality, toxicity
-from tickloom.llm.fit import remainder
+from tickloom.llm.fit import labelled, remainder, training_texts
 
 PLAIN = "stone river light morning table garden window paper winter summer train bread water road field".split()
 
@@ -65,6 +65,19 @@ def test_toxicity_without_labels(abuse):
         assert 0 <= toxicity.score_toxicity(docs, lexicon).first().score < 0.3
 
 
+def test_repeated_ids_do_not_multiply(spark, abuse):
+    """200 rows for each labelled id: one of them is learned from, and the sample that is collected has a row per id."""
+    docs, labels = abuse
+    chosen = labelled(labels.where("doc_id < 60"), "toxic", toxicity.FOLDS, toxicity.HELD_OUT, 40)
+    many = docs.where("doc_id < 60").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(200))))
+    sample = training_texts(many, chosen)
+    assert sample.count() == 40 and sample.select("doc_id").distinct().count() == 40
+    lexicon = toxicity.learn(docs, labels)
+    assert toxicity.features(sample, lexicon, ("label",)).count() == 40
+    again = toxicity.learn(docs.unionByName(docs).unionByName(docs), labels)
+    assert again.weights == lexicon.weights and np.allclose(again.fit, lexicon.fit)
+
+
 def test_held_out_labels_do_not_matter(abuse):
     docs, labels = abuse
     fold = remainder(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT
@@ -139,6 +152,17 @@ def test_quality(pages):
     assert quality.score_quality(docs.where("false"), quality.learn(docs, labels.where("false"))).count() == 0
 
 
+def test_long_documents_are_learned_from(spark, pages):
+    """A document's length decides nothing; only all lines together are bounded."""
+    docs, labels = pages
+    long = docs.where("doc_id < 40").withColumn("text", F.repeat(F.concat("text", F.lit("\n")), 100))
+    model = quality.learn(long, labels)
+    assert np.abs(model.weights).max() > 0
+    again = quality.learn(long.unionByName(long), labels)
+    assert np.allclose(model.weights, again.weights) and np.allclose(model.fit, again.fit)
+    assert np.abs(quality.learn(long, labels, lines=0).weights).max() == 0
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(3)
     bounds = np.array([0, 4, 5, 8])

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.base import named
+from tickloom.llm.base import named, texts
+from tickloom.storage import stored
 
 
 def remainder(id_col: Column, parts: int) -> Column:
@@ -26,6 +27,13 @@ def labelled(labels: DataFrame, label: str, parts: int, held_out: int, rows: int
     return once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def training_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Stored rows (doc_id, text, label), one per chosen id that has a document: of rows repeated under one id the least
+    text counts. The documents are read once."""
+    both = texts(docs).join(F.broadcast(chosen), "doc_id")
+    return stored(both.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
     """Newton steps for an intercept and weights; without both classes the intercept alone says which one there is."""
     full = np.column_stack([np.ones(len(x)), x])

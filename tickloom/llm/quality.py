@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.base import per_text, query, table, texts
-from tickloom.llm.fit import chance, labelled, logistic, remainder
+from tickloom.llm.fit import chance, labelled, logistic, remainder, training_texts
 
 TRAINING_ROWS = 3_000
 TRAINING_LINES = 200
@@ -158,12 +158,15 @@ def train_field(own: np.ndarray, bounds: np.ndarray, document: np.ndarray, round
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, lines: int = TRAINING_LINES) -> LineField:
     """Fit on at most ``rows`` labelled documents (doc_id, quality) outside the held-out fold.
 
-    Documents of more than ``lines`` lines are left out of the fit, so rows x lines x 14 numbers bound what reaches the
-    driver. Without both labels the field is flat and the score constant.
+    They are taken in the order of a hash of their id, one row each, as long as their lines together do not exceed
+    ``rows`` times ``lines``; so many times 14 numbers bound what reaches the driver, and a document's own length decides
+    nothing. Without both labels the field is flat and the score constant.
     """
     chosen = labelled(labels, "quality", FOLDS, HELD_OUT, rows)
-    sample = texts(docs).join(F.broadcast(chosen), "doc_id").where(
-        F.length("text") - F.length(F.translate("text", "\n", "")) < lines)
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    own_lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    sample = training_texts(docs, chosen).withColumn("lines", F.sum(own_lines).over(so_far)).where(
+        F.col("lines") <= rows * lines).drop("lines")
 
     def make():
         def emit(ids: list, text: list) -> dict[str, list]:
@@ -174,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, lines:
         return emit
 
     found = per_text(sample, "doc_id long, own binary, sizes binary", make).join(
-        F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
+        F.broadcast(sample.select("doc_id", "label")), "doc_id").orderBy("doc_id").collect()
     document = np.array([float(r.label == 1) for r in found])
     width = 3 * OWN + 3
     if not found or document.min() == document.max():

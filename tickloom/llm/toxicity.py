@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.base import per_text, query, table, texts
-from tickloom.llm.fit import chance, labelled, logistic, remainder
+from tickloom.llm.fit import chance, labelled, logistic, remainder, training_texts
 
 TRAINING_ROWS = 12_000
 LEXICON_TERMS = 4_000
@@ -136,7 +136,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, terms:
           known: dict[str, float] | None = None, phrases: list[str] | None = None) -> Lexicon:
     """Learn a lexicon from labels (doc_id, toxic) outside the held-out fold.
 
-    At most ``rows`` labelled documents are read, and at most ``terms`` terms kept; both bound what reaches the driver.
+    At most ``rows`` labelled documents are read, one row each, and at most ``terms`` terms kept; both bound what reaches
+    the driver.
     Terms are counted with i and l as one letter and named by their usual spelling.
     A term must be in 3 toxic documents, with different neighbours in at least half of them, so that a word of
     a text that was copied many times is none. Its weight is the log ratio of its share of toxic to that of other
@@ -146,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, terms:
     ``known`` and ``phrases`` are added as they are. Without usable labels the lexicon is ``known`` alone.
     """
     chosen = labelled(labels, "toxic", FOLDS, HELD_OUT, rows)
-    sample = texts(docs).join(F.broadcast(chosen), "doc_id")
+    sample = training_texts(docs, chosen)
     spark = docs.sparkSession
 
     def around():
@@ -173,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, terms:
         F.countDistinct("doc_id").alias("docs"), F.countDistinct("context").alias("contexts"))
     candidates = {r.term: r.docs for r in counts.where("docs >= 3 AND contexts >= 3 AND contexts * 2 >= docs").orderBy(
         F.desc("docs"), "term").limit(5 * terms).collect()}
-    sizes = {r.label: r["count"] for r in chosen.groupBy("label").count().collect()}
+    sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     weights: dict[str, float] = {}
     if candidates and len(sizes) > 1:
         shared = spark.sparkContext.broadcast(candidates)
@@ -331,10 +332,12 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", cut: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Lexicon(weights, phrases).matcher()
         for batch in batches:
-            found = [measure(t.as_py() or "", automaton) for t in batch.column(text_col)]
+            found = [measure(t.as_py() or "", automaton) for t in batch.column(at)]
             yield batch.filter(pa.array(chance(np.array(found).reshape(-1, 2), fit) < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots would be read as fields
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 @query("op4_toxicity")
