@@ -123,7 +123,8 @@ def compared(dealt: DataFrame, how: Projections, cosine: float) -> DataFrame:
     """Rows (a, b, links): ``links`` vectors found linked to ``a``, or, where ``b`` is not null, an edge for components.
 
     ``dealt`` has rows (key, x, y, side, table, id, copies, value, salt, embedding), sorted by key, block pair (x, y)
-    and value. A pair is counted in the first table in which it collides, so meeting again changes nothing.
+    and value. The collisions of a pair are counted over all tables in the first one in which it collides, so meeting
+    again changes nothing; only pairs that reach the count are verified.
     """
     def block(part: dict[str, np.ndarray], lo: int, hi: int, out: list) -> None:
         same = part["x"][lo] == part["y"][lo]
@@ -142,13 +143,13 @@ def compared(dealt: DataFrame, how: Projections, cosine: float) -> DataFrame:
         b = right[np.repeat(first, last - first) + run]
         if same:
             a, b = a[a < b], b[a < b]
-        for at in range(0, len(a), 100_000):
-            p, q = a[at:at + 100_000], b[at:at + 100_000]
-            close = np.einsum("ij,ij->i", part["unit"][p], part["unit"][q]) >= cosine
-            p, q = p[close], q[close]
+        for at in range(0, len(a), 20_000):
+            p, q = a[at:at + 20_000], b[at:at + 20_000]
             hit = (part["keys"][p] == part["keys"][q]) & (
                 np.abs(part["values"][p] - part["values"][q]) <= how.window)
-            mine = (hit.sum(1) >= how.least) & (hit.argmax(1) == part["table"][p])
+            counted = (hit.sum(1) >= how.least) & (hit.argmax(1) == part["table"][p])
+            p, q = p[counted], q[counted]
+            mine = np.einsum("ij,ij->i", part["unit"][p], part["unit"][q]) >= cosine
             out.append((p[mine], q[mine]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
