@@ -67,8 +67,9 @@ def cells(parts: list[bytes], length: int) -> dict[str, np.ndarray]:
 
     The anchor of such a string is its leftmost gram of smallest rank. Equal strings have it at equal places, so each
     string is compared under its anchor's gram alone. The strings with one anchor start in a row; together they are
-    the anchor's cell. Columns: part, ``a`` first start, ``n`` number of starts, gram, whole (hash of the cell), and
-    short hashes of 33 bytes that end, or begin, with the gram (0: not in the cell).
+    the anchor's cell. Columns: part, ``a`` first start, ``n`` number of starts, ``off`` from the first start to the
+    gram, gram, whole (hash of the cell), and short hashes of 33 bytes that end, or begin, with the gram (0: not in the
+    cell).
     """
     buf = Buffer(parts, length)
     grams = doubled(buf.data, GRAM)
@@ -79,7 +80,7 @@ def cells(parts: list[bytes], length: int) -> dict[str, np.ndarray]:
     at = np.flatnonzero(np.arange(len(owner)) + length <= buf.ends[owner])
     if not len(at):
         none = np.zeros(0, np.int64)
-        return dict.fromkeys(("part", "a", "n", "gram", "whole", "left", "right"), none)
+        return dict.fromkeys(("part", "a", "n", "off", "gram", "whole", "left", "right"), none)
     who, p = owner[at], anchor[at]
     fresh = np.ones(len(at), bool)
     fresh[1:] = (p[1:] != p[:-1]) | (who[1:] != who[:-1])
@@ -90,8 +91,9 @@ def cells(parts: list[bytes], length: int) -> dict[str, np.ndarray]:
     left = np.where(p - a >= side, short(buf.hashes(np.maximum(p - side, 0), p + GRAM)), 0).astype(np.int64)
     right = np.where(b + length >= p + GRAM + side, short(buf.hashes(p, np.minimum(p + GRAM + side, len(
         buf.data)))), 0).astype(np.int64)
-    return {"part": who, "a": a - buf.starts[who], "n": b - a + 1, "gram": (grams[p] >> np.uint64(24)).astype(np.int64),
-            "whole": (whole >> np.uint64(16)).astype(np.int64), "left": left, "right": right}
+    return {"part": who, "a": a - buf.starts[who], "n": b - a + 1, "off": p - a,
+            "gram": (grams[p] >> np.uint64(24)).astype(np.int64), "whole": (whole >> np.uint64(16)).astype(np.int64),
+            "left": left, "right": right}
 
 
 def segments(ids: list, text: list[str], length: int) -> tuple[list[int], list[int], list[bytes]]:
@@ -123,7 +125,7 @@ def cells_in_groups(parts: list[bytes], length: int) -> dict[str, np.ndarray]:
 
 
 def anchored(rows: DataFrame, length: int) -> DataFrame:
-    """Rows (gram, whole, sides, doc_id, a): all cells. ``whole`` also holds the number of starts in its low 6 bits."""
+    """Rows (gram, whole, sides, doc_id, a): all cells. ``whole`` also holds ``off`` and ``n`` in its low 12 bits."""
     def make():
         def emit(ids: list, text: list) -> dict[str, list]:
             owner, shift, parts = segments(ids, text, length)
@@ -131,7 +133,7 @@ def anchored(rows: DataFrame, length: int) -> DataFrame:
             who = np.array(owner, np.int64)[found["part"]] if parts else np.zeros(0, np.int64)
             shift_ = np.array(shift, np.int64)[found["part"]] if parts else np.zeros(0, np.int64)
             known = np.array([0 if i is None else i for i in ids], np.int64)
-            return {"gram": found["gram"], "whole": found["whole"] * 64 + found["n"],
+            return {"gram": found["gram"], "whole": found["whole"] * 4096 + found["off"] * 64 + found["n"],
                     "sides": (found["left"] * (1 << 14) + found["right"]).astype(np.int32),
                     "doc_id": known[who] if len(ids) else who, "a": found["a"] + shift_}
 
@@ -141,12 +143,13 @@ def anchored(rows: DataFrame, length: int) -> DataFrame:
 
 
 def judged(found: DataFrame, length: int) -> DataFrame:
-    """Rows (doc_id, a, n, gram): cells all of whose strings start in a smaller document (``gram`` null), and cells to
+    """Rows (doc_id, a, n, gram): cells all of whose strings start in a smaller document (``gram`` null), and starts to
     look into.
 
     Sorted by rank, cells of one gram and one whole content lie together: those not in the smallest document of their
     content are repeated from end to end. Content that is the first of its kind needs a look only where other
     content has the same gram in another document, and agrees on 33 bytes around it. The rest is unique and goes.
+    A string has half of its other bytes before or after the gram, so only starts on a side that is shared are left.
     """
     same, gram = Window.partitionBy("gram", "whole"), Window.partitionBy("gram")
     spread = found.repartition("gram").withColumn("first", F.min("doc_id").over(same))
@@ -160,8 +163,13 @@ def judged(found: DataFrame, length: int) -> DataFrame:
             F.min("whole").over(near) != F.max("whole").over(near)))
     repeated = F.col("doc_id") > F.col("first")
     ask = (~repeated) & (F.col("left_shared") | F.col("right_shared"))
-    starts = F.col("whole").bitwiseAND(63).cast("int").alias("n")
-    return spread.where(repeated | ask).select("doc_id", "a", starts, F.when(~repeated, F.col("gram")).alias("gram"))
+    n = F.col("whole").bitwiseAND(63).cast("int")
+    off = F.shiftright("whole", 6).bitwiseAND(63).cast("int")
+    side = (length - GRAM) // 2
+    lo = F.when(repeated | F.col("left_shared"), 0).otherwise(F.greatest(off - (length - GRAM - side), F.lit(0)))
+    hi = F.when(repeated | F.col("right_shared"), n).otherwise(F.least(n, off - side + 1))
+    return spread.where(repeated | ask).select("doc_id", (F.col("a") + lo).alias("a"), (hi - lo).alias("n"), F.when(
+        ~repeated, F.col("gram")).alias("gram")).where("n > 0")
 
 
 def windows(packed: DataFrame, asked: DataFrame, length: int) -> DataFrame:
