@@ -134,3 +134,24 @@ def test_bin_completion_beats_best_fit():
 
 def test_dominance():
     assert bins.dominates((9,), (5, 4)) and bins.dominates((9, 3), (3, 3, 3)) and not bins.dominates((5, 5), (6, 3))
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_exact_triples_are_packed_nearly_without_waste(seed):
+    draw, items = np.random.default_rng(seed), []
+    for _ in range(100):
+        a = draw.integers(380, 490)
+        b = draw.integers(250, (1000 - a) // 2 + 1)
+        items += [a, b, 1000 - a - b]
+    counts = np.bincount(items, minlength=1001)
+    plan, bound = bins.pack(counts, 1000)
+    used = sum(np.bincount(way, minlength=1001) * times for way, times in plan)
+    assert (used == counts).all() and max(sum(way) for way, _ in plan) <= 1000
+    assert bound == 100 and sum(times for _, times in plan) <= 101
+
+
+def test_a_filling_without_waste_is_found():
+    counts = np.zeros(4097, int)
+    counts[[1400, 1300, 1296, *range(941, 1001)]] = 1
+    ways = bins.fillings(bins.Lengths(counts), 4096 - 1500, 4, 60)
+    assert sum(ways[0]) == 2596 and bins.fillings(bins.Lengths(np.zeros(11, int)), 10, 4, 60) == [()]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
 
 import numpy as np
 
 Filling = tuple[int, ...]
-# Fillings are enumerated up to so many pieces and completed by best fit from there.
-ENUMERATED = 5
+# Fillings of more pieces are not asked whether another one dominates them.
+DEALT = 5
 
 
 class Lengths:
@@ -53,7 +53,7 @@ def dominates(a: Filling, b: Filling) -> bool:
     def deal(room: list[int], rest: Filling) -> bool:
         if not rest:
             return True
-        for i, r in enumerate(room[:ENUMERATED]):
+        for i, r in enumerate(room[:DEALT]):
             if r >= rest[0] and deal([*room[:i], r - rest[0], *room[i + 1:]], rest[1:]):
                 return True
         return False
@@ -61,55 +61,62 @@ def dominates(a: Filling, b: Filling) -> bool:
     return deal(list(a), b)
 
 
+class Sums:
+    """Subset sums of the pieces left: ``tables[i]`` has bit s set if pieces of the first i sizes can add up to s."""
+
+    def __init__(self, stock: Lengths, space: int) -> None:
+        self.left, self.space = stock.left, space
+        self.sizes = [n for n in range(1, min(space, len(stock.left) - 1) + 1) if stock.left[n]]
+        self.tables, bits, inside = [1], 1, (1 << (space + 1)) - 1
+        for n in self.sizes:
+            times, step = min(stock.left[n], space // n), 1
+            while times > 0:
+                bits |= (bits << (n * min(step, times))) & inside
+                times, step = times - step, 2 * step
+            self.tables.append(bits)
+
+    def highest(self, i: int, limit: int) -> int:
+        """The largest sum of the first i sizes that is not above ``limit``."""
+        return (self.tables[i] & ((1 << (limit + 1)) - 1)).bit_length() - 1
+
+    def pieces(self, target: int, i: int) -> Filling:
+        """Pieces of the first i sizes that add up to ``target``, as long ones as possible."""
+        out: Filling = ()
+        while target:
+            i = min(i, bisect_right(self.sizes, target))
+            n = self.sizes[i - 1]
+            times = min(self.left[n], target // n)
+            while not self.tables[i - 1] >> (target - times * n) & 1:
+                times -= 1
+            out += (n,) * times
+            target -= times * n
+            i -= 1
+        return out
+
+    def around(self, i: int) -> Filling:
+        """The fullest filling whose longest piece is the one of size i."""
+        n = self.sizes[i - 1]
+        most = min(self.left[n], self.space // n)
+        rest, times = max((self.highest(i - 1, self.space - k * n) + k * n, k) for k in range(1, most + 1))
+        return (n,) * times + self.pieces(rest - times * n, i - 1)
+
+
 def fillings(stock: Lengths, space: int, most: int, tries: int) -> list[Filling]:
-    """Undominated ways to fill ``space``, least waste first; a filling without waste ends the search.
+    """Undominated ways to fill ``space``, least waste first.
 
-    ``tries`` bounds the fillings looked at and ``most`` those returned.
+    Looked at are the fullest filling of all and, for each of the ``tries`` longest second pieces, the fullest one
+    with it; both come from a table of subset sums, so a filling without waste is found if there is one. ``most``
+    bounds the fillings returned.
     """
-    found: list[Filling] = []
-    used: dict[int, int] = {}
-
-    def rest(room: int, limit: int, head: Filling) -> Filling:
-        n = stock.longest(min(room, limit))
-        while n:
-            times = min(stock.left[n] - used.get(n, 0), room // n)
-            head += (n,) * times
-            room -= n * times
-            n = stock.longest(min(room, n - 1))
-        return head
-
-    def complete(room: int, limit: int, head: Filling) -> Iterator[Filling]:
-        n = stock.longest(min(room, limit))
-        if len(head) == ENUMERATED:
-            yield rest(room, limit, head)
-            return
-        if not n:
-            yield head
-            return
-        if room == n and stock.left[n] > used.get(n, 0):  # fits exactly: dominates all other ways from here
-            yield (*head, n)
-            return
-        any_fits = False
-        while n:
-            if stock.left[n] > used.get(n, 0):
-                any_fits = True
-                used[n] = used.get(n, 0) + 1
-                yield from complete(room - n, n, (*head, n))
-                used[n] -= 1
-            n = stock.longest(n - 1)
-        if not any_fits:
-            yield head
-
-    for k, way in enumerate(complete(space, space, ())):
-        found.append(way)
-        if sum(way) == space:
-            break
-        if k + 1 >= tries:
-            break
-    found.sort(key=lambda f: (-sum(f), len(f), tuple(-x for x in f)))
+    sums = Sums(stock, space)
+    if not sums.sizes:
+        return [()]
+    last = len(sums.sizes)
+    found = {sums.pieces(sums.highest(last, space), last)}
+    found.update(sums.around(i) for i in range(last, max(0, last - tries), -1))
     kept: list[Filling] = []
-    for way in found:
-        if way not in kept and not any(len(way) <= ENUMERATED and dominates(other, way) for other in kept):
+    for way in sorted(found, key=lambda f: (-sum(f), len(f), tuple(-x for x in f))):
+        if not any(len(way) <= DEALT and dominates(other, way) for other in kept):
             kept.append(way)
             if len(kept) == most:
                 break
@@ -139,13 +146,23 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
     return out
 
 
+class Level:
+    """Choices at one depth of the search: what to fill and how often, the next to try, and the one in force."""
+
+    def __init__(self, choices: list[tuple[Filling, int]], turns: int) -> None:
+        self.choices, self.turns = choices, turns
+        self.at, self.taken = 0, False
+
+
 def pack(counts: np.ndarray, capacity: int, nodes: int = 10_000, most: int = 4,
          tries: int = 60) -> tuple[list[tuple[Filling, int]], int]:
     """Bins as (lengths in a bin, how many such bins), and the proven lower bound.
 
     Branch and bound over bin completions: the longest piece left gets the undominated fillings around it, least
-    waste first, each applied to as many bins as its pieces allow. A branch ends when its waste leaves no way to beat
-    the incumbent, which is best-fit decreasing at first. The search ends when the incumbent meets the lower bound or
+    waste first, each applied to as many bins as its pieces allow, or to one bin only. A branch ends when its waste
+    leaves no way to beat the incumbent, which is best-fit decreasing at first. Choices other than the first are
+    turns; branches without a turn come first, then those with one, two and so on, as a wrong choice is as likely
+    early as late. The search ends when the incumbent meets the lower bound, when no branch is left, or when
     ``nodes`` completions were tried; the incumbent is complete at any time.
     """
     n = np.arange(len(counts))
@@ -153,53 +170,46 @@ def pack(counts: np.ndarray, capacity: int, nodes: int = 10_000, most: int = 4,
     incumbent = best_fit(counts, capacity)
     bins = sum(times for _, times in incumbent)
     stock = Lengths(counts)
-    # A level: the completions still to try, and what its last one took from the stock.
-    levels: list[tuple[Iterator[Filling], list[tuple[Filling, int]]]] = []
     path: list[tuple[Filling, int]] = []
-    used, waste, spent, deeper = 0, 0, 0, True
-
-    def take(way: Filling, sign: int, times: int) -> None:
-        for x in way:
-            stock.left[x] -= sign * times
+    used, waste, spent, turns, cut = 0, 0, 0, 0, True
 
-    def open_level() -> Iterator[Filling]:
+    def choices() -> list[tuple[Filling, int]]:
         top = stock.longest(capacity)
         stock.left[top] -= 1
-        ways = fillings(stock, capacity - top, most, tries)
+        ways = [(top, *w) for w in fillings(stock, capacity - top, most, tries)]
         stock.left[top] += 1
-        return iter([(top, *w) for w in ways])
-
-    while bins > bound and spent < nodes:
-        if deeper:
-            levels.append((open_level(), []))
-        ways, last = levels[-1]
-        if last:
-            way, times = last.pop()
-            take(way, -1, times)
-            path.pop()
-            used -= times
-            waste -= times * (capacity - sum(way))
-            stock.refresh()
-        deeper = False
-        way = next(ways, None)
-        if way is None:
-            levels.pop()
-            if not levels:
-                break
-            continue
-        spent += 1
-        times = min(stock.left[x] // way.count(x) for x in set(way))
-        take(way, 1, times)
-        path.append((way, times))
-        last.append((way, times))
-        used += times
-        waste += times * (capacity - sum(way))
-        if spent % 16 == 0:
-            stock.refresh()
-        if total + waste > (bins - 1) * capacity:
-            continue
-        if stock.longest(capacity):
-            deeper = True
-        elif used < bins:
-            incumbent, bins = list(path), used
+        often = [min(stock.left[x] // way.count(x) for x in set(way)) for way in ways]
+        return list(zip(ways, often)) + [(way, 1) for way, times in zip(ways, often) if times > 1]
+
+    while cut and bins > bound and spent < nodes:
+        cut, levels = False, [Level(choices(), 0)]
+        while levels and bins > bound and spent < nodes:
+            level = levels[-1]
+            if level.taken:
+                way, times = path.pop()
+                for x in way:
+                    stock.left[x] += times
+                used, waste = used - times, waste - times * (capacity - sum(way))
+                stock.refresh()
+                level.taken = False
+            made = level.turns + (level.at > 0)
+            if level.at == len(level.choices) or made > turns:
+                cut = cut or level.at < len(level.choices)
+                levels.pop()
+                continue
+            way, times = level.choices[level.at]
+            level.at += 1
+            spent += 1
+            for x in way:
+                stock.left[x] -= times
+            path.append((way, times))
+            level.taken = True
+            used, waste = used + times, waste + times * (capacity - sum(way))
+            if total + waste > (bins - 1) * capacity:
+                continue
+            if stock.longest(capacity):
+                levels.append(Level(choices(), made))
+            elif used < bins:
+                incumbent, bins = list(path), used
+        turns += 1
     return incumbent, bound
