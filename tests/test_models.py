@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.stats import binom_interval
 from tickloom.operators import hits as H
+from tickloom.operators import learn as L
 from tickloom.operators import models as M
+from tickloom.operators.logistic import fit_sets, score_sets
+from tickloom.operators.sequence import sequence
 
 FEATURES = ("a", "b")
 
@@ -94,3 +97,47 @@ def test_ablation_and_comparison(planted):
     best = M.compare(planted, FEATURES, "label", 1 / 3, {"tree": (M.tree("label", 4), False),
                                                           "stump on noise": (M.tree("label", 0), False)}).first()
     assert best.model == "tree"
+
+
+def test_shared_fits_equal_single_ones(planted):
+    sets = {"a": ("a",), "both": FEATURES, "late": FEATURES}
+    marks = {"a": F.col("is_train"), "both": F.col("is_train"), "late": F.col("is_train") & (F.col("pos") >= 300)}
+    models = fit_sets(planted, sets, "label", marks)
+    for name, features in sets.items():
+        train = planted.where(marks[name])
+        single = M.fit(train, features, M.logistic("label", train.count()), scaled=True)
+        test = planted.where("NOT is_train")
+        same = single.transform(test).select("pos", F.col("prediction").cast("int").alias("single"),
+                                             models[name].prediction().alias("shared")).collect()
+        assert [r.single for r in same] == [r.shared for r in same]
+        scaler, fitted = single.stages[1], single.stages[-1]
+        spread = np.array(scaler.std) / single.stages[2].getScalingVec().toArray()
+        assert np.allclose(models[name].weights[:, :-1], fitted.coefficientMatrix.toArray() / spread, atol=1e-4)
+    scores = {r.model: r for r in score_sets(planted, models, "label", dict.fromkeys(sets, ~F.col("is_train"))).collect()}
+    assert {r.n for r in scores.values()} == {200} and scores["both"].accuracy == scores["both"].correct / 200
+
+
+def test_shared_fits_of_odd_rows(spark, planted):
+    marks = {"one class": F.col("is_train") & (F.col("label") == 2), "none": F.lit(False), "null marks": F.lit(None).cast(
+        "boolean"), "constant": F.col("is_train")}
+    odd = planted.withColumn("c", F.lit(4.0))
+    models = fit_sets(odd, {**dict.fromkeys(marks, FEATURES), "constant": ("c",)}, "label", marks)
+    assert models["one class"].classes == (2,) and models["none"].classes == models["null marks"].classes == ()
+    assert np.all(models["constant"].weights[:, 0] == 0)
+    got = odd.select(*[m.prediction().alias(k.replace(" ", "_")) for k, m in models.items()]).distinct().collect()
+    counts = odd.where("is_train").groupBy("label").count().orderBy(F.desc("count")).first()
+    assert [tuple(r) for r in got] == [(2, None, None, counts.label)]
+    empty = M.ablation(planted.limit(0), {"a": ("a",)}, "label", 0.1).collect()
+    assert [(r.n, r.correct, r.accuracy) for r in empty] == [(0, 0, None)]
+
+
+@pytest.mark.parametrize("cut", [None, 40])
+def test_sets_are_split_over_their_own_rows(spark, cut):
+    rows = [(k, k % 7 if k >= 5 else None, k % 5 if k % 3 else None, k % 2 if k < 199 else None) for k in range(200)]
+    seq = sequence(spark.createDataFrame(rows, "k long, f int, g int, y int"), ["k"], rows_per_segment=cut)
+    sets = {"f": ("f",), "g": ("g",), "both": ("f", "g")}
+    out = L.chronological_sets(seq, sets, "y").frame().orderBy("k").collect()
+    for i, features in enumerate(sets.values()):
+        whole = [r[0] for r in rows if None not in (r[3], *[r[{"f": 1, "g": 2}[f]] for f in features])]
+        first = set(whole[:int(0.8 * len(whole))])
+        assert [r[f"mark_{i}"] for r in out] == [(k in first) if k in whole else None for k in range(200)]

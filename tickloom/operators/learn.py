@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence as Seq
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.price import flag
 from tickloom.operators.sequence import Sequence
 from tickloom.storage import stored
 
@@ -35,6 +38,24 @@ def chronological(seq: Sequence, share: float = 0.8, pos: str = "pos", mark: str
     return out.without("_total")
 
 
+def known(*names: str) -> Column:
+    return functools.reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+
+
+def chronological_sets(seq: Sequence, sets: dict[str, Seq[str]], label: str, share: float = 0.8) -> Sequence:
+    """For each named feature set a column ``mark_<i>``: true for the first ``int(share * n)`` of the n rows that are
+    whole for that set, false for its later ones, null for the others.
+
+    All sets are numbered in one running pass, on a sequence without a key.
+    """
+    whole = {f"_use_{i}": flag(known(label, *features)) for i, features in enumerate(sets.values())}
+    numbered = seq.with_columns(whole).running({f"_nth_{i}": (F.col(f"_use_{i}"), "sum") for i in range(len(sets))}).store()
+    totals = numbered.frame().agg(*[F.sum(c) for c in whole]).first()
+    marks = {f"mark_{i}": F.when(F.col(f"_use_{i}") == 1, F.col(f"_nth_{i}") <= math.floor((n or 0) * share))
+             for i, n in enumerate(totals)}
+    return numbered.with_columns(marks).without(*whole, *[f"_nth_{i}" for i in range(len(sets))])
+
+
 BROADCAST_ROWS = 100_000
 SALTS = 16
 

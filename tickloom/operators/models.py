@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.price import flag
 from tickloom.functions.stats import binom_interval, binom_p_value
 from tickloom.operators.hits import union_rows
+from tickloom.operators.logistic import fit_sets, score_sets
 
 SEED = 42
 
@@ -115,14 +116,17 @@ def with_confidence(predicted: DataFrame) -> DataFrame:
 
 
 def ablation(df: DataFrame, sets: dict[str, Seq[str]], label: str, baseline: float, mark: str = "is_train",
-             scaled: bool = True, max_iter: int = 1000) -> DataFrame:
-    """One logistic model per feature set on the same split."""
-    rows = []
-    for name, features in sets.items():
-        train, test = split(df, mark)
-        model = fit(train, features, logistic(label, train.count(), max_iter), scaled)
-        rows.append(named(accuracy(model.transform(test), label), name, baseline))
-    return union_rows(rows).orderBy(F.col("accuracy").desc(), "model")
+             marks: dict[str, str] | None = None) -> DataFrame:
+    """One scaled logistic model per feature set, all fitted and scored in shared passes over ``df``.
+
+    ``marks`` names a column per set that is true for its training rows, false for its test rows and null for rows it
+    does not use; without it all sets share ``mark``.
+    """
+    flags = {name: F.col((marks or {}).get(name, mark)) for name in sets}
+    models = fit_sets(df, sets, label, flags)
+    scores = score_sets(df, models, label, {name: ~flag_ for name, flag_ in flags.items()})
+    return scores.select("model", "n", "correct", "accuracy", (F.col("accuracy") - baseline).alias(
+        "difference")).orderBy(F.col("accuracy").desc(), "model")
 
 
 def compare(df: DataFrame, features: Seq[str], label: str, baseline: float, classifiers: dict[str, tuple[object, bool]],

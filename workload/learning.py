@@ -162,6 +162,29 @@ def _(spark, d):
     return nearest_score(train, test, NEAR_FEATURES, LABEL, 50)
 
 
+# The vote of ten on features scaled by the training rows. Rounded, so that both sides divide by the same numbers.
+SCALED_FEATURES = [*NEAR_FEATURES, "digit_2_ago", "digit_3_ago"]
+WHOLE = ", ".join(SCALED_FEATURES)
+STEPS = " + ".join(f"(q.z{i} - t.z{i}) * (q.z{i} - t.z{i})" for i in range(len(SCALED_FEATURES)))
+SCALED_SQL = v1_split_sql(" ".join(SCALED_FEATURES)) + ", s AS (SELECT " + ", ".join(
+    f"round(avg({f}), 6) AS m{i}, round(stddev_pop({f}), 6) AS d{i}" for i, f in enumerate(SCALED_FEATURES)) + f""" FROM x WHERE is_train),
+z AS (SELECT pos, is_train, next_digit, {WHOLE}, {', '.join(f'({f} - m{i}) / d{i} AS z{i}' for i, f in enumerate(SCALED_FEATURES))} FROM x, s),
+k AS (SELECT {', '.join('q.' + f for f in SCALED_FEATURES)}, t.next_digit, row_number() OVER (PARTITION BY {', '.join('q.' + f for f in SCALED_FEATURES)} ORDER BY {STEPS}, t.pos) AS r
+  FROM (SELECT DISTINCT * EXCLUDE (pos, is_train, next_digit) FROM z WHERE NOT is_train) q, (SELECT * FROM z WHERE is_train) t),
+v AS (SELECT {WHOLE}, next_digit, count(*) AS n FROM k WHERE r <= 10 GROUP BY ALL)
+SELECT {WHOLE}, arg_max(next_digit, n * 100 - next_digit) AS prediction FROM v GROUP BY ALL"""
+
+
+@query("m09_nearest_scaled", SCALED_SQL)
+def _(spark, d):
+    rows = stored(v1_split(spark, d, *SCALED_FEATURES).frame().select("pos", "is_train", LABEL, *SCALED_FEATURES))
+    told = rows.where("is_train").agg(*[F.round(fn(f), 6) for f in SCALED_FEATURES for fn in (F.avg, F.stddev_pop)]).first()
+    scaled = {f"z{i}": (F.col(f) - told[2 * i]) / told[2 * i + 1] for i, f in enumerate(SCALED_FEATURES)}
+    train, test = M.split(stored(rows.withColumns(scaled)))
+    votes = nearest_vote(train, test, list(scaled), LABEL, 10)
+    return test.select(*SCALED_FEATURES, *scaled).distinct().join(votes, list(scaled)).select(*SCALED_FEATURES, "prediction")
+
+
 @query("m10_model_comparison")
 def _(spark, d):
     df = v1_rows(spark, d)
@@ -219,23 +242,21 @@ def _(spark, d):
 
 @query("m15_single_feature_ablation")
 def _(spark, d):
-    return M.ablation(v4_rows(spark, d), {f: (f,) for f in X.V4_FEATURES}, LABEL, 0.1, max_iter=ITERATIONS)
+    return M.ablation(v4_rows(spark, d), {f: (f,) for f in X.V4_FEATURES}, LABEL, 0.1)
 
 
 @query("m16_v4_set_ablation")
 def _(spark, d):
-    return M.ablation(v4_rows(spark, d), M.V4_SETS, LABEL, 0.1, max_iter=ITERATIONS)
+    return M.ablation(v4_rows(spark, d), M.V4_SETS, LABEL, 0.1)
 
 
 @query("m16_v3_set_ablation")
 def _(spark, d):
-    seq = X.v3(ordered(spark, d, None)).store()
-    rows = []
-    for name, features in M.V3_SETS.items():
-        # Each set drops only its own incomplete rows, so the sets differ in size.
-        part = L.chronological(X.usable(seq, LABEL, *features)).frame().select("is_train", LABEL, *features)
-        rows.append(M.ablation(stored(part), {name: features}, LABEL, 0.1, max_iter=ITERATIONS))
-    return H.union_rows(rows)
+    # Each set drops only its own incomplete rows, so the sets differ in size.
+    marked = L.chronological_sets(X.v3(ordered(spark, d, None)), M.V3_SETS, LABEL).frame()
+    marks = {name: f"mark_{i}" for i, name in enumerate(M.V3_SETS)}
+    used = sorted({f for features in M.V3_SETS.values() for f in features})
+    return M.ablation(stored(marked.select(LABEL, *used, *marks.values())), M.V3_SETS, LABEL, 0.1, marks=marks)
 
 
 def parity_model(spark, d):
