@@ -10,7 +10,7 @@ from tickloom.operators import conditions as C
 from tickloom.operators import dependence as D
 from tickloom.operators import hits as H
 from tickloom.operators import learn as L
-from tickloom.operators.neighbours import nearest_vote
+from tickloom.operators.neighbours import box_tree, nearest_vote
 from tickloom.operators.sequence import sequence
 from tickloom.sources import sinks
 from tickloom.sources import ticks as src
@@ -164,15 +164,15 @@ def test_mode_scores_against_loops(spark):
         assert got[name] == (len(test), sum(best[k] == y for k, y in test))
 
 
-@pytest.mark.parametrize("pivots, k", [(1, 3), (8, 3), (40, 7), (8, 500)])
-def test_neighbours_against_brute_force(spark, pivots, k):
-    rng = random.Random(pivots)
+@pytest.mark.parametrize("cell_rows, k", [(1000, 3), (4, 3), (10, 7), (8, 500)])
+def test_neighbours_against_brute_force(spark, cell_rows, k):
+    rng = random.Random(cell_rows)
     # Half of the training rows are copies of one vector.
     rows = [(i, *((1, 1) if rng.random() < 0.5 else (rng.randrange(12), rng.randrange(12))), rng.randrange(4)) for i in range(300)]
     asked = [(rng.randrange(12), rng.randrange(12)) for _ in range(60)]
     train = spark.createDataFrame(rows, "pos bigint, a int, b int, y int")
     test = spark.createDataFrame(asked, "a int, b int")
-    got = {(r["a"], r["b"]): r["prediction"] for r in nearest_vote(train, test, ["a", "b"], "y", k, pivots=pivots).collect()}
+    got = {(r["a"], r["b"]): r["prediction"] for r in nearest_vote(train, test, ["a", "b"], "y", k, cell_rows=cell_rows).collect()}
     assert set(got) == set(asked)
     for q, vote in got.items():
         near = sorted(rows, key=lambda r: ((r[1] - q[0]) ** 2 + (r[2] - q[1]) ** 2, r[0]))[:k]
@@ -180,6 +180,28 @@ def test_neighbours_against_brute_force(spark, pivots, k):
         assert vote == min(set(labels), key=lambda y: (-labels.count(y), y))
 
 
+def test_neighbours_without_values(spark):
+    train = spark.createDataFrame([(0, 1.0, 5), (1, None, 6), (2, float("nan"), 7)], "pos bigint, a double, y int")
+    test = spark.createDataFrame([(9.0,), (None,), (float("inf"),), (9.0,)], "a double")
+    assert {r["a"]: r["prediction"] for r in nearest_vote(train, test, ["a"], "y", 2).collect()} == {
+        9.0: 5, None: None, float("inf"): None}
+    assert [r["prediction"] for r in nearest_vote(train.limit(0), test.where("a = 9"), ["a"], "y", 2).collect()] == [None]
+
+
+@pytest.mark.parametrize("n", [2_000, 20_000])
+def test_cells_stay_bounded(spark, n):
+    """At any number of rows, also where most rows share the smallest, the largest or an inner value."""
+    for heavy in (0, 500, 999):
+        rows = spark.range(n).select(
+            "id", F.when(F.col("id") % 4 > 0, heavy).otherwise(F.xxhash64("id") % 1000).cast("double").alias("x"),
+            F.pmod(F.xxhash64(F.col("id") + 1), F.lit(1000)).cast("double").alias("y"))
+        levels, cells = box_tree(rows, ["x", "y"], 100)
+        sizes = cells.groupBy("_node").agg(F.count("*").alias("n"), F.count_distinct("x", "y").alias("distinct"))
+        assert sizes.where("n > 100 AND distinct > 1").isEmpty()
+        assert cells.count() == n and cells.select("id").distinct().count() == n
+        assert len(levels) <= 8
+
+
 def test_back_fill_is_idempotent(spark):
     stored = spark.createDataFrame([("A", 1, 1.0), ("A", 2, 2.0), ("B", 5, 1.0)], "symbol string, time bigint, price double")
     history = spark.createDataFrame([("A", 2, 2.0), ("A", 3, 3.0), ("A", 3, 3.0), ("C", 1, 9.0)], stored.schema)
