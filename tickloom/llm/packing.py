@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Callable
@@ -20,6 +21,7 @@ from tickloom.storage import stored
 CAPACITY = 4096
 END_ID = 1
 CACHED_WORDS = 200_000
+CACHED_PARTS = 300_000
 # Words whose tokens do not depend on the version of a Unicode table: visible ASCII and composed Latin letters.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ɏ]+")
 # Fixed value: the word pattern of the tokenizer file, for plain words.
@@ -48,7 +50,7 @@ class WordTokens:
     """Token ids of a text, as bytes of little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and lets nothing cross it, so words are encoded one by one and remembered
-    (twice ``CACHED_WORDS`` at most). The merges are the library's own; unusual words, and texts with
+    (twice ``CACHED_WORDS`` at most, and of their parts twice ``CACHED_PARTS``). The merges are the library's own; unusual words, and texts with
     marks of special tokens, go through the library's whole path.
     """
 
@@ -60,7 +62,7 @@ class WordTokens:
         self.model, self.normal = self.whole.model, self.whole.normalizer
         self.letters = ByteLevel(add_prefix_space=False, use_regex=False)
         self.known = Recent(self.word, CACHED_WORDS)
-        self.parts = Recent(self.part, CACHED_WORDS // 2)
+        self.parts = Recent(self.part, CACHED_PARTS)
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text:
@@ -68,6 +70,8 @@ class WordTokens:
         return b"".join(map(self.known.__getitem__, text.encode().split()))
 
     def word(self, raw: bytes) -> bytes:
+        if raw.isalpha():
+            return self.parts[raw.lower().decode()]
         word = raw.decode()
         if not PLAIN.fullmatch(word):
             return packed(self.whole.encode(word, add_special_tokens=False).ids)
@@ -85,7 +89,7 @@ class WordTokens:
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def word_tokens(file: str) -> WordTokens:
