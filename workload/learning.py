@@ -281,3 +281,25 @@ def _(spark, d):
 def _(spark, d):
     df = v4_rows(spark, d)
     return M.significance(scored(df, X.V4_FEATURES, M.logistic(LABEL, n_train(df), ITERATIONS), scaled=True), 0.1)
+
+
+# The features of the two earlier models that are tested.
+V2_TESTED = ("digit_repeated", "digit_repeated_2_ago", *[f"digit_{k}_count_10" for k in range(10)])
+V3_TESTED = ("repeat_streak", "digit_repeated", "digit_entropy_10")
+
+
+def tested_rows(spark, d, build, features):
+    seq = X.usable(build(ordered(spark, d, None)), *features, LABEL)
+    return stored(L.chronological(seq).frame().select("pos", "is_train", LABEL, *features))
+
+
+@query("m18_v2_significance")
+def _(spark, d):
+    df = tested_rows(spark, d, X.v2, V2_TESTED)
+    return M.significance(scored(df, V2_TESTED, M.tree(LABEL, None), name="V2 tree"), 0.1)
+
+
+@query("m18_v3_significance")
+def _(spark, d):
+    df = tested_rows(spark, d, X.v3, V3_TESTED)
+    return M.significance(scored(df, V3_TESTED, M.logistic(LABEL, n_train(df), ITERATIONS), scaled=True, name="V3 subset"), 0.1)

@@ -233,6 +233,48 @@ def _(spark, d):
     return B.every_nth(signals(spark, d, symbol=None), hit(), 500)
 
 
+# The first two generations as whole tables.
+V1_WHOLE = [*X.LAGS, "next_digit", "parity", "previous_parity", "digit_change", "next_parity", *PARITY_BEFORE]
+V1_SHARES = [f"even_percentage_{n}" for n in X.PARITY_WINDOWS]
+EVEN_BEFORE = "sum(CAST(coalesce(pp = 0, false) AS INTEGER)) OVER"
+LAGS_SQL = ", ".join(f"{lag_sql(k)} AS {n}" for n, k in X.LAGS.items())
+
+
+@query("features_v1", PREVIOUS_PARITY + LAGS_SQL + f""", next_digit, digit % 2 AS parity, pp AS previous_parity,
+  digit - previous_digit AS digit_change, next_digit % 2 AS next_parity, """ + ", ".join(
+    [f"{guarded(n, f'sum(CAST(coalesce(pp = {v}, false) AS INTEGER)) OVER {rows(n)}')} AS {p}_count_{n}"
+     for n in X.PARITY_WINDOWS for v, p in enumerate(("even", "odd"))]
+    + [r6(f"CASE WHEN row >= {n - 1} THEN {EVEN_BEFORE} {rows(n)} / {n} * 100 END", f"even_percentage_{n}")
+       for n in X.PARITY_WINDOWS]) + " FROM e", V1_WHOLE)
+def _(spark, d):
+    return X.v1(ordered(spark, d)).frame().select("symbol", "tie", *V1_WHOLE, *V1_SHARES)
+
+
+V2_WHOLE = [*X.LAGS, "next_digit", "digit_change", "parity", "previous_parity", "next_parity", "digit_repeated",
+            "digit_repeated_2_ago", *COUNT_COLUMNS, *PARITY_NOW]
+V2_SHARES = [f"even_percentage_{n}" for n in X.DIGIT_WINDOWS]
+V2_STREAKS = ["digit_streak", "parity_streak"]
+
+
+@query("features_v2", tick_cte() + f""", o AS (SELECT *, CASE WHEN digit = previous_digit THEN 0 ELSE 1 END AS opens,
+  CASE WHEN digit % 2 = previous_digit % 2 THEN 0 ELSE 1 END AS parity_opens FROM f),
+g AS (SELECT *, sum(opens) OVER {W} AS run, sum(parity_opens) OVER {W} AS parity_run FROM o)
+SELECT symbol, tie, {LAGS_SQL}, next_digit, digit - previous_digit AS digit_change, digit % 2 AS parity,
+  previous_digit % 2 AS previous_parity, next_digit % 2 AS next_parity,
+  CAST(coalesce(digit = previous_digit, false) AS INTEGER) AS digit_repeated,
+  CAST(coalesce(digit = {lag_sql(2)}, false) AS INTEGER) AS digit_repeated_2_ago, """ + ", ".join(
+    [f"{guarded(n, f'sum(CAST(digit = {k} AS INTEGER)) OVER {rows(n)}')} AS digit_{k}_count_{n}"
+     for n in X.DIGIT_WINDOWS for k in range(10)]
+    + [f"{guarded(n, f'sum(CAST(digit % 2 = {v} AS INTEGER)) OVER {rows(n)}')} AS {p}_count_{n}"
+       for n in X.DIGIT_WINDOWS for v, p in enumerate(("even", "odd"))]
+    + [r6(f"CASE WHEN row >= {n - 1} THEN sum(1 - digit % 2) OVER {rows(n)} / {n} * 100 END", f"even_percentage_{n}")
+       for n in X.DIGIT_WINDOWS]) + """,
+  row_number() OVER (PARTITION BY symbol, run ORDER BY time, tie) AS digit_streak,
+  row_number() OVER (PARTITION BY symbol, parity_run ORDER BY time, tie) AS parity_streak FROM g""", V2_WHOLE)
+def _(spark, d):
+    return X.v2(ordered(spark, d)).frame().select("symbol", "tie", *V2_WHOLE, *V2_SHARES, *V2_STREAKS)
+
+
 @query("features_v4", tick_cte(windows=(5, 10)) + f""" SELECT symbol, tie, {r6('previous_price', 'previous_price')}, {r6('delta', 'delta')},
   {r6('abs(delta)', 'absolute_delta')}, {r6('vol5', 'vol5')}, {r6('vol10', 'vol10')},
   {r6('least(price - floor(price), 1 - (price - floor(price)))', 'round_distance')},
