@@ -58,6 +58,35 @@ def test_word_tokens_equal_the_library():
         assert mine(t or "") == np.array(ids, "<u4").tobytes(), t
 
 
+def test_a_batch_encodes_each_part_once():
+    tokens, asked = packing.WordTokens(WORDS), []
+    make = tokens.parts.make
+    tokens.parts.make = lambda parts: asked.extend(parts) or make(parts)
+    texts = [f"Word, WORD. word{k % 3} 漢字 {'ünder' * (k % 2)}Word" for k in range(100)]
+    got = tokens.batch(texts)
+    again = len(asked)
+    assert len(set(asked)) == again and tokens.batch(texts) == got and len(asked) == again
+    whole = Tokenizer.from_file(WORDS)
+    for t, raw in zip(texts, got):
+        assert raw == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+@pytest.mark.parametrize("at_once", [3, 200_000])
+def test_batches_equal_the_library(monkeypatch, at_once):
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", at_once)
+    monkeypatch.setattr(packing, "CACHED_PARTS", 5 * at_once)
+    whole, tokens, draw = Tokenizer.from_file(WORDS), packing.WordTokens(WORDS), random.Random(4)
+    letters = [chr(c) for c in range(0x250)]
+    marks = list(" \n\t\r'sStTmMlLdD<|>") * 6 + ["\u0301", "\u0307", "\u212a", "\u2009", "\u3000", "Σ", "漢", "🙂"]
+    drawn = [["".join(draw.choices(letters + marks, k=draw.randrange(60))) for _ in range(20)] for _ in range(60)]
+    for texts in [[f"a{c}B" for c in letters], [f"{c}'S" for c in letters], [], ["", " ", "<|endoftext|> x", "<|"],
+                  *drawn]:
+        got = tokens.batch(texts)
+        assert len(got) == len(texts) and len(tokens.parts.new) <= 5 * at_once
+        for t, raw in zip(texts, got):
+            assert raw == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 @pytest.mark.parametrize("capacity", [16, 4096])
 def test_packing(spark, capacity):
     texts = [*ODD, *[long_text(k, k * 9) for k in range(60)], *["same words here"] * 40]

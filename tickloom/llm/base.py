@@ -51,12 +51,12 @@ def per_worker(name: str, make: Callable[[], object]) -> object:
 
 
 def per_text(rows: DataFrame, schema: str, make: Callable[[], Callable[[list, list], dict[str, list]]],
-             keeps: str = "") -> DataFrame:
+             keeps: str = "", chars: int = BATCH_CHARS) -> DataFrame:
     """Apply a batch function to (doc_id, text) rows inside tasks.
 
     ``make`` is called once per task and gives a function from the ids and texts
     of a batch to named columns, which may hold any number of rows. Batches are cut
-    at about BATCH_CHARS characters, so long texts do not add up. What other operators keep in this worker under
+    at about ``chars`` characters, so long texts do not add up. What other operators keep in this worker under
     another name than ``keeps`` is let go.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def per_text(rows: DataFrame, schema: str, make: Callable[[], Callable[[list, li
             start, size = 0, 0
             for i, n in enumerate(sizes):
                 size += n
-                if size > BATCH_CHARS or i + 1 == len(sizes):
+                if size > chars or i + 1 == len(sizes):
                     part = slice(start, i + 1)
                     out = fn(ids.slice(start, i + 1 - start).to_pylist(), text.slice(start, i + 1 - start).to_pylist())
                     start, size = part.stop, 0

@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,38 +21,48 @@ from tickloom.storage import stored
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 200_000
 CACHED_PARTS = 300_000
-# Words whose tokens do not depend on the version of a Unicode table: visible ASCII and composed Latin letters.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ɏ]+")
-# Fixed value: the word pattern of the tokenizer file, for plain words.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ɏ0-9]+")
-
-
-class Recent(dict):
-    """Values by key, made when missing. When ``size`` are held they become the old ones, and those used again stay."""
-
-    def __init__(self, make: Callable, size: int) -> None:
-        super().__init__()
-        self.make, self.size, self.old = make, size, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+WORDS_AT_ONCE = 200_000
+BATCH_CHARS = 3_000_000
+# Words whose tokens do not depend on the version of a Unicode table: visible ASCII and composed Latin letters, but for
+# the one that has two characters in lower case.
+PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ɏ]+")
+LOWER = "a-zÀ-ÖØ-öø-ʯⱥⱦ"
+# Fixed value: the word pattern of the tokenizer file, for plain words in lower case. Breaks part words; a word after
+# the mark is not plain and stays whole.
+BREAK, WHOLE = "\n", "\0"
+PIECES = re.compile(f"{BREAK}|{WHOLE}.*|'s|'t|'re|'ve|'m|'ll|'d|[{LOWER}]+|[0-9]|[^{LOWER}0-9{BREAK}]+")
+
+
+class Recent:
+    """Values of distinct keys, made for many at once where missing. When ``size`` are held they become the old ones,
+    and those asked for again stay."""
+
+    def __init__(self, make: Callable[[list], list], size: int) -> None:
+        self.make, self.size, self.new, self.old = make, size, {}, {}
+
+    def __call__(self, keys: list) -> list:
+        values = list(map(self.new.get, keys))
+        gaps = [i for i, v in enumerate(values) if v is None]
+        for i in gaps:
+            values[i] = self.old.get(keys[i])
+        lacking = [i for i in gaps if values[i] is None]
+        for i, v in zip(lacking, self.make([keys[i] for i in lacking])):
+            values[i] = v
+        for i in gaps:
+            if len(self.new) >= self.size:
+                self.new, self.old = {}, self.new
+            self.new[keys[i]] = values[i]
+        return values
 
 
 class WordTokens:
-    """Token ids of a text, as bytes of little-endian unsigned 32-bit numbers.
+    """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and lets nothing cross it, so words are encoded one by one and remembered
-    (twice ``CACHED_WORDS`` at most, and of their parts twice ``CACHED_PARTS``). The merges are the library's own; unusual words, and texts with
-    marks of special tokens, go through the library's whole path.
+    The tokenizer drops white space and lets nothing cross it, so Arrow finds the distinct words of a batch of texts,
+    and only those are cut into parts, matches of the word pattern. The ids of parts are remembered (twice
+    ``CACHED_PARTS`` at most): words differ by case and punctuation more than parts do. The merges are the library's
+    own; unusual words, and texts with marks of special tokens, go through the library's whole path.
     """
 
     def __init__(self, file: str) -> None:
@@ -59,34 +70,60 @@ class WordTokens:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(file)
-        self.model, self.normal = self.whole.model, self.whole.normalizer
+        self.model = self.whole.model
         self.letters = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known = Recent(self.word, CACHED_WORDS)
-        self.parts = Recent(self.part, CACHED_PARTS)
+        self.parts = Recent(self.encoded, CACHED_PARTS)
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text:
-            return packed(self.whole.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.known.__getitem__, text.encode().split()))
-
-    def word(self, raw: bytes) -> bytes:
-        if raw.isalpha():
-            return self.parts[raw.lower().decode()]
-        word = raw.decode()
-        if not PLAIN.fullmatch(word):
-            return packed(self.whole.encode(word, add_special_tokens=False).ids)
-        low = word.lower() if word.isascii() else self.normal.normalize_str(word)
-        if low.isalpha():
-            return self.parts[low]
-        if not PLAIN.fullmatch(low):
-            return packed(self.whole.encode(word, add_special_tokens=False).ids)
-        return b"".join(map(self.parts.__getitem__, PIECES.findall(low)))
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        marked = [i for i, t in enumerate(texts) if "<|" in t]
+        plain = list(texts)
+        for i in marked:
+            plain[i] = ""
+        split = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        ids = [self.words(words.slice(at, WORDS_AT_ONCE)) for at in range(0, len(words), WORDS_AT_ONCE)]
+        out = joined(pa.concat_arrays([NO_IDS, *ids]).take(coded.indices), split.offsets).to_pylist()
+        for i in marked:
+            out[i] = self.alone(texts[i])
+        return out
+
+    def words(self, words: pa.Array) -> pa.Array:
+        lows = [w.lower() if w.isascii() and w.isprintable() or PLAIN.fullmatch(w) else WHOLE + w
+                for w in objects(words)]
+        coded = pa.array(PIECES.findall(BREAK.join([*lows, ""])), pa.large_string()).dictionary_encode()
+        parts, codes = objects(coded.dictionary), coded.indices.to_numpy()
+        breaks = parts.index(BREAK)
+        parts[breaks] = WHOLE
+        ends = np.flatnonzero(codes == breaks)
+        offsets = pa.array(np.concatenate([[0], ends + 1]).astype(np.int32))
+        return joined(pa.array(self.parts(parts), pa.large_binary()).take(coded.indices), offsets)
+
+    def encoded(self, parts: list[str]) -> list[bytes]:
+        return [self.alone(p[1:]) if p.startswith(WHOLE) else self.part(p) for p in parts]
 
     def part(self, piece: str) -> bytes:
-        """Ids of a lower-case match of the word pattern: words differ by case and punctuation more than parts do."""
         symbols = piece if piece.isascii() else self.letters.pre_tokenize_str(piece)[0][0]
         return packed([t.id for t in self.model.tokenize(symbols)])
 
+    def alone(self, text: str) -> bytes:
+        return packed(self.whole.encode(text, add_special_tokens=False).ids)
+
+
+NO_IDS = pa.array([], pa.large_binary())
+
+
+def objects(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+def joined(ids: pa.Array, offsets: pa.Array) -> pa.Array:
+    """The bytes between the offsets, end to end."""
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, ids), pa.scalar(b"", pa.large_binary()))
+
 
 def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -107,8 +144,8 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
 
         def cut(ids: list, text: list) -> dict[str, list]:
             out = defaultdict(list)
-            for i, t in zip(ids, text):
-                raw = tokens(t) + end
+            for i, t in zip(ids, tokens.batch(text)):
+                raw = t + end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at:at + 4 * capacity]
                     row = (i, k, at // 4, len(part) // 4, zlib.crc32(part), part)
@@ -119,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
         return cut
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return per_text(texts(docs, id_col, text_col), schema, make, keeps=tokenizer_file)
+    return per_text(texts(docs, id_col, text_col), schema, make, keeps=tokenizer_file, chars=BATCH_CHARS)
 
 
 def places(plan: list[tuple[Filling, int]], capacity: int) -> dict[int, np.ndarray]:
