@@ -1,5 +1,7 @@
 import json
 import random
+import time
+from unittest.mock import MagicMock
 
 import pytest
 
@@ -164,6 +166,24 @@ def test_bounded_collection_stops_at_the_target(spark, tmp_path):
     assert sorted(r["time"] for r in sink.rows().collect()) == list(range(1, 76))
 
 
+def test_a_stream_that_keeps_looking_for_data_ends_when_none_comes():
+    query, handler, looks = MagicMock(lastProgress=None), MagicMock(), []
+    handler.reached.return_value = False
+
+    def look(seconds):
+        looks.append(seconds)
+        assert len(looks) < 1_000
+        time.sleep(0.01)
+        query.status = {"isDataAvailable": False, "isTriggerActive": True, "message": "Waiting for data to arrive"
+                        if len(looks) % 3 == 0 else "Getting offsets from FileStreamSource"}
+
+    query.awaitTermination.side_effect = look
+    frame = MagicMock()
+    frame.writeStream.foreachBatch.return_value.option.return_value.start.return_value = query
+    assert not V.run_until(frame, handler, "mark", 0.5)
+    assert query.stop.called
+
+
 def test_resume_from_the_stored_mark(spark, tmp_path):
     rows = make(300, 8)
     inbox, out = tmp_path / "in", str(tmp_path / "out")

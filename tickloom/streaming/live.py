@@ -8,6 +8,7 @@ typed state per symbol inside Spark's state store.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -249,14 +250,20 @@ def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 def run_until(stream: DataFrame, handler: BoundedCollection, checkpoint: str, seconds: float | None = None) -> bool:
     """Run a stream until the handler's target is reached (true), no more comes within ``seconds``, or it fails.
 
-    Without ``seconds`` it waits for new data for ever.
+    Without ``seconds`` it waits for new data for ever. A stream without new data looks for some nearly all the time,
+    so an active trigger does not count as data; time runs from the first look that found nothing.
     """
     query = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).start()
-    quiet = 0.0
+    since, last = None, None
     try:
         while not handler.reached() and not query.awaitTermination(0.2):
-            quiet = 0.0 if query.status["isDataAvailable"] or query.status["isTriggerActive"] else quiet + 0.2
-            if seconds is not None and quiet >= seconds:
+            status, progress = query.status, query.lastProgress
+            batch = progress["batchId"] if progress else None
+            if status["isDataAvailable"] or batch != last:
+                since, last = None, batch
+            elif since is None:
+                since = time.monotonic() if status["message"] == "Waiting for data to arrive" else None
+            elif seconds is not None and time.monotonic() - since >= seconds:
                 break
     finally:
         query.stop()
