@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -116,6 +117,34 @@ def test_byte_strings_edges(spark, monkeypatch):
         remove_repeats(frame, length=20)
 
 
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (found.apply(k).getName() for k in range(found.size())) if name.startswith("shuffle_")}
+
+
+def test_anchors_leave_the_disk_and_texts_travel_once(spark):
+    rng = random.Random(5)
+    common = prose(rng, 30)
+    pairs = [(i, prose(rng, 20) + common[i:] * (i % 3)) for i in range(30)] + [(30, None), (None, common)]
+    frame = documents(spark, pairs)
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffle_files(spark)
+        result = remove_repeats(frame)
+        # The positions are judged by now; their shuffle, the largest of the query, is not kept for the rest of it.
+        for _ in range(50):
+            if not (left := shuffle_files(spark) - before):
+                break
+            time.sleep(0.1)
+        assert not left
+        got = {r.doc_id: tuple(r)[1:] for r in result.collect() if r.doc_id is not None}
+        assert got == repeats(pairs) and any(removed for _, removed, _, _ in got.values())
+        assert "ReusedExchange" in result._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
 def test_buffers_are_bounded_by_the_segment(monkeypatch):
     from tickloom.llm import substrings
 

@@ -175,11 +175,13 @@ def judged(found: DataFrame, length: int) -> DataFrame:
 def windows(packed: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     """Rows (string, doc_id, at): the strings of the cells to look into, by 64-bit hash. The last rank: full depth."""
     lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct("a", "n", "gram")).alias("cells"))
-    both = packed.join(lists, "doc_id")
+    # A left join, as the removal makes it: so both read one shuffle of the texts. Texts without cells give nothing.
+    both = packed.join(lists, "doc_id", "left")
 
     def run(batches):
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
+            batch = batch.filter(batch["cells"].is_valid())
             for i, raw, cells_ in zip(batch["doc_id"].to_pylist(), batch["packed"].to_pylist(), batch["cells"]):
                 fields = cells_.values
                 n = fields.field("n").to_numpy().astype(np.int64)
@@ -207,7 +209,7 @@ def compressed(rows: DataFrame) -> DataFrame:
 
 def repeated_spans(packed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     """Rows (doc_id, lo, hi): bytes that go, in spans that may overlap."""
-    told = stored(judged(anchored(rows, length), length))
+    told = stored(judged(anchored(rows, length), length), drop_shuffles=True)
     strings = windows(packed, told.where("gram IS NOT NULL"), length)
     later = strings.withColumn("first", F.min("doc_id").over(Window.partitionBy("string"))).where("doc_id > first")
     return told.where("gram IS NULL").select("doc_id", F.col("a").alias("lo"), (F.col("a") + F.col("n") + (

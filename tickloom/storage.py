@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -30,9 +32,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and read it from there on."""
+def stored(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
+    """Write ``df`` once to reliable storage and read it from there on.
+
+    With ``drop_shuffles`` the shuffle files of this write go as soon as it ends. Otherwise they stay on the disks until
+    the driver's garbage collector finds them, which on a driver with memory to spare is after the query.
+    """
     spark = df.sparkSession
     path = new_path(spark, "stored")
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    if drop_shuffles:
+        spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
