@@ -42,6 +42,13 @@ def test_round_trip_equals_the_library(spark, bound, sample):
     assert rows(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
 
 
+def test_texts_are_digested_where_they_are_encoded(spark):
+    docs = frame(spark, ["one two", "other"])
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (
+        word_table.encode_rows(docs, FILE), word_table.round_trip(docs, FILE))]
+    assert plans[0].count("MapInArrow") == plans[1].count("MapInArrow") == 4  # no second worker beside a task's own
+
+
 def test_frequent_words_keep_their_bound(spark):
     texts = [long_text(k, 300) for k in range(40)] + ["rare%d" % k for k in range(200)]
     docs = word_table.texts(frame(spark, texts))

@@ -7,8 +7,9 @@ import json
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -229,19 +230,17 @@ def text_key(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - 2 ** 63
 
 
-def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
-                bound: int = SENT_BYTES, sample: float = SAMPLE) -> DataFrame:
-    """Rows (doc_id, ids array<int>), one per input row, as the tokenizers library encodes without special tokens
-    of its own; their strings in a text give their id.
+def encoded(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, bound: int, sample: float, schema: str,
+            finish: Callable[[pa.Array, np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """Rows of ``schema``, one per input row: what ``finish`` makes of the doc_ids of some rows, all their ids, and where
+    those of each row begin and end. It is called in the task that puts the ids together, so that no second Python worker
+    beside that one takes memory and no ids go through Spark that the columns do not hold.
 
     Texts are split into words, each distinct word is encoded once, and the ids are put back at the places of the word. The
     table of distinct words has two parts. The frequent ones, at most ``bound`` bytes, are at hand in every task. Every
     other word meets its texts by a shuffle on the word, where it is encoded, and its ids go back to these texts; what
     is shuffled there is not frequent, so no word is a hot key. The texts wait for them compressed.
     ``tokenizer_file`` must be at this path on every machine.
-
-    A null or empty text has no ids; null ids, repeated rows and other columns make no difference; an empty table gives no
-    rows. A very long text is split part by part, but its ids are one row.
     """
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
@@ -287,6 +286,7 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
                 [v for _, v in out], pa.binary())], ["key", "entry"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("")
         squeeze = zstandard.ZstdCompressor(6, dict_data=dictionary(common)).compress
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -313,18 +313,32 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
                 local[missing] = len(flat) - size[missing].sum() + np.cumsum(size[missing]) - size[missing]
                 ids = gathered(flat, local[numbers], size[numbers])
                 edges = np.r_[0, np.cumsum(size[numbers])][np.r_[0, np.cumsum(sizes)]]
-                yield pa.RecordBatch.from_arrays([doc_id, pa.ListArray.from_arrays(
-                    pa.array(edges, pa.int32()), pa.array(ids, pa.int32())).cast(arrow[1].type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays(finish(doc_id, ids, edges), schema=arrow)
 
     others = per_text(rows, "word string, key long", make_others, keeps=name)
     rest = others.repartition("word").sortWithinPartitions("word", "key").mapInArrow(
         encode, "key long, entry binary").groupBy("key").agg(F.collect_list("entry").alias("rest"))
     waiting = rows.mapInArrow(pack, "doc_id long, key long, packed binary")
-    schema = "doc_id long, ids array<int>"
     arrow = arrow_schema(spark, schema)
     return waiting.join(rest, "key", "left").select("doc_id", "packed", "rest").mapInArrow(complete, schema)
 
 
+def encode_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
+                bound: int = SENT_BYTES, sample: float = SAMPLE) -> DataFrame:
+    """Rows (doc_id, ids array<int>), one per input row, as the tokenizers library encodes without special tokens
+    of its own; their strings in a text give their id.
+
+    A null or empty text has no ids; null ids, repeated rows and other columns make no difference; an empty table gives no
+    rows. A very long text is split part by part, but its ids are one row.
+    """
+    def listed(doc_id: pa.Array, ids: np.ndarray, edges: np.ndarray) -> list[pa.Array]:
+        return [doc_id, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32())).cast(of_ids)]
+
+    schema = "doc_id long, ids array<int>"
+    of_ids = arrow_schema(docs.sparkSession, schema)[1].type
+    return encoded(docs, tokenizer_file, id_col, text_col, bound, sample, schema, listed)
+
+
 def dictionary(common: str) -> zstandard.ZstdCompressionDict | None:
     """Common words to compress short texts with."""
     raw = common.encode()
@@ -382,23 +396,19 @@ def decode_rows(rows: DataFrame, tokenizer_file: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
                bound: int = SENT_BYTES, sample: float = SAMPLE) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of the encoded and decoded texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release("")
-        for batch in batches:
-            out = defaultdict(list)
-            for i in batch.column("ids"):
-                ids = np.array(i.values, np.int32)
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                text = joined_pieces(ids, pieces).decode("utf-8", "replace")
-                out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(out[f.name], f.type) for f in
-                                                                        list(arrow)[1:]]], schema=arrow)
+    def digests(doc_id: pa.Array, ids: np.ndarray, edges: np.ndarray) -> list[pa.Array]:
+        encoded_as, decoded_as = [], []
+        for start, end in pairwise(edges.tolist()):
+            own = ids[start:end]
+            encoded_as.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
+            text = joined_pieces(own, pieces).decode("utf-8", "replace")
+            decoded_as.append(hashlib.sha256(text.encode()).hexdigest())
+        return [doc_id, pa.array(np.diff(edges), pa.int64()), pa.array(encoded_as, pa.string()),
+                pa.array(decoded_as, pa.string())]
 
     pieces = piece_table(tokenizer_file)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    arrow = arrow_schema(docs.sparkSession, schema)
-    return encode_rows(docs, tokenizer_file, id_col, text_col, bound, sample).mapInArrow(run, schema)
+    return encoded(docs, tokenizer_file, id_col, text_col, bound, sample, schema, digests)
 
 
 @query("op12_word_table_bpe")
