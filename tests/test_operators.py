@@ -1,3 +1,5 @@
+import collections
+import hashlib
 import random
 
 import numpy as np
@@ -147,6 +149,29 @@ def test_permutations_keep_the_labels(spark):
     assert cells.nunique() > 1
 
 
+@pytest.mark.parametrize("first", [0, 7])
+def test_permutations_rank_the_hashes_of_positions(spark, first):
+    """In tasks of whole tables, or over all tasks where positions do not start at 0."""
+    rng = random.Random(31)
+    rows = [(i + first, rng.choice([None, 1, 2, 2]), rng.choice([-0.0, 0.0, 1.5]), rng.choice([None, 3, 3, 4])) for i in range(1203)]
+    train = spark.createDataFrame(rows, "pos bigint, f int, g double, label int").repartition(5)
+    got = D.shuffled_labels(train, ["f", "g"], "label", "pos", 12)
+    # Positions from 0 need no copy of the rows for every permutation.
+    assert ("Generate explode" in got._jdf.queryExecution().optimizedPlan().toString()) == bool(first)
+    label = {r[0]: r[3] for r in rows}
+    want = collections.Counter()
+    for perm in range(12):
+        order = sorted(rows, key=lambda r: (int(hashlib.md5(f"{r[0]}-{perm}".encode()).hexdigest()[:15], 16), r[0]))
+        want.update((perm, r[1], r[2] + 0.0, label[k]) for k, r in enumerate(order) if k in label)
+    assert {(r.perm, r.f, r.g + 0.0, r.label): r.n for r in got.collect()} == want
+
+
+def test_equal_hashes_are_ranked_by_position():
+    hashes = np.array([(i * 7 % 5) << 40 | i * 11 % 2 for i in range(60)], np.uint64)
+    cell = np.arange(60, dtype=np.uint64) % 3
+    assert D.ranked_cells(hashes, cell, 16).tolist() == [int(cell[i]) for i in sorted(range(60), key=lambda i: (int(hashes[i]), i))]
+
+
 def test_mode_scores_against_loops(spark):
     rng = random.Random(6)
     rows = [(i < 150, rng.randrange(4), rng.choice([None, 0, 1]), rng.randrange(3)) for i in range(200)]

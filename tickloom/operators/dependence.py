@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from collections.abc import Sequence as Seq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.md5 import heads
 from tickloom.functions.stats import chi_square_p_value
+from tickloom.operators.ensembles import part_keys, small_batches
 from tickloom.operators.hits import value_counts
 from tickloom.operators.sequence import Sequence, sequence
 from tickloom.storage import stored
@@ -69,13 +74,19 @@ def lag_dependence(seq: Sequence, lags: Seq[int] = LAGS, column: str = "digit")
     return independence(lag_tables(seq, lags, column))
 
 
+TASK_ROWS = 10_000_000
+
+
 def shuffled_labels(train: DataFrame, features: Seq[str], label: str, pos: str, times: int) -> DataFrame:
     """``times`` random permutations of the training labels, as counts per (perm, features, label).
 
     Row i of a permutation takes the label at the rank of i in the order of a
-    hash of (i, permutation).  The ranking is a ``Sequence``, so one permutation
-    may exceed one task.
+    hash of (i, permutation). Up to TASK_ROWS rows whose ``pos`` counts them from 0, a task has all rows as numbers and
+    ranks one permutation after the other. Otherwise the ranking is a ``Sequence``, so one permutation may exceed one task.
     """
+    told = train.agg(F.count(F.lit(1)), F.min(pos), F.max(pos), F.count_distinct(pos)).first()
+    if times and 0 < told[0] <= TASK_ROWS and tuple(told) == (told[0], 0, told[0] - 1, told[0]):
+        return shuffled_in_tasks(train, features, label, pos, times)
     ticket = F.concat_ws("-", F.col(pos), F.col("perm"))
     # The first 15 hex digits of the hash as a number.
     order = F.conv(F.substring(F.md5(ticket), 1, 15), 16, 10).cast("bigint")
@@ -88,6 +99,76 @@ def shuffled_labels(train: DataFrame, features: Seq[str], label: str, pos: str,
     return ranked.join(labels, "_rank").groupBy("perm", *features, label).agg(F.count(F.lit(1)).alias("n"))
 
 
+def numbered(df: DataFrame, names: Seq[str], number: str) -> DataFrame:
+    """The different values of the columns, numbered from 0."""
+    found = stored(df.select(*names).distinct().withColumn(number, F.monotonically_increasing_id()))
+    return stored(found.withColumn(number, (F.row_number().over(Window.orderBy(number)) - 1).cast("int")))
+
+
+def shuffled_in_tasks(train: DataFrame, features: Seq[str], label: str, pos: str, times: int) -> DataFrame:
+    """``shuffled_labels`` of rows whose ``pos`` is 0, 1, 2 and so on; every task gets a copy of them by a shuffle."""
+    spark = train.sparkSession
+    cells, labels = numbered(train, features, "_cell"), numbered(train, [label], "_label")
+    rows = train
+    for small, names in ((cells, features), (labels, [label])):
+        small = small.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in small.columns])
+        same = F.lit(True)
+        for c in names:
+            same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        rows = rows.join(small, same).drop(*[f"_r_{c}" for c in names])
+    n_cells, n_labels = cells.count(), labels.count()
+    names = ("pos", "cell", "label")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({name: pa.array([c.to_numpy().astype("<i4").tobytes()], pa.binary())
+                                              for name, c in zip(names, batch.columns)})
+
+    pieces = stored(rows.select(pos, "_cell", "_label").mapInArrow(pack, "pos binary, cell binary, label binary"))
+    keys = part_keys(spark, max(1, min(times, 4 * spark.sparkContext.defaultParallelism)))
+    dealt = {key: range(k, times, len(keys)) for k, key in enumerate(keys)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list[tuple[bytes, ...]]] = {}
+        for batch in batches:
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                got.setdefault(key, []).append(tuple(row))
+        for key in list(got):
+            at, cell, label_ = (np.frombuffer(b"".join(x), "<i4") for x in zip(*got.pop(key)))
+            by = np.argsort(at)
+            cell, label_ = cell[by].astype(np.uint64), label_[by].astype(np.int64)
+            bits = max(1, (n_cells - 1).bit_length())
+            for perm, hashes in heads(len(cell), dealt[key]):
+                ranked = ranked_cells(hashes, cell, bits).astype(np.int64)
+                found, n = counted_pairs(ranked * n_labels + label_, n_cells * n_labels)
+                yield pa.RecordBatch.from_pydict({
+                    "perm": pa.array(np.full(len(n), perm), pa.int32()), "_cell": pa.array(found // n_labels, pa.int32()),
+                    "_label": pa.array(found % n_labels, pa.int32()), "n": pa.array(n, pa.int64())})
+
+    drawn = small_batches(pieces.withColumn("part", F.explode(F.array(*[F.lit(k) for k in keys]))).select(
+        "part", *names).repartition(len(keys), "part").mapInArrow(run, "perm int, _cell int, _label int, n long"))
+    return drawn.join(cells, "_cell").join(labels, "_label").select("perm", *features, label, "n")
+
+
+def ranked_cells(hashes: np.ndarray, cell: np.ndarray, bits: int) -> np.ndarray:
+    """The cells, numbers of so many bits, in the order of their hashes of 60 bits, equal ones as they stand."""
+    # The hash without its last bits and the cell in one number. Hashes that begin alike are told apart by the rest.
+    order = np.sort(hashes >> np.uint64(max(0, bits - 4)) << np.uint64(bits) | cell)
+    ranked = order & np.uint64((1 << bits) - 1)
+    order >>= np.uint64(bits)
+    if ((order[1:] == order[:-1]) & (ranked[1:] != ranked[:-1])).any():
+        return cell[np.argsort(hashes, kind="stable")]
+    return ranked
+
+
+def counted_pairs(pair: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    if many > len(pair):
+        return np.unique(pair, return_counts=True)
+    n = np.bincount(pair, minlength=many)
+    found = np.flatnonzero(n)
+    return found, n[found]
+
+
 def permutation_scores(train: DataFrame, test: DataFrame, features: Seq[str], label: str, pos: str,
                        times: int) -> DataFrame:
     """Test accuracy of the mode predictor after each shuffle of its training labels.
@@ -125,7 +206,6 @@ def counted_permutation_scores(train: DataFrame, test: DataFrame, features: Seq[
     rows; only the sizes of the buckets and the number of each label reach the driver. Each deal has its own seed, so a
     repeated task draws the same.
     """
-    import numpy as np
     import pandas as pd
 
     side = [train.select(*features, label, F.lit(1).alias("_train"), F.lit(0).alias("_test")),
